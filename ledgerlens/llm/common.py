@@ -69,3 +69,59 @@ def in_chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -
             stop = max(start + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Odd, so that it has an inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _powers:
+        _powers.clear()
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[size]
+
+
+def hashed_words(items: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit fingerprints of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, in a row; where each word begins in the joined bytes;
+    and the number of words before each text and, last, in all. With ``lower``, A-Z count as a-z.
+
+    A word's fingerprint is a polynomial of its bytes, taken from one running sum, so no word is touched in Python.
+    """
+    data = np.frombuffer(b"\n".join(items) + b"\n", np.uint8)
+    up, down = _powers_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[1:] = ~_SPACE[data]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    found = mixed((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+    text_starts = np.cumsum([0, *(len(x) + 1 for x in items)])
+    return found, starts, np.searchsorted(starts, text_starts)
+
+
+def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
+    """A fingerprint of every run of ``width`` words; of the whole sequence if it is shorter."""
+    width = min(width, len(words))
+    if not width:
+        return words
+    out = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        out = mixed(out * np.uint64(_BASE) + words[k : len(words) - width + 1 + k])
+    return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most_broadcast: int = 4_000_000) -> DataFrame:
+    """``docs`` joined with labels of one row per doc_id: broadcast up to a counted number of rows, a plain join beyond it."""
+    few = labels.limit(most_broadcast + 1).count() <= most_broadcast
+    return docs.join(F.broadcast(labels) if few else labels, "doc_id")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import scratch_path
+from ledgerlens.llm.common import fold, scratch_path
+from ledgerlens.llm.langid import identify, learn_profiles
+from ledgerlens.llm.mil import learn_quality, score_quality
+from ledgerlens.llm.neardup import near_duplicates
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.token_codes import read_token_files, write_token_files
+from ledgerlens.llm.toxicity import learn_toxicity, score_toxicity
 
 
 def tokenizer_file() -> str:
@@ -23,6 +27,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _held_out(modulus: int, remainder: int) -> Column:
+    return F.coalesce(fold("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    profiles = learn_profiles(docs, ~_held_out(4, 2))
+    return identify(docs, profiles, keep=["doc_id"]).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_token_files(_documents(spark, sf_dir), path, tokenizer_file())
@@ -34,10 +52,32 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = learn_quality(docs, _labels(spark, sf_dir), ~_held_out(5, 0))
+    scored = score_quality(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = learn_toxicity(docs, _labels(spark, sf_dir), ~_held_out(5, 0), F.coalesce(fold("doc_id", 5) == 1, F.lit(False)))
+    scored = score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), 85, 100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_langid": op1_langid,
         "op2_token_codes": op2_token_codes,
         "op6_packing": op6_packing,
+        "op7_quality_mil": op7_quality_mil,
+        "op9_toxicity": op9_toxicity,
+        "op10_neardup": op10_neardup,
     }
 
 
