@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fold, scratch_path
+from ledgerlens.llm.hilbert import hilbert_sharded
 from ledgerlens.llm.langid import identify, learn_profiles
 from ledgerlens.llm.mil import learn_quality, score_quality
 from ledgerlens.llm.neardup import near_duplicates
 from ledgerlens.llm.packing import pack_documents
+from ledgerlens.llm.quality_rules import judged
 from ledgerlens.llm.token_codes import read_token_files, write_token_files
 from ledgerlens.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -47,6 +49,12 @@ def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(_documents(spark, sf_dir), keep=["doc_id"])
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_documents(spark, sf_dir), tokenizer_file())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -59,6 +67,16 @@ def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = _documents(spark, sf_dir).select(
+        "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    keep = ["doc_id", "size", "text_crc32"]
+    found = hilbert_sharded(docs, ["lang", "source", "size"], ["text_crc32", "doc_id"], keep, shards=16)
+    return found.select(*keep, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = learn_toxicity(docs, _labels(spark, sf_dir), ~_held_out(5, 0), F.coalesce(fold("doc_id", 5) == 1, F.lit(False)))
@@ -74,8 +92,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
         "op2_token_codes": op2_token_codes,
+        "op4_quality_rules": op4_quality_rules,
         "op6_packing": op6_packing,
         "op7_quality_mil": op7_quality_mil,
+        "op8_hilbert_shards": op8_hilbert_shards,
         "op9_toxicity": op9_toxicity,
         "op10_neardup": op10_neardup,
     }
