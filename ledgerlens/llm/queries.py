@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.ann import nearest_neighbours
 from ledgerlens.llm.common import fold, scratch_path
 from ledgerlens.llm.hilbert import hilbert_sharded
 from ledgerlens.llm.langid import identify, learn_profiles
@@ -55,6 +56,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op5_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_documents(spark, sf_dir), tokenizer_file())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -93,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_langid": op1_langid,
         "op2_token_codes": op2_token_codes,
         "op4_quality_rules": op4_quality_rules,
+        "op5_ivf_pq": op5_ivf_pq,
         "op6_packing": op6_packing,
         "op7_quality_mil": op7_quality_mil,
         "op8_hilbert_shards": op8_hilbert_shards,
