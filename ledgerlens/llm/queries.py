@@ -12,6 +12,7 @@ from ledgerlens.llm.common import fold, scratch_path
 from ledgerlens.llm.hilbert import hilbert_sharded
 from ledgerlens.llm.langid import identify, learn_profiles
 from ledgerlens.llm.mil import learn_quality, score_quality
+from ledgerlens.llm.mixing import mixed_documents
 from ledgerlens.llm.neardup import near_duplicates
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.quality_rules import judged
@@ -50,6 +51,25 @@ def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: Target weights of the tree's nodes among their siblings; the others weigh 1.
+LANGUAGE_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
+DOMAINS = ("web", "books", "code", "talk")
+
+
+def mix_levels() -> dict[str, Column]:
+    """Domain, language and source of a document; the tables name no domain, so a source belongs to one by its checksum."""
+    domain = F.get(F.array(*map(F.lit, DOMAINS)), (F.crc32("source") % len(DOMAINS)).cast("int"))
+    return {"domain": domain, "language": F.col("lang"), "origin": F.col("source")}
+
+
+def mix_weights() -> dict[tuple[str, ...], float]:
+    return {("web",): 4.0, ("books",): 3.0} | {(d, code): w for d in (*DOMAINS, "(none)") for code, w in LANGUAGE_WEIGHTS.items()}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(_documents(spark, sf_dir), mix_levels(), mix_weights(), keep=["doc_id"], share=0.6, epochs=3)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(_documents(spark, sf_dir), keep=["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -98,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
         "op2_token_codes": op2_token_codes,
+        "op3_mixing": op3_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op5_ivf_pq": op5_ivf_pq,
         "op6_packing": op6_packing,
