@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import in_chunks
+
 UNKNOWN = "und"
 TOP = 400
 MOST_LANGUAGES = 1000
@@ -115,7 +117,7 @@ def learn_profiles(docs: DataFrame, training: Column, top: int = TOP, most_langu
                 )
             held.clear()
 
-        for batch in batches:
+        for batch in in_chunks(iter(batches), "text", 1 << 20):
             for text, language in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 if (x := folded(text)) is not None:
                     held.setdefault(language, []).append(grams(x))
@@ -147,7 +149,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_chunks(iter(batches), "text", 4 << 20):
             found = [shared.value.predict(t) for t in batch["text"].to_pylist()]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *new], [*keep, "lang_pred", "score"])
