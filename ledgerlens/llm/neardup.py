@@ -13,11 +13,14 @@ Stages, each written to the shared folder:
 3. Each bucket sends its members to one hub, the member that shares most buckets with others: the original of a family of edited
    copies. These pairs are confirmed on the full sets, read again from the texts of the documents concerned only, and union-find
    makes components of the links.
-4. A bucket that now lies in one component has nothing to add. In the others, every pair of members of different components is
-   confirmed as well. So all pairs that share a bucket are decided, and a family of n texts costs about n pairs, not n * n.
+4. A bucket that now lies in one component has nothing to add. The members of the others form families (joined by such buckets),
+   each with its sets once. Tasks compare a family in cells of at most ``CELL`` texts of like size, two cells a task: pairs of
+   different components whose signatures come near the threshold are confirmed on the full sets, and only links leave
+   the task. So every pair that shares a bucket is decided, and no pair is ever a row but those with a hub and the links.
 
 The bands' length and number follow from the threshold so that a pair exactly at it is missed with probability ``most_missed``. Pairs
-whose sizes alone rule the threshold out are dropped before they are confirmed; nothing else is.
+whose sizes alone rule the threshold out are not confirmed, nor (in step 4) those whose signatures agree in fewer places than
+a pair at the threshold would by 6.5 standard deviations; nothing else is left out.
 
 Union-find is distributed: tasks first reduce their own links to a forest, then rounds of joins point every node at the
 smallest node that its neighbours know and that node's own pointer, until nothing changes. No link or component reaches the driver.
@@ -41,6 +44,7 @@ from ledgerlens.llm.common import hashed_words, in_chunks, mixed, shingle_hashes
 
 WIDTH = 5
 MOST_MISSED = 1e-8
+CELL = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,7 +106,7 @@ def signed(docs: DataFrame, rows: int, bands: int, width: int = WIDTH) -> DataFr
     salts = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(iter(batches), "text", 512 << 10):
+        for batch in in_chunks(iter(batches), "text", 128 << 10):
             sets = shingle_sets(utf8(batch["text"]), width)
             full = [s for s in sets if len(s)]
             keys = np.zeros((len(full), bands), np.uint64)
@@ -161,6 +165,73 @@ def confirmed(docs: DataFrame, pairs: DataFrame, numerator: int, denominator: in
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _described(docs: DataFrame, ids: DataFrame, m: int, width: int) -> DataFrame:
+    """(doc_id, set, sig) of the documents in ``ids``; sig has a byte of each place of the signature."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(iter(batches), "set", 128 << 10):
+            sets = [np.frombuffer(x, np.uint64) for x in batch["set"].to_pylist()]
+            signatures = mixed(superminhash(sets, m)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["set"], pa.array([x.tobytes() for x in signatures], pa.binary())], ["doc_id", "set", "sig"])
+
+    return _sets_of(docs, ids, width).mapInArrow(run, "doc_id long, set binary, sig binary")
+
+
+def linked_in_cells(rows: pa.Table, numerator: int, denominator: int) -> tuple[list[int], list[int]]:
+    """Links between the texts of two cells (side 0 and 1) or within one (all on side 0) that join different components."""
+    ids, side = rows["doc_id"].to_pylist(), np.asarray(rows["side"])
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    n = np.array([len(s) for s in sets])
+    root = np.asarray(rows["component"]).copy()
+    t, m = numerator / denominator, sig.shape[1]
+    least = m * t - 6.5 * math.sqrt(m * t * (1 - t))
+    two = side.max() > 0
+    out: tuple[list[int], list[int]] = ([], [])
+    for a in np.flatnonzero(side == 0):
+        other = np.flatnonzero(side == 1) if two else np.arange(a + 1, len(ids))
+        other = other[(root[other] != root[a]) & (np.minimum(n[other], n[a]) * denominator >= np.maximum(n[other], n[a]) * numerator)]
+        other = other[(sig[other] == sig[a]).sum(axis=1) >= least]
+        if not len(other):
+            continue
+        flat = np.concatenate([sets[b] for b in other])
+        found = sets[a][np.minimum(np.searchsorted(sets[a], flat), n[a] - 1)] == flat
+        common = np.add.reduceat(found.astype(np.int64), np.cumsum(n[other]) - n[other])
+        for b in other[common * denominator >= (n[a] + n[other] - common) * numerator]:
+            out[0].append(ids[a])
+            out[1].append(ids[b])
+            root[root == root[b]] = root[a]
+    return out
+
+
+def linked_in_families(docs: DataFrame, members: DataFrame, numerator: int, denominator: int, m: int, width: int) -> DataFrame:
+    """Links (a, b) within families; ``members`` has doc_id, n_shingles, component and family, a row for each text."""
+    step = -math.log(numerator / denominator)
+    total = members.groupBy("family").agg(F.count("*").alias("total"))
+    sized = members.join(total, "family").withColumn("size", F.when(F.col("total") <= CELL, 0).otherwise(F.floor(F.log("n_shingles") / step)).cast("int"))
+    cells = sized.groupBy("family", "size").agg(F.ceil(F.count("*") / CELL).cast("int").alias("subs"))
+    near = cells.select("family", F.col("size").alias("near"), F.col("subs").alias("near_subs"))
+    # texts whose sizes allow a link are in the same or in neighbouring size classes
+    dealt = (
+        sized.join(cells, ["family", "size"])
+        .withColumn("sub", F.pmod(F.hash("doc_id"), "subs"))
+        .withColumn("near", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+        .join(near, ["family", "near"])
+        .withColumn("near_sub", F.explode(F.sequence(F.lit(0), F.col("near_subs") - 1)))
+        .withColumn("own", F.struct("size", "sub"))
+        .withColumn("other", F.struct(F.col("near").alias("size"), F.col("near_sub").alias("sub")))
+        .select("family", "doc_id", "component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    )
+    described = written(_described(docs, members.select("doc_id").distinct(), m, width), "described")
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = linked_in_cells(table, numerator, denominator)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = dealt.join(described, "doc_id")
+    return rows.groupBy("family", "one", "two").applyInArrow(run, "a long, b long")
+
+
 def _forest(links: DataFrame) -> DataFrame:
     """Per task, its links reduced to (node, smallest node of its tree) by union-find."""
 
@@ -240,16 +311,14 @@ def near_duplicates(docs: DataFrame, numerator: int = 8, denominator: int = 10,
 
     labelled = members.select("key", "doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-    counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed_up = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
-    open_ = written(labelled.join(mixed_up.select("key", F.col("top.component").alias("top")), "key"), "open")
-    few = open_.where(F.col("component") != F.col("top")).select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-    rest = open_.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), "top")
-    cross = few.join(rest, "key").where((F.col("c_a") != F.col("c_b")) & sized("n_a", "n_b") & ((F.col("c_b") == F.col("top")) | (F.col("a") < F.col("b"))))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = written(cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        more = written(confirmed(docs, cross, numerator, denominator, width), "more")
+    mixed_up = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    open_ = written(labelled.join(mixed_up.select("key"), "key", "left_semi"), "open")
+    if not open_.isEmpty():
+        first = open_.groupBy("key").agg(F.min("doc_id").alias("b"))
+        families = components(open_.join(first, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
+        texts = open_.select("doc_id", "n_shingles", "component").distinct()
+        texts = written(texts.join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"), "families")
+        more = written(linked_in_families(docs, texts, numerator, denominator, rows * bands, width), "more")
         if not more.isEmpty():
             found = components(links.union(more))
 
