@@ -7,8 +7,9 @@ list is the nearest centroid, its code one byte for each subspace of the residua
 Search. A query probes the lists nearest to it: so many that, on the sample, they hold the share ``target`` of the true
 neighbours (few where vectors lie in clusters, many where they do not), and as many more as hold ``depth`` entries. Lists meet their
 queries block by block: a list is dealt into blocks of at most ``block`` entries, and into as many copies as its queries need
-blocks, so a crowded list is many tasks. A block keeps, by asymmetric distance tables, the ``depth`` best of its entries for each query;
-the ``depth`` best over all blocks are reranked by exact distance on the original vectors, in double precision.
+blocks, so a crowded list is many tasks. A block keeps, by asymmetric distance tables, the entries within the query's reach, the distance
+within which the sample lets expect half as many again as ``depth`` (at least k + 1 of the sample's own entries in the probed lists, so no query
+comes back short). The ``depth`` best over all blocks are reranked by exact distance on the original vectors, in double precision.
 
 An entry keeps the k + 1 smallest ids of its vector: no query can return more of them, nor lose more than its own, and ties go
 to the smallest. So a vector that a third of all rows share is one entry and the result is still whole.
@@ -74,6 +75,8 @@ class IvfPq:
 
     centres: np.ndarray
     books: np.ndarray  # subspace, code, dimension
+    sample_lists: np.ndarray | None = None
+    sample_seen: np.ndarray | None = None  # the sample as its codes show it
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int = 5) -> IvfPq:
@@ -95,6 +98,20 @@ class IvfPq:
         ranks = np.take_along_axis(np.argsort(order, axis=1), nearest(sample, self.centres)[0][top], axis=1)
         return int(np.sort(ranks, axis=None)[math.ceil(target * ranks.size) - 1]) + 1
 
+    def keep_sample(self, sample: np.ndarray) -> None:
+        self.sample_lists, codes = self.encode(sample)
+        parts = [book[codes[:, s]] for s, book in enumerate(self.books)]
+        self.sample_seen = self.centres[self.sample_lists] + np.concatenate(parts, axis=1)[:, : sample.shape[1]]
+
+    def reach(self, query: np.ndarray, lists: np.ndarray, rank: int, least: int) -> float:
+        """The squared distance of the ``rank``-th nearest sample entry in the lists; no limit if they hold fewer than ``least``."""
+        own = self.sample_seen[np.isin(self.sample_lists, lists)]
+        if len(own) < least:
+            return np.inf
+        d = ((own - query) ** 2).sum(axis=1)
+        rank = min(rank, len(d))
+        return float(np.partition(d, rank - 1)[rank - 1]) * (1 + 1e-9)
+
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.books.shape[0] * self.books.shape[2] - x.shape[1])))
 
@@ -154,6 +171,8 @@ def nearest_neighbours(
     lists = max(1, min(len(sample) // 8, int(math.sqrt(n)) or 1))
     index = IvfPq.fit(sample, lists)
     probes = index.probes(sample, k, target)
+    index.keep_sample(sample)
+    rank = max(2 * (k + 1), math.ceil(1.5 * depth * len(sample) / n))
     shared = sc.broadcast(index)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +200,12 @@ def nearest_neighbours(
             stop = np.maximum(probes, (reach < min(depth, n)).sum(axis=1) + 1).clip(max=len(centres))
             rows_of = np.repeat(np.arange(len(x)), stop)
             found = np.concatenate([o[:s] for o, s in zip(order, stop, strict=True)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["query_id"].take(pa.array(rows_of)), batch["v"].take(pa.array(rows_of)), pa.array(found)], ["query_id", "v", "list"])
+            reach = np.array([shared.value.reach(q, o[:s], rank, k + 1) for q, o, s in zip(x, order, stop, strict=True)])
+            yield pa.RecordBatch.from_arrays(
+                [batch["query_id"].take(pa.array(rows_of)), batch["v"].take(pa.array(rows_of)), pa.array(found), pa.array(reach[rows_of])], ["query_id", "v", "list", "reach"]
+            )
 
-    probed = written(asked.mapInArrow(probe, "query_id long, v array<double>, list int"), "probed")
+    probed = written(asked.mapInArrow(probe, "query_id long, v array<double>, list int, reach double"), "probed")
     wanted = np.zeros(len(index.centres), np.int64)
     for r in probed.groupBy("list").count().collect():
         wanted[r["list"]] = r["count"]
@@ -192,7 +214,7 @@ def nearest_neighbours(
     dealt = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(parts), dtype=np.int32), "parts": parts.astype(np.int32), "copies": copies.astype(np.int32)}))
     dealt = F.broadcast(dealt)  # a row a list
     left = coded.join(dealt, "list").select("entry", "code", "list", F.pmod(F.hash("entry"), "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    right = probed.join(dealt, "list").select("query_id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.hash("query_id"), "copies").alias("copy"))
+    right = probed.join(dealt, "list").select("query_id", "v", "list", "reach", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.hash("query_id"), "copies").alias("copy"))
 
     def scan(key: tuple, own: pa.Table, asks: pa.Table) -> pa.Table:
         out_q, out_e, out_d = [], [], []
@@ -201,13 +223,15 @@ def nearest_neighbours(
             order = np.argsort(entry, kind="stable")  # ties of equal codes: the smaller entry first
             entry = entry[order]
             codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(len(entry), -1)[order]
-            x, q = _matrix(asks["v"]), np.asarray(asks["query_id"])
+            x, q, reach = _matrix(asks["v"]), np.asarray(asks["query_id"]), np.asarray(asks["reach"])
             for a in range(0, len(q), QUERY_BLOCK):
                 d = shared.value.distances(x[a : a + QUERY_BLOCK], key[0].as_py(), codes)
-                best = np.argsort(d, axis=1, kind="stable")[:, :depth]
-                out_q.append(np.repeat(q[a : a + QUERY_BLOCK], best.shape[1]))
-                out_e.append(entry[best].ravel())
-                out_d.append(np.take_along_axis(d, best, axis=1).ravel())
+                if d.shape[1] > depth:  # no query needs more of one block
+                    np.put_along_axis(d, np.argsort(d, axis=1, kind="stable")[:, depth:], np.nan, axis=1)
+                rows_, columns = np.nonzero(d <= reach[a : a + QUERY_BLOCK, None])
+                out_q.append(q[a + rows_])
+                out_e.append(entry[columns])
+                out_d.append(d[rows_, columns])
         join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
         return pa.table({"query_id": join(out_q, pa.int64()), "entry": join(out_e, pa.int64()), "d": join(out_d, pa.float64())})
 
