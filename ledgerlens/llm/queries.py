@@ -130,4 +130,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from ledgerlens.llm.oracle import SQL
+
+    return dict(SQL)
