@@ -62,4 +62,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND class_distance <= {rules.MOST_CLASSES} AND common_distance <= {rules.MOST_COMMON} AS kept FROM d"""
 
 
-SQL = {"op4_quality_rules": quality_rules(), "op10_neardup": near_duplicates(85, 100)}
+def _crc32(text: str) -> str:
+    """The checksum by half bytes, the lower half of each byte first."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    digits = f"string_split(hex(encode({text})), '')"
+    halves = f"list_transform(range(0, 2 * strlen({text})), lambda i: (strpos('0123456789ABCDEF', {digits}[i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END]) - 1)::BIGINT)"
+    step = f"lambda c, v: xor(list_extract({table}::BIGINT[], (xor(c, v) & 15) + 1), c >> 4)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), {step}), 4294967295)"
+
+
+def hilbert_shards(shards: int = 16, bits: int = 6) -> str:
+    cells, n = 1 << bits, 3
+    rank = lambda c: f"(SELECT {c}, (dense_rank() OVER (ORDER BY {c}) - 1) * {cells} // (SELECT count(DISTINCT {c}) FROM documents) AS cell FROM (SELECT DISTINCT {c} FROM documents WHERE {c} IS NOT NULL))"
+    text = _crc32("t")
+    out = f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+h AS (SELECT t, string_split(hex(encode(t)), '') AS h FROM (SELECT DISTINCT t FROM d)),
+z AS (SELECT t, {text.replace("string_split(hex(encode(t)), '')", "h")} AS crc FROM h),
+s AS (SELECT size, row_number() OVER (ORDER BY size) AS r, count(*) OVER () AS n FROM d),
+e AS (SELECT DISTINCT size AS edge FROM s WHERE r IN (SELECT ceil(k * n / {cells}.0)::BIGINT FROM range(1, {cells}) x(k))),
+c0 AS (SELECT d.doc_id, d.size, z.crc, coalesce(a.cell, 0) AS x0, coalesce(b.cell, 0) AS x1, (SELECT count(*) FROM e WHERE edge <= d.size) AS x2
+       FROM d JOIN z USING (t) LEFT JOIN {rank("lang")} a ON a.lang = d.lang LEFT JOIN {rank("source")} b ON b.source = d.source)"""
+    k = 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            low, hit = q - 1, f"x{i} & {q} <> 0"
+            swap = f"(xor(x0, x{i}) & {low})"
+            first = f"CASE WHEN {hit} THEN xor(x0, {low}) ELSE xor(x0, {swap}) END AS x0"
+            rest = [first if j == 0 else f"CASE WHEN {hit} THEN x{j} ELSE xor(x{j}, {swap}) END AS x{j}" if j == i else f"x{j}" for j in range(n)]
+            out += f",\nc{k + 1} AS (SELECT doc_id, size, crc, {', '.join(rest)} FROM c{k})"
+            k += 1
+    flip = "0"
+    for q in (1 << b for b in range(bits - 1, -1, -1)):
+        flip = f"xor({flip}, CASE WHEN g2 & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    index = " + ".join(f"(CASE WHEN xor(g{i}, f) & {1 << b} <> 0 THEN {1 << (b * n + n - 1 - i)} ELSE 0 END)" for b in range(bits) for i in range(n))
+    return (
+        out
+        + f""",
+g AS (SELECT doc_id, size, crc, x0 AS g0, xor(x0, x1) AS g1, xor(xor(x0, x1), x2) AS g2 FROM c{k}),
+f AS (SELECT *, {flip} AS f FROM g),
+i AS (SELECT doc_id, size, crc, ({index})::BIGINT AS curve FROM f),
+p AS (SELECT *, row_number() OVER (ORDER BY curve, crc, doc_id NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM i),
+o AS (SELECT *, pos * {shards} // n AS shard FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, pos - (shard * n + {shards - 1}) // {shards} AS slot, NULL::INTEGER AS grown_shard, curve FROM o"""
+    )
+
+
+SQL = {"op4_quality_rules": quality_rules(), "op8_hilbert_shards": hilbert_shards(), "op10_neardup": near_duplicates(85, 100)}
