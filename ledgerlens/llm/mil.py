@@ -68,7 +68,9 @@ def passages(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, :_CLASSES] = np.bincount(byte_passage * _CLASSES + _CLASS_OF[data], minlength=n * _CLASSES).reshape(n, _CLASSES)
     sizes = np.maximum(out[:, :_CLASSES].sum(axis=1), 1)
     pairs = (mixed(data[:-1].astype(np.uint64) << np.uint64(8) | data[1:]) >> np.uint64(40)).astype(np.int64) % _PAIRS
-    out[:, _CLASSES : _CLASSES + _PAIRS] = np.bincount(byte_passage[:-1] * _PAIRS + pairs, minlength=n * _PAIRS).reshape(n, _PAIRS)
+    within = np.ones(len(pairs), bool)
+    within[text_starts[1:-1] - 1] = False  # not over the end of a text
+    out[:, _CLASSES : _CLASSES + _PAIRS] = np.bincount((byte_passage[:-1] * _PAIRS + pairs)[within], minlength=n * _PAIRS).reshape(n, _PAIRS)
     out[:, : _CLASSES + _PAIRS] /= sizes[:, None]
     out[:, _CLASSES : _CLASSES + _PAIRS] *= 4
     counts = np.bincount(word_passage, minlength=n)
