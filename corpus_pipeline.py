@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import bounded_batches, written
 from ledgerlens.llm.langid import UNKNOWN, identify, learn_profiles
 from ledgerlens.llm.mixing import mixed_documents
 from ledgerlens.llm.neardup import near_duplicates
@@ -26,6 +26,7 @@ LEAST_SCORE = 0.1
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
+    bounded_batches(spark)
     found = identify(docs.select(COLUMNS), learn_profiles(docs, F.lit(True)))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 

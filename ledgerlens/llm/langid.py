@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import in_chunks
+from ledgerlens.llm.tokens import forget
 
 UNKNOWN = "und"
 TOP = 400
@@ -106,25 +107,40 @@ def learn_profiles(docs: DataFrame, training: Column, top: int = TOP, most_langu
     """Profiles from all rows of ``docs`` (text, lang) where ``training`` holds and lang is not null."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[str, list[np.ndarray]] = {}
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
 
-        def flushed() -> Iterator[pa.RecordBatch]:
+        def add() -> None:
+            """Sum up what is held, so that a task keeps one number for each n-gram."""
             for language, parts in held.items():
                 codes, counts = np.unique(np.concatenate(parts), return_counts=True)
+                if language in sums:
+                    before, n = sums[language]
+                    both, at = np.unique(np.concatenate((before, codes)), return_inverse=True)
+                    codes, counts = both, np.bincount(at, np.concatenate((n, counts))).astype(np.int64)
+                sums[language] = codes, counts
+            held.clear()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            add()
+            for language, (codes, counts) in sums.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([language] * len(codes)), pa.array(codes), pa.array(counts)], ["language", "code", "n"]
                 )
-            held.clear()
+            sums.clear()
 
         for batch in in_chunks(iter(batches), "text", 1 << 20):
             for text, language in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 if (x := folded(text)) is not None:
                     held.setdefault(language, []).append(grams(x))
                     size += 3 * len(x)
-            if size > 4 << 20:
+                    if size > 1 << 20:
+                        add()
+                        size = 0
+            if sum(len(c) for c, _ in sums.values()) > 1 << 20:
                 yield from flushed()
-                size = 0
         yield from flushed()
 
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import hashed_words, in_chunks, mixed, shingle_hashes, utf8, written
+from ledgerlens.llm.tokens import forget
 
 WIDTH = 5
 MOST_MISSED = 1e-8
@@ -106,6 +107,7 @@ def signed(docs: DataFrame, rows: int, bands: int, width: int = WIDTH) -> DataFr
     salts = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in in_chunks(iter(batches), "text", 128 << 10):
             sets = shingle_sets(utf8(batch["text"]), width)
             full = [s for s in sets if len(s)]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.ann import nearest_neighbours
-from ledgerlens.llm.common import fold, scratch_path
+from ledgerlens.llm.common import bounded_batches, fold, scratch_path
 from ledgerlens.llm.hilbert import hilbert_sharded
 from ledgerlens.llm.langid import identify, learn_profiles
 from ledgerlens.llm.mil import learn_quality, score_quality
@@ -28,6 +28,7 @@ def tokenizer_file() -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -77,6 +78,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0, k=10)
 

@@ -10,8 +10,8 @@ from itertools import accumulate, chain
 
 import numpy as np
 
-#: Words kept per Python worker; a word is one run without white space. About 250 bytes each.
-CACHE_WORDS = 900_000
+#: Words kept per Python worker; a word is one run without white space. About 300 bytes each.
+CACHE_WORDS = 400_000
 #: The id appended to each document.
 END_ID = 2
 #: Letters of ASCII and Latin-1, then perhaps marks without an apostrophe: one or two pre-tokens, whatever stands beside them.
@@ -92,6 +92,11 @@ class WordEncoder:
         return [b"".join(ids[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
 
 
+def forget() -> None:
+    """Free the vocabularies: workers live on into stages that have other uses for the memory."""
+    _loaded.clear()
+
+
 def encoder(path: str, by_word: bool = True) -> WordEncoder:
     """One encoder per file and Python worker; workers serve many tasks."""
     key = f"{path}:{by_word}"
