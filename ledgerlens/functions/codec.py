@@ -104,3 +104,10 @@ def module_lines(leaf: Column) -> Column:
 def preview(text: Column) -> Column:
     """STRUCT<preview, bytes>: the first 100 characters and the length in bytes."""
     return F.struct(F.substring(text, 1, 100).alias("preview"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+def rendered(leaf: Column) -> Column:
+    """A leaf for people: a JSON object with its fields in order, else its text, else (with bytes that are no text) hex."""
+    text = F.try_validate_utf8(leaf.cast("string"))
+    parsed = F.try_parse_json(text)
+    return F.when(text.isNull(), hex_lower(leaf)).when(F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), F.to_json(parsed)).otherwise(text)

@@ -35,6 +35,32 @@ def unbundled(data: bytes) -> list[bytes]:
     return out
 
 
+def certificate_leaves(data: bytes) -> list[bytes]:
+    """Merkle tree leaves out of a data tile of a static certificate log: each record is a timestamped entry, then, for a
+    pre-certificate, the certificate itself, then fingerprints of the chain; the leaf is two zero bytes and the entry."""
+    out, at = [], 0
+
+    def after(start: int, width: int) -> int:
+        end = start + width + int.from_bytes(data[start : start + width], "big")
+        if start + width > len(data) or end > len(data):
+            raise ValueError("cut off entry")
+        return end
+
+    while at < len(data):
+        kind = int.from_bytes(data[at + 8 : at + 10], "big")
+        if kind > 1 or at + 10 > len(data):
+            raise ValueError("unknown entry type or cut off entry")
+        end = after(at + 10 + 32 * kind, 3)  # the certificate, or the issuer's key hash and the signed part
+        end = after(end, 2)  # extensions
+        out.append(b"\0\0" + data[at:end])
+        at = after(after(end, 3) if kind else end, 2)
+    return out
+
+
+#: How the files of a log are split into leaves, and where they lie.
+FORMATS = {"bundles": (unbundled, ENTRIES), "static_ct": (certificate_leaves, "tile/data")}
+
+
 def path_of(index: int, partial: int = 0) -> str:
     """The driver-side form of ``tile_path``."""
     groups = [f"{index % 1000:03d}"]
@@ -43,25 +69,26 @@ def path_of(index: int, partial: int = 0) -> str:
     return "/".join(reversed(groups)) + (f".p/{partial}" if partial else "")
 
 
-def _tile_number(path: Column) -> Column:
+def _tile_number(path: Column, folder: str) -> Column:
     """The tile of a file's path."""
-    name = F.regexp_extract(path, rf"{ENTRIES}/((?:x\d+/)*\d+)(?:\.p/\d+)?$", 1)
+    name = F.regexp_extract(path, rf"{folder}/((?:x\d+/)*\d+)(?:\.p/\d+)?$", 1)
     return F.aggregate(F.split(F.replace(name, F.lit("x"), F.lit("")), "/"), F.lit(0).cast("long"), lambda a, x: a * 1000 + x.cast("long"))
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(batches: Iterator[pa.RecordBatch], split) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for tile, content in zip(batch["tile"].to_pylist(), batch["content"].to_pylist(), strict=True):
-            leaves = unbundled(content)
+            leaves = split(content)
             yield pa.RecordBatch.from_arrays([pa.array(range(tile * TILE, tile * TILE + len(leaves)), pa.int64()), pa.array(leaves, pa.binary())], ["idx", "leaf"])
 
 
-def read_tiles(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+def read_tiles(spark: SparkSession, path: str, start: int, end: int, form: str = "bundles") -> DataFrame:
     """(idx, leaf) of positions from ``start`` up to ``end``. Partial bundles are read where no full one covers their range."""
+    split, folder = FORMATS[form]
     first, last = start // TILE, max(start, end - 1) // TILE
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{ENTRIES}")
-    files = files.select("path", "length", "content", _tile_number(F.col("path")).alias("tile")).where(F.col("tile").between(first, last))
-    leaves = files.select("tile", "content").mapInArrow(_records, SCHEMA).where((F.col("idx") >= start) & (F.col("idx") < end))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{folder}")
+    files = files.select("path", "length", "content", _tile_number(F.col("path"), folder).alias("tile")).where(F.col("tile").between(first, last))
+    leaves = files.select("tile", "content").mapInArrow(lambda it: _records(it, split), SCHEMA).where((F.col("idx") >= start) & (F.col("idx") < end))
     return leaves.groupBy("idx").agg(F.min("leaf").alias("leaf")) if end % TILE else leaves
 
 

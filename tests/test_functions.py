@@ -174,3 +174,25 @@ def test_semver(spark):
     want = ["bad", "v0.1.0-alpha", "v0.1.0-rc.2", "v0.1.0-rc.10", "v0.1.0", "v0.1.2", "v0.10.0", "v1.0.0-1", "v1.0.0-a", "v1.0.0-a.1", "v1.0.0"]
     df = spark.createDataFrame([(v,) for v in reversed(want)], "v string")
     assert [r.v for r in df.orderBy(semver_key(F.col("v"))).collect()] == want
+
+
+@pytest.mark.parametrize(("leaf", "want"), [(b"plain", "plain"), (b'{"b": 1, "a": "x"}', '{"a":"x","b":1}'), (b"\xff\x00", "ff00"), (b"", "")])
+def test_rendered(spark, leaf, want):
+    assert one(spark, codec.rendered(F.col("a")), a=leaf) == want
+
+
+def test_static_certificate_tiles(spark, tmp_path):
+    from ledgerlens.sources.tiles import certificate_leaves, read_tiles
+
+    leaves = [log_leaf(n, pre=i % 2 == 1) + b"\0\0" for i, n in enumerate(NAMES)]  # with empty extensions
+    chain = (64).to_bytes(2, "big") + bytes(64)
+    body = b"".join(x[2:] + ((5).to_bytes(3, "big") + b"certi" if i % 2 else b"") + chain for i, x in enumerate(leaves))
+    assert certificate_leaves(body) == leaves
+    for bad in (body[:-1], body[:40], bytes(9) + b"\2"):
+        with pytest.raises(ValueError, match="entry"):
+            certificate_leaves(bad)
+    (tmp_path / "tile/data").mkdir(parents=True)
+    (tmp_path / "tile/data/000.p").mkdir()
+    (tmp_path / "tile/data/000.p/4").write_bytes(body)
+    rows = read_tiles(spark, f"file://{tmp_path}", 1, 4, "static_ct").select("idx", mapfns.certificate_names(F.col("leaf")).alias("k")).orderBy("idx").collect()
+    assert [r.idx for r in rows] == [1, 2, 3] and rows[0].k == ["deep.maps.example.co.uk", "example.co.uk", "maps.example.co.uk"]
