@@ -56,10 +56,18 @@ def tile_roots(hashes: DataFrame) -> DataFrame:
     return _tiles(hashes.select(F.col("idx").alias("pos"), "hash")).select("tile", F.size("hashes").alias("n"), folded(F.col("hashes")).alias("root"))
 
 
-def complete_nodes(hashes: DataFrame, size: int) -> DataFrame:
+def complete_nodes(hashes: DataFrame, size: int, path: str | None = None) -> DataFrame:
     """All complete nodes (level, pos, hash) over (idx, hash), a gapless range of a log's positions up to ``size``: those whose leaves are
-    all there. A pair with a null has a null hash, so nodes that reach over the start of the range drop out."""
+    all there. A pair with a null has a null hash, so nodes that reach over the start of the range drop out.
+
+    With a ``path``, each eight levels are written there and the next start from them, so nothing is hashed twice however
+    often the nodes are read; without, the result is one lazy plan.
+    """
+    spark = hashes.sparkSession
     current = hashes.select(F.col("idx").alias("pos"), "hash")
+    if path:
+        current.write.parquet(f"{path}/leaves")
+        current = spark.read.schema("pos long, hash binary").parquet(f"{path}/leaves")
     out = current.select(F.lit(0).alias("level"), "pos", "hash")
     level, n = 0, size
     while n > 1:
@@ -70,6 +78,9 @@ def complete_nodes(hashes: DataFrame, size: int) -> DataFrame:
         exploded = tiles.select("tile", F.posexplode(levels).alias("up", "hashes")).where((F.col("up") > 0) & (F.size("hashes") > 0))
         nodes = exploded.select("tile", "up", F.posexplode("hashes").alias("i", "hash")).where("hash is not null")
         nodes = nodes.select((F.col("up") + level).cast("int").alias("level"), (F.col("tile") * F.shiftleft(F.lit(1).cast("long"), 8) / F.pow(F.lit(2), F.col("up")) + F.col("i")).cast("long").alias("pos"), "hash")
+        if path:
+            nodes.write.parquet(f"{path}/above={level}")
+            nodes = spark.read.schema(NODES).parquet(f"{path}/above={level}")
         out = out.unionByName(nodes)
         level, n = level + 8, n >> 8
         current = nodes.where(F.col("level") == level).select("pos", "hash")
@@ -110,8 +121,16 @@ def joined(hashes: list[bytes]) -> bytes:
 
 
 def root(hashes: DataFrame, size: int) -> bytes:
-    """The root of (idx, hash)."""
-    return joined(peaks(complete_nodes(hashes, size), size))
+    """The root of (idx, hash): tiles folded to one hash each, then their roots, until one is left."""
+    if not size:
+        return joined([])
+    current = hashes.select(F.col("idx").alias("pos"), "hash")
+    n = size
+    while True:
+        current = _tiles(current).select(F.col("tile").alias("pos"), folded(F.col("hashes")).alias("hash"))
+        n = -(-n // TILE)
+        if n == 1:
+            return bytes(current.first().hash)
 
 
 def appended(before: list[bytes], size: int, nodes: DataFrame, new_size: int) -> list[bytes]:

@@ -27,6 +27,7 @@ from ledgerlens.operators import dictionary, merkle
 from ledgerlens.operators.postings import postings, posting_lists, value_hashes
 from ledgerlens.plans import manifest as manifests
 from ledgerlens.plans.manifest import Manifest
+from ledgerlens.scratch import scratch_path
 
 #: A log: positions from start up to end as (idx, leaf).
 Leaves = Callable[[int, int], DataFrame]
@@ -130,11 +131,11 @@ class LogIndex:
         r = new.agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.min("idx").alias("a"), F.max("idx").alias("b")).first()
         if (r.n, r.d, r.a, r.b) != (cp.size - seen.size, cp.size - seen.size, seen.size, cp.size - 1):
             raise LogError(f"leaves from {seen.size} to {cp.size} expected, found {r.n} from {r.a} to {r.b}")
-        hashes = merkle.leaf_hashes(new)
+        hashes, nodes_path = merkle.leaf_hashes(new), scratch_path(self.spark, "nodes")
         if seen.size == 0:
-            peaks = merkle.peaks(merkle.complete_nodes(hashes, cp.size), cp.size)
+            peaks = merkle.peaks(merkle.complete_nodes(hashes, cp.size, nodes_path), cp.size)
         else:
-            nodes = merkle.complete_nodes(hashes, cp.size)
+            nodes = merkle.complete_nodes(hashes, cp.size, nodes_path)
             peaks = merkle.appended([bytes.fromhex(p) for p in seen.peaks], seen.size, nodes, cp.size)
         if merkle.joined(peaks) != cp.hash:
             raise LogError("the leaves do not have the checkpoint's root")
@@ -256,7 +257,7 @@ def dereference(log: DataFrame, positions: DataFrame, checkpoint: bytes) -> Data
     """
     cp = parse_unverified(checkpoint)
     hashes = merkle.leaf_hashes(log.where(F.col("idx") < cp.size))
-    nodes = merkle.complete_nodes(hashes, cp.size)
+    nodes = merkle.complete_nodes(hashes, cp.size, scratch_path(log.sparkSession, "nodes"))
     guarded = positions.select(F.when(F.col("idx") < cp.size, F.col("idx")).otherwise(F.raise_error(F.concat(F.lit("position beyond the log: "), F.col("idx"))).cast("long")).alias("idx"))
     rows = guarded.join(log, "idx", "left").join(merkle.inclusion_proofs(guarded, nodes, cp.size), "idx").join(hashes, "idx", "left")
     leaf = F.when(F.col("leaf").isNotNull(), F.col("leaf")).otherwise(F.raise_error(F.concat(F.lit("no leaf at "), F.col("idx"))).cast("binary"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import codec, hashing, mapfns
 from ledgerlens.operators import audit, dictionary, merkle, metrics
 from ledgerlens.operators import postings as index
+from ledgerlens.scratch import scratch_path
 from ledgerlens.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +64,7 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compact_range_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _size(spark, sf_dir)
-    nodes = merkle.complete_nodes(merkle.leaf_hashes(events_log(spark, sf_dir)), n)
+    nodes = merkle.complete_nodes(merkle.leaf_hashes(events_log(spark, sf_dir)), n, scratch_path(spark, "nodes"))
     rows = [(k, level, h.hex()) for k, ((level, _), h) in enumerate(zip(merkle.peak_places(n), merkle.peaks(nodes, n), strict=True))]
     return spark.createDataFrame(rows, "peak long, level long, hash string")
 
@@ -195,7 +196,7 @@ def dereference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of the positions of one key, each with its inclusion verified."""
     n, log = _size(spark, sf_dir), events_log(spark, sf_dir)
     hashes = merkle.leaf_hashes(log)
-    nodes = merkle.complete_nodes(hashes, n)
+    nodes = merkle.complete_nodes(hashes, n, scratch_path(spark, "nodes"))
     root = merkle.joined(merkle.peaks(nodes, n))
     positions = _found(spark, sf_dir, (PRESENT,)).select(F.explode("idx").alias("idx"))
     rows = positions.join(log, "idx").join(hashes, "idx").join(merkle.inclusion_proofs(positions, nodes, n), "idx")
@@ -332,7 +333,7 @@ def trie_proof_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inclusion_proof_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit paths of every seventh event, and of each the check against the root."""
     n, hashes = _size(spark, sf_dir), merkle.leaf_hashes(events_log(spark, sf_dir))
-    nodes = merkle.complete_nodes(hashes, n)
+    nodes = merkle.complete_nodes(hashes, n, scratch_path(spark, "nodes"))
     root = merkle.joined(merkle.peaks(nodes, n))
     asked = hashes.where(F.col("idx") % 7 == 0)
     rows = asked.join(merkle.inclusion_proofs(asked, nodes, n), "idx")
