@@ -89,6 +89,14 @@ def _bucket(key: Column, bits: int) -> Column:
     return F.floor(F.conv(F.hex(F.substring(key, 1, 2)), 16, 10).cast("long") / (1 << (MOST_BITS - bits))).cast("int").alias("bucket")
 
 
+def bucket_range(key: bytes, bits: int) -> tuple[bytes, bytes | None]:
+    """The first key of the bucket of ``key``, and the first after it (None for the last bucket): a range that a scan can skip by."""
+    width = MOST_BITS - bits
+    first = int.from_bytes(key[:2], "big") >> width << width
+    after = first + (1 << width)
+    return first.to_bytes(2, "big") + bytes(30), after.to_bytes(2, "big") + bytes(30) if after < 1 << MOST_BITS else None
+
+
 def bucket_roots(entries: DataFrame, bits: int) -> DataFrame:
     """(bucket, key, root) of the buckets of ``entries`` (key_hash, value_hash); ``key`` is any key of the bucket."""
 
@@ -135,7 +143,8 @@ def proofs(entries: DataFrame, asked: DataFrame, roots: DataFrame, bits: int) ->
             yield pa.RecordBatch.from_arrays([batch["key_hash"], pa.array(to, pa.binary())], ["key_hash", "to"])
 
     routed = asked.select("key_hash").distinct().mapInArrow(route, "key_hash binary, to binary").select(_bucket(F.col("to"), bits), "key_hash")
-    own = entries.select(_bucket(F.col("key_hash"), bits), "key_hash", "value_hash")
+    hit = F.broadcast(routed.select("bucket").distinct())  # 2**16 rows at most
+    own = entries.select(_bucket(F.col("key_hash"), bits), "key_hash", "value_hash").join(hit, "bucket", "left_semi")
 
     def run(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
         keys, values = table.sort_by("key_hash")["key_hash"].to_pylist(), table.sort_by("key_hash")["value_hash"].to_pylist()

@@ -46,7 +46,7 @@ def leaf_hashes(log: DataFrame) -> DataFrame:
 
 def _tiles(nodes: DataFrame) -> DataFrame:
     """(pos, hash) gathered by 256: tile, hashes in order. A tile is at most 256 hashes; nulls stand for those before its first."""
-    rows = nodes.groupBy(F.floor(F.col("pos") / TILE).cast("long").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("rows"))
+    rows = nodes.groupBy(F.shiftright("pos", 8).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("rows"))
     missing = F.array_repeat(F.lit(None).cast("binary"), (F.get("rows", F.lit(0))["pos"] % TILE).cast("int"))
     return rows.select("tile", F.concat(missing, F.col("rows.hash")).alias("hashes"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.hashing import sha256, value_hash
 from ledgerlens.functions.mapfns import MapFn, key_hashes
 
-#: Positions in one stored chunk of a posting list.
-CHUNK = 1 << 16
+#: A chunk of a posting list holds the positions that agree above their last 16 bits.
+CHUNK_BITS = 16
 
 
 def postings(log: DataFrame, map_fn: MapFn) -> DataFrame:
@@ -18,8 +18,8 @@ def postings(log: DataFrame, map_fn: MapFn) -> DataFrame:
 
 
 def posting_chunks(rows: DataFrame) -> DataFrame:
-    """(key_hash, chunk, idx array, n): lists in runs of ``CHUNK`` positions, so that no group grows with a hot key."""
-    by = rows.groupBy("key_hash", F.floor(F.col("idx") / CHUNK).cast("long").alias("chunk"))
+    """(key_hash, chunk, idx array, n): lists in runs of at most 65,536 positions (repeats aside), so that no group grows with a hot key."""
+    by = rows.groupBy("key_hash", F.shiftright("idx", CHUNK_BITS).alias("chunk"))
     return by.agg(F.array_sort(F.collect_list("idx")).alias("idx")).withColumn("n", F.size("idx").cast("long"))
 
 

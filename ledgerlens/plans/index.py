@@ -17,7 +17,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.hashing import value_hash
@@ -102,11 +102,12 @@ class LogIndex:
         def store(df: DataFrame, name: str) -> None:
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/epoch={epoch}")
 
-        store(postings(new, self.map_fn), "postings")
+        # by key, so that lookups skip files and row groups; by position too, so that a hot key is spread
+        store(postings(new, self.map_fn).repartitionByRange("key_hash", "idx").sortWithinPartitions("key_hash", "idx"), "postings")
         ahead = Manifest(epoch, cp.size, self.name)
         added = self._table("postings", "key_hash binary, idx long, ord int", epoch).where(F.col("epoch") == epoch).drop("epoch")
         touched = added.select("key_hash").distinct()
-        store(value_hashes(self.postings(ahead).join(touched, "key_hash", "left_semi")), "values")
+        store(value_hashes(self.postings(ahead).join(touched, "key_hash", "left_semi")).repartitionByRange("key_hash").sortWithinPartitions("key_hash"), "values")
         entries = self.values(ahead).select("key_hash", "value_hash")
         keys = entries.count()
         bits = dictionary.bits_for(keys)
@@ -141,17 +142,34 @@ class LogIndex:
             raise LogError("the leaves do not have the checkpoint's root")
         return peaks
 
-    def lookup_many(self, keys: DataFrame, epoch: int | None = None, proofs: bool = True) -> DataFrame:
-        """For each of ``keys`` (key_hash): idx (its positions, empty if absent) and, if asked for, the proof of that."""
+    def lookup_many(self, keys: DataFrame | list[bytes], epoch: int | None = None, proofs: bool = True) -> DataFrame:
+        """For each of ``keys`` (key_hash, or a short list): idx (its positions, empty if absent) and, if asked for, the proof of that.
+
+        A list becomes filters on the key, which the sorted files can be skipped by; a DataFrame of any size is joined.
+        """
         m = self.manifest(epoch)
         if m is None:
             raise LookupError("the index is empty")
-        asked = keys.select("key_hash").distinct()
-        lists = posting_lists(self.postings(m).join(asked, "key_hash", "left_semi"))
-        found = asked.join(lists, "key_hash", "left").withColumn("idx", F.coalesce("idx", F.array().cast("array<long>")))
-        if not proofs:
-            return found
-        return found.join(dictionary.proofs(self.values(m).select("key_hash", "value_hash"), asked, self.roots(m), m.bits), "key_hash")
+        rows, values = self.postings(m), self.values(m).select("key_hash", "value_hash")
+        if isinstance(keys, list):
+            asked = self.spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key_hash binary")
+            rows = rows.where(F.col("key_hash").isin([F.lit(k) for k in keys]))
+            if proofs:
+                values = values.where(self._in_buckets(keys, m))
+        else:
+            asked = keys.select("key_hash").distinct()
+            rows = rows.join(asked, "key_hash", "left_semi")
+        found = asked.join(posting_lists(rows), "key_hash", "left").withColumn("idx", F.coalesce("idx", F.array().cast("array<long>")))
+        return found.join(dictionary.proofs(values, asked, self.roots(m), m.bits), "key_hash") if proofs else found
+
+    def _in_buckets(self, keys: list[bytes], m: Manifest) -> Column:
+        """Whether a key is in a bucket that the answer to one of ``keys`` needs."""
+        top, out = dictionary.top_trie(self.roots(m)), F.lit(False)
+        for k in keys if top.keys else []:
+            first, after = dictionary.bucket_range(top.keys[top.path(k)[0]], m.bits)
+            own = F.col("key_hash") >= F.lit(first)
+            out = out | (own if after is None else own & (F.col("key_hash") < F.lit(after)))
+        return out
 
     def lookup(self, key: str | bytes, epoch: int | None = None) -> LookupResponse:
         """The response for one key (a string, or its 32-byte hash)."""
@@ -161,8 +179,7 @@ class LogIndex:
         m = self.manifest(epoch)
         if m is None:
             raise LookupError("the index is empty")
-        keys = self.spark.createDataFrame([(key_hash,)], "key_hash binary")
-        r = self.lookup_many(keys, m.epoch).first()
+        r = self.lookup_many([key_hash], m.epoch).first()
         nodes = merkle.complete_nodes(merkle.leaf_hashes(self.output_log(m).select(F.col("out_idx").alias("idx"), "leaf")), m.epoch)
         last = self.spark.createDataFrame([(m.epoch - 1,)], "idx long")
         proof = [bytes(p) for p in merkle.inclusion_proofs(last, nodes, m.epoch).first().proof]

@@ -154,10 +154,12 @@ def _asked(spark: SparkSession, keys: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame([(k,) for k in keys], "key string").select("key", hashing.key_hash(F.col("key")).alias("key_hash"))
 
 
-def _found(spark: SparkSession, sf_dir: str, keys: tuple[str, ...]) -> DataFrame:
-    """(key, idx): lists of stated keys; an absent key has an empty one."""
+def _found(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], first: int = 0, size: int | None = None) -> DataFrame:
+    """(key, idx): lists of stated keys, from position ``first`` up to ``size``; an absent key has an empty one."""
     asked = _asked(spark, keys)
-    lists = index.posting_lists(events_postings(spark, sf_dir).join(F.broadcast(asked.select("key_hash")), "key_hash", "left_semi"))
+    log = events_log(spark, sf_dir).where(F.col("idx") >= first)  # reaches the scan
+    log = log if size is None else log.where(F.col("idx") < size)
+    lists = index.posting_lists(index.postings(log, mapfns.before_colon).join(F.broadcast(asked.select("key_hash")), "key_hash", "left_semi"))
     return asked.join(lists, "key_hash", "left").select("key", F.coalesce("idx", F.array().cast("array<long>")).alias("idx"))
 
 
@@ -178,13 +180,11 @@ def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_at_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir, KEY_WANTED)
-    return _answer(found.withColumn("idx", index.below(F.col("idx"), 777)))
+    return _answer(_found(spark, sf_dir, KEY_WANTED, size=777))
 
 
 def lookup_min_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir, KEY_WANTED)
-    return _answer(found.withColumn("idx", index.from_index(F.col("idx"), 400)))
+    return _answer(_found(spark, sf_dir, KEY_WANTED, first=400))
 
 
 def lookup_delta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def read_checkpoint(spark: SparkSession, path: str) -> bytes:
 
 def bundles(log: DataFrame) -> DataFrame:
     """(tile, n, path, content): the log (idx, leaf) as bundle files. A tile is at most 256 leaves."""
-    rows = log.groupBy(F.floor(F.col("idx") / TILE).cast("long").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("idx", "leaf"))).alias("rows"))
+    rows = log.groupBy(F.shiftright("idx", 8).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("idx", "leaf"))).alias("rows"))
     n = F.size("rows")
     return rows.select("tile", n.alias("n"), tile_path(F.col("tile"), F.when(n < TILE, n).otherwise(0)).alias("path"), framed(F.col("rows.leaf")).alias("content"))
 

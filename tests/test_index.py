@@ -127,6 +127,24 @@ def test_batches_do_not_matter(spark, tmp_path):
     assert [len(r.idx) for r in b.lookup_many(spark.createDataFrame([(hashlib.sha256(b"k1").digest(),)], "key_hash binary"), 2, proofs=False).collect()] == [sum(x.startswith(b"k1:") for x in leaves[:256])]
 
 
+def test_lists_and_tables_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dictionary, "BUCKET", 8)
+    idx, _ = filled(spark, str(tmp_path), [f"k{i % 60}: {i}".encode() for i in range(300)], [200, 300])
+    m = idx.manifest()
+    assert m.bits == 3 and m.keys == 60
+    keys = [hashlib.sha256(k.encode()).digest() for k in ("k1", "k59", "none", "k1")]
+    table = spark.createDataFrame([(k,) for k in keys], "key_hash binary")
+    shown = lambda df: sorted((bytes(r.key_hash), r.idx, r.found, list(map(bytes, r.siblings))) for r in df.collect())
+    found = shown(idx.lookup_many(keys))
+    assert found == shown(idx.lookup_many(table)) and len(found) == 3
+    assert {len(r[1]) for r in found} == {5, 0} and [bool(r[1]) for r in found] == [r[2] for r in found]
+    for k in keys:
+        first, after = dictionary.bucket_range(k, 3)
+        assert first <= k and (after is None or k < after)
+    for key in ("k1", "none"):
+        assert response_for(idx, key)[1]().size == 300
+
+
 def test_refusals(spark, tmp_path):
     leaves = [f"a: {i}".encode() for i in range(6)]
     idx, log = filled(spark, str(tmp_path), leaves, [4])
