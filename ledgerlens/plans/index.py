@@ -86,11 +86,11 @@ class LogIndex:
         return self._table("output", "out_idx long, leaf binary, map_root binary, in_cp binary", m.epoch).drop("epoch")
 
     def update(self, checkpoint: bytes, leaves: Leaves, batch_id: int = -1) -> UpdateResult | None:
-        """Take the log up to a signed checkpoint into a new revision; None if it has nothing new (or the batch is in already)."""
+        """Take the log up to a signed checkpoint into a new revision; None if it has nothing new, as when a batch
+        that was committed before a failure comes again. ``batch_id`` is noted in the manifest.
+        """
         seen = self.manifest() or Manifest(0, 0, self.name)
         cp = parse_checkpoint(checkpoint, self.verifier, self.origin)
-        if 0 <= batch_id <= seen.batch_id:
-            return None
         if cp.size < seen.size:
             raise LogError(f"the log shrank from {seen.size} to {cp.size}")
         if cp.size == seen.size:

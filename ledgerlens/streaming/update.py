@@ -15,7 +15,7 @@ def update_stream(leaves: DataFrame, index: LogIndex, checkpoint_at: Callable[[i
     """Start a query that takes each batch of ``leaves`` (a streaming DataFrame idx, leaf) into the index as a revision.
 
     ``checkpoint_at(size)`` gives the signed checkpoint of that size: with the tiled source every batch ends at one. A batch that was committed
-    before a failure is known by its number and not taken again. ``once`` drains what is there and stops; otherwise the
+    before a failure is known by its size and not taken again; one that reaches back before the index's size adds only what is new. ``once`` drains what is there and stops; otherwise the
     query looks for new leaves ``every`` so often.
     """
 
