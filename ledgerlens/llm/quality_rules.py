@@ -33,7 +33,7 @@ COMMON_WORDS: dict[str, tuple[str, ...]] = {
 }
 LEAST_CHARS, LEAST_WORDS = 200, 60
 #: Largest distances of a text that is kept.
-MOST_CLASSES, MOST_COMMON = 0.30, 0.32
+MOST_CLASSES, MOST_COMMON = 0.33, 0.32
 #: Regular expressions of character classes; what no class takes, and is in a word, is a letter of lower case or without case.
 CLASSES: tuple[str, ...] = (r"\p{Lu}", "[0-9]", "[#*$%&|<>]", r"[!\"'()+,\-./:;=?@\[\]\\^_`{}~]")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
