@@ -2,7 +2,6 @@
 
 import collections
 import itertools
-import random
 import zlib
 
 import numpy as np
