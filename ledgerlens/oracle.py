@@ -90,6 +90,8 @@ SQL: dict[str, str] = {
     "bundle_reframe": "SELECT event_id, lower(printf('%04x', strlen(a)) || hex(encode(a)) || printf('%04x', strlen(b)) || hex(encode(b))) AS framed FROM (SELECT event_id, event_type || chr(10) || event_type || '1' || chr(10) AS a, user_id || chr(10) AS b FROM events)",
     "checkpoint_parse": "SELECT event_id, 'origin/' || event_type AS origin, event_id AS size, sha256(event_type) AS hash FROM events",
     "output_leaf_codec": "SELECT event_id, sha256(event_type) AS map_root, 'cp ' || event_id AS checkpoint FROM events",
+    "directory_hashes": "SELECT source AS dir, 'h1:' || to_base64(unhex(sha256(string_agg(sha256(text) || '  ' || printf('%012d', doc_id) || chr(10), '' ORDER BY doc_id)))) AS hash FROM documents GROUP BY source",
+    "revision_audit": "SELECT floor((SELECT count(*) FROM events) * share)::BIGINT AS size, TRUE AS same FROM (VALUES (0.4), (0.75), (1.0)) AS s(share)",
     "trie_proof_verify": "SELECT c_custkey AS key, c_custkey IN (SELECT o_custkey FROM orders) AS found, TRUE AS verified FROM customer",
     "inclusion_proof_verify": "SELECT event_id AS idx, TRUE AS verified FROM events WHERE event_id % 7 = 0",
     "latest_revision": "SELECT 2::BIGINT AS out_idx, count(*) AS size FROM events",

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import certificates, hashing, mapfns
-from ledgerlens.functions.notes import Ed25519Signer, sign_checkpoint
+from ledgerlens.functions.notes import Ed25519Signer, parse_unverified, sign_checkpoint
 from ledgerlens.operators import merkle
+from ledgerlens.operators.audit import map_audit
 from ledgerlens.plans.index import LogIndex, verify_lookup_response
 from ledgerlens.scratch import scratch_path
 from ledgerlens.sources import tables
@@ -66,6 +67,13 @@ def verified_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "key string, n long, size long")
 
 
+def revision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recorded revision against a rebuild from the log."""
+    index, log = built(spark, sf_dir)
+    recorded = [(parse_unverified(bytes(r.in_cp)).size, bytes(r.map_root)) for r in index.output_log().orderBy("out_idx").collect()]
+    return spark.createDataFrame(map_audit(log, index.map_fn, recorded), "size long, same boolean")
+
+
 def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after a stream of the events has been drained: its commitments equal those of a batch build."""
     from ledgerlens.streaming.update import update_stream
@@ -136,4 +144,4 @@ def tiles_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("idx", mapfns.text_of(F.col("leaf")).alias("leaf"))
 
 
-QUERIES = {f.__name__: f for f in (output_log_history, latest_revision, verified_lookup, stream_update, ct_dns_names, mtc_dns_names, tiles_roundtrip)}
+QUERIES = {f.__name__: f for f in (output_log_history, latest_revision, verified_lookup, revision_audit, stream_update, ct_dns_names, mtc_dns_names, tiles_roundtrip)}

@@ -304,6 +304,12 @@ def output_leaf_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", hashing.hex_lower(F.col("p.map_root")).alias("map_root"), F.decode("p.checkpoint", "UTF-8").alias("checkpoint"))
 
 
+def directory_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash over all documents of each source, as over the files of a directory."""
+    files = _table(spark, sf_dir, "documents").select(F.col("source").alias("dir"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return audit.directory_hash(files)
+
+
 def map_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary's root over the index of orders by customer."""
     rows = index.postings(_column_log(spark, sf_dir, "orders", "o_custkey", F.col("o_orderkey")), mapfns.before_colon)
@@ -347,7 +353,7 @@ def queries() -> dict[str, Query]:
         domain_keys, wal_rows, wal_roundtrip, index_build, value_hashes, index_orders_by_customer, index_lineitem_by_part, chunked_commitments, lookup_present,
         lookup_absent, lookup_many, lookup_at_size, lookup_min_idx, lookup_delta, dereference, incremental_equals_full, map_fn_keys_histogram,
         version_audit, tags_missing_from_log, duplicate_versions, semver_order, tile_paths, last_tile_page, jump_to_index, entry_preview, proxy_rewrite,
-        bundle_reframe, checkpoint_parse, output_leaf_codec, map_root, trie_proof_verify, inclusion_proof_verify,
+        bundle_reframe, checkpoint_parse, output_leaf_codec, directory_hashes, map_root, trie_proof_verify, inclusion_proof_verify,
     )
     from ledgerlens.plans.demo import QUERIES
 
