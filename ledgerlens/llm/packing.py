@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import in_chunks, utf8
-from ledgerlens.llm.tokens import END_ID, encoder
+from ledgerlens.llm.tokens import CACHE_WORDS, END_ID, encoder
 
 WINDOW = 4096
 MOST_OPEN = 4096
@@ -135,20 +135,20 @@ def packed(documents: Iterable[tuple[int, bytes]], window: int = WINDOW, most_op
     yield from levels.drained()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int = MOST_OPEN, by_word: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int = MOST_OPEN, by_word: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pack ``docs`` (doc_id long, text string) into sequences of ``window`` ids; one row per piece, ids included.
 
     There is no shuffle: texts are read, encoded and packed in one pass, and a lost task packs the same rows again.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, by_word).encode
+        encode = encoder(tokenizer, by_word, cache_words).encode
         end = np.array([END_ID], "<u4").tobytes()
         base = 0
 
         def documents() -> Iterator[tuple[int, bytes]]:
             nonlocal base
-            for batch in in_chunks(iter(batches), "text", 1 << 20):
+            for batch in in_chunks(iter(batches), "text", 2 << 20):
                 base = batch["_task"][0].as_py() << 40
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(utf8(batch["text"])), strict=True):
                     yield doc_id, ids + end

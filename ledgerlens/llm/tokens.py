@@ -11,7 +11,7 @@ from itertools import accumulate, chain
 import numpy as np
 
 #: Words kept per Python worker; a word is one run without white space. About 300 bytes each.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 #: The id appended to each document.
 END_ID = 2
 #: Letters of ASCII and Latin-1, then perhaps marks without an apostrophe: one or two pre-tokens, whatever stands beside them.
@@ -97,9 +97,9 @@ def forget() -> None:
     _loaded.clear()
 
 
-def encoder(path: str, by_word: bool = True) -> WordEncoder:
+def encoder(path: str, by_word: bool = True, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """One encoder per file and Python worker; workers serve many tasks."""
     key = f"{path}:{by_word}"
     if key not in _loaded:
-        _loaded[key] = WordEncoder(path, by_word)
+        _loaded[key] = WordEncoder(path, by_word, cache_words)
     return _loaded[key]
