@@ -183,6 +183,11 @@ def lookup_at_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer(_found(spark, sf_dir, KEY_WANTED, size=777))
 
 
+def lookup_at_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists as they were when the log had nine tenths of its size."""
+    return _answer(_found(spark, sf_dir, KEY_WANTED, size=_size(spark, sf_dir) * 9 // 10))
+
+
 def lookup_min_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer(_found(spark, sf_dir, KEY_WANTED, first=400))
 
@@ -361,7 +366,7 @@ def queries() -> dict[str, Query]:
     own = (
         scan_range, leaf_hashes, tile_roots, merkle_root, compact_range_peaks, mapfn_delimited, mapfn_json_field, mapfn_multi_key, mapfn_module_line,
         domain_keys, wal_rows, wal_roundtrip, index_build, value_hashes, index_orders_by_customer, index_lineitem_by_part, chunked_commitments, lookup_present,
-        lookup_absent, lookup_many, lookup_at_size, lookup_min_idx, lookup_delta, dereference, incremental_equals_full, map_fn_keys_histogram,
+        lookup_absent, lookup_many, lookup_at_size, lookup_at_share, lookup_min_idx, lookup_delta, dereference, incremental_equals_full, map_fn_keys_histogram,
         version_audit, tags_missing_from_log, duplicate_versions, semver_order, tile_paths, last_tile_page, jump_to_index, entry_preview, proxy_rewrite,
         bundle_reframe, checkpoint_parse, output_leaf_codec, directory_hashes, map_root, trie_proof_verify, inclusion_proof_verify, inclusion_proof_verify_all,
     )

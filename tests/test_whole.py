@@ -1,10 +1,35 @@
 """Queries over the whole log, where their first form covers a part of it."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from conftest import SF
+from ledgerlens.plans import demo
 from oracle import same
 
 
 def test_every_event_is_proved(spark):
     found = entry.queries()["inclusion_proof_verify_all"](spark, SF)
     same(found, "SELECT event_id AS idx, TRUE AS verified FROM events", SF)
+
+
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.01"])
+def test_all_tiles_are_read_back(spark, sf_dir):
+    found = entry.queries()["tiles_roundtrip_all"](spark, sf_dir)
+    same(found, "SELECT event_id AS idx, event_type || ': ' || event_id AS leaf FROM events", sf_dir)
+
+
+def test_deep_tiles_are_read_back(spark):
+    """Tiles 999 to 1001, the last of them partial: the path gets a folder between the first and the second."""
+    first, end = 999 * 256, 1001 * 256 + 44
+    log = spark.range(first, end).select(F.col("id").alias("idx"), F.encode(F.concat(F.lit("leaf "), F.col("id").cast("string")), "UTF-8").alias("leaf"))
+    found = demo._tiles_again(log, first, end).collect()
+    assert sorted((r.idx, r.leaf) for r in found) == [(i, f"leaf {i}") for i in range(first, end)]
+
+
+def test_lookup_at_a_share_of_the_log(spark):
+    rows = "SELECT k.key, count(e.event_id) AS n, coalesce(string_agg(e.event_id::VARCHAR, ',' ORDER BY e.event_id), '') AS idx"
+    keys = "(VALUES ('click'), ('view'), ('purchase'), ('banana')) AS k(key)"
+    past = "(SELECT * FROM events WHERE event_id < (SELECT count(*) FROM events) * 9 // 10)"
+    same(entry.queries()["lookup_at_share"](spark, SF), f"{rows} FROM {keys} LEFT JOIN {past} e ON e.event_type = k.key GROUP BY k.key", SF)
