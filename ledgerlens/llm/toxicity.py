@@ -14,9 +14,9 @@ Scoring compares the two log-likelihoods per character: over the whole text, and
 toxic and the mean of the three most toxic count. A logistic curve fitted on a fold of the training rows that the counts leave out turns
 these and the length into a score from 0 to 1.
 
-Counts come from every training row: tasks count, Spark sums by expression. Expressions then share ``2 ** bits`` slots (the most
-frequent one of a slot stands for all of it), which bounds what reaches the driver and the tasks at any input size:
-at most 2**21 rows of 32 bytes, and a table of 2**21 floats. The counts in the slots grow with the input.
+Tasks count, Spark sums by expression, and every expression keeps its own counts, so the model grows with the input. Up to a counted
+number of expressions the probabilities are worked out in numpy and every task holds them; beyond it they are Spark
+aggregates by history (at most 1024 rows each), and the texts' distinct expressions, in chunks of a few MB, are joined with them.
 
 Defined results: null and empty texts, and all texts when one class has no rows to learn from, get the share of toxic training rows
 (0 without any); several labels of a document count as their largest; other columns are ignored.
@@ -24,18 +24,23 @@ Defined results: null and empty texts, and all texts when one class has no rows
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerlens.llm.common import in_chunks, labelled, mixed
+from ledgerlens.llm.common import in_chunks, labelled, mixed, written
 from ledgerlens.llm.langid import folded
 
 ORDER = 6
-SLOT_BITS = 21
+#: Expressions that the driver and every task hold at once, at most; more of them are joined.
+MOST_BROADCAST = 2_000_000
+#: Bytes of text in one chunk where expressions are joined, about; one text at least.
+CHUNK = 2 << 20
 #: Rows for the logistic curve, at most.
 MOST_CALIBRATED = 40_000
 _WIDTH = 10  # bits of a character
@@ -59,12 +64,48 @@ def spelled(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     return codes[1:], blanks[:-1]
 
 
-def slots(codes: np.ndarray, bits: int) -> np.ndarray:
-    return (mixed(codes.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def counted(rows: DataFrame, bits: int) -> DataFrame:
-    """(code, slot, toxic, ordinary): how often each expression occurs in the rows (text, toxic) of each class."""
+class Ratios:
+    """Log-likelihood ratios by exact code, in an open table at most half full; 0 for a code that is not there."""
+
+    def __init__(self, codes: np.ndarray, ratios: np.ndarray):
+        self.codes, self.ratios = codes.astype(np.int64), ratios.astype(np.float32)
+        self.bits = max(1, (2 * len(codes)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        left, own, at = self.codes, self.ratios, self._first(self.codes)
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = left[free]
+            there = self.keys[at] == left
+            self.values[at[there]] = own[there]
+            left, own, at = left[~there], own[~there], self._next(at[~there])
+
+    def __reduce__(self):
+        return Ratios, (self.codes, self.ratios)
+
+    def _first(self, codes: np.ndarray) -> np.ndarray:
+        return (mixed(codes.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        at = self._first(codes)
+        found = self.keys[at]
+        out = np.where(found == codes, self.values[at], 0).astype(np.float64)
+        open_ = np.flatnonzero((found != codes) & (found != -1))
+        at = at[open_]
+        while len(open_):
+            at = self._next(at)
+            found = self.keys[at]
+            hit = found == codes[open_]
+            out[open_[hit]] = self.values[at[hit]]
+            more = ~hit & (found != -1)
+            open_, at = open_[more], at[more]
+        return out
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(code, toxic, ordinary): how often each expression occurs in the rows (text, toxic) of each class."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -78,7 +119,7 @@ def counted(rows: DataFrame, bits: int) -> DataFrame:
                 sums[k, np.searchsorted(codes, c)] = n
             for h in held:
                 h.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums[1]), pa.array(sums[0])], ["code", "toxic", "ordinary"]).append_column("slot", pa.array(slots(codes, bits)))
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums[1]), pa.array(sums[0])], ["code", "toxic", "ordinary"])
 
         for batch in in_chunks(iter(batches), "text", 1 << 20):
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
@@ -90,8 +131,8 @@ def counted(rows: DataFrame, bits: int) -> DataFrame:
                 size = 0
         yield flushed()
 
-    parts = rows.select("text", "toxic").mapInArrow(run, "code long, toxic long, ordinary long, slot long")
-    return parts.groupBy("slot", "code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    parts = rows.select("text", "toxic").mapInArrow(run, "code long, toxic long, ordinary long")
+    return parts.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _by_history(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +142,10 @@ def _by_history(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _discount(counts: np.ndarray) -> float:
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
+    return _discount_from((counts == 1).sum(), (counts == 2).sum())
+
+
+def _discount_from(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
@@ -121,37 +165,68 @@ def shared_probabilities(codes: np.ndarray, counts: np.ndarray, order: int = ORD
     return lower
 
 
+def class_ratios(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Ratios:
+    """The ratio of each n-gram's probability in the toxic class to that in the other; none where a class has no counts."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], np.stack([toxic[order], ordinary[order]])
+    if not len(codes) or not counts.sum(axis=1).all():
+        return Ratios(codes[:0], np.zeros(0))
+    shared = shared_probabilities(codes, counts.sum(axis=0))
+    logs = []
+    for own in counts:
+        totals, kinds = _by_history(codes, own)
+        d = _discount(own)
+        seen = np.maximum(totals, 1)
+        logs.append(np.log(np.where(totals > 0, np.maximum(own - d, 0) / seen + d * kinds / seen * shared, shared)))
+    return Ratios(codes, logs[0] - logs[1])
+
+
+def class_ratio_table(counts: DataFrame) -> DataFrame:
+    """(code, ratio) of (code, toxic, ordinary): what ``class_ratios`` finds, as Spark aggregates; no history has more than 1024 rows."""
+    suffix = lambda k: F.col("code").bitwiseAND((1 << (_WIDTH * k)) - 1)
+    by_history = Window.partitionBy(F.shiftright("code", _WIDTH))
+
+    def discount(table: DataFrame, column: str) -> float:
+        found = table.agg(F.count_if(F.col(column) == 1).alias("once"), F.count_if(F.col(column) == 2).alias("twice")).first()
+        return _discount_from(found["once"], found["twice"])
+
+    levels = [counts.select("code", (F.col("toxic") + F.col("ordinary")).alias("n"))]
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(written(levels[-1].groupBy(suffix(k).alias("code")).agg(F.count("*").alias("n")), f"order{k}"))
+    shared = counts.sparkSession.createDataFrame([(0, 1.0 / max(levels[-1].count(), 1))], "suffix long, lower double")
+    for k, level in enumerate(reversed(levels), 1):
+        d, total = discount(level, "n"), F.sum("n").over(by_history)
+        own = level.select("code", suffix(k - 1).alias("suffix"), (F.greatest(F.col("n") - d, F.lit(0.0)) / total).alias("own"), (d * F.count("*").over(by_history) / total).alias("rest"))
+        shared = own.join(shared, "suffix").select("code", (F.col("own") + F.col("rest") * F.col("lower")).alias("lower"))
+        shared = written(shared.select(F.col("code").alias("suffix"), "lower"), f"shared{k}")
+
+    def log(name: str) -> Column:
+        d, own, total = discount(counts, name), F.col(name), F.sum(name).over(by_history)
+        return F.log(F.when(total > 0, F.greatest(own - d, F.lit(0.0)) / total + d * F.count_if(own > 0).over(by_history) / total * F.col("lower")).otherwise(F.col("lower")))
+
+    both = counts.join(shared.withColumnRenamed("suffix", "code"), "code")
+    return written(both.select("code", (log("toxic") - log("ordinary")).cast("float").alias("ratio")), "ratios")
+
+
+def features(text: str | None, ratios: Ratios) -> tuple[float, float, float, float]:
+    """Log-likelihood ratio per character; of the most toxic word; mean of the three most toxic; log of the length."""
+    found = spelled(text)
+    if found is None:
+        return 0.0, 0.0, 0.0, 0.0
+    codes, starts = found
+    own = ratios.of(codes)
+    words = np.add.reduceat(own, starts)
+    top = np.partition(words, -min(3, len(words)))[-3:]
+    return float(own.mean()), float(top.max()), float(top.mean()), float(np.log(len(words)))
+
+
 class ToxicityModel:
-    """Log-likelihood ratios by slot and the logistic curve."""
+    """Log-likelihood ratios, held or as a table (code, ratio), and the logistic curve."""
 
-    def __init__(self, codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, bits: int):
-        self.bits = bits
-        self.ratios = np.zeros(1 << bits, np.float32)
+    def __init__(self, ratios: Ratios | None, table: DataFrame | None = None):
+        self.ratios, self.table = ratios, table
         self.weights = np.zeros(5)
         self.offset, self.scale = np.zeros(4), np.ones(4)
-        order = np.argsort(codes)
-        codes, counts = codes[order], np.stack([toxic[order], ordinary[order]])
-        if not len(codes) or not counts.sum(axis=1).all():
-            return
-        shared = shared_probabilities(codes, counts.sum(axis=0))
-        logs = []
-        for own in counts:
-            totals, kinds = _by_history(codes, own)
-            d = _discount(own)
-            seen = np.maximum(totals, 1)
-            logs.append(np.log(np.where(totals > 0, np.maximum(own - d, 0) / seen + d * kinds / seen * shared, shared)))
-        self.ratios[slots(codes, bits)] = logs[0] - logs[1]
-
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Log-likelihood ratio per character; of the most toxic word; mean of the three most toxic; log of the length."""
-        found = spelled(text)
-        if found is None:
-            return 0.0, 0.0, 0.0, 0.0
-        codes, starts = found
-        own = self.ratios[slots(codes, self.bits)].astype(np.float64)
-        words = np.add.reduceat(own, starts)
-        top = np.partition(words, -min(3, len(words)))[-3:]
-        return float(own.mean()), float(top.max()), float(top.mean()), float(np.log(len(words)))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression by Newton steps with a small ridge."""
@@ -172,21 +247,22 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, training: Column, calibration: Column, bits: int = SLOT_BITS, most_calibrated: int = MOST_CALIBRATED) -> ToxicityModel:
+def _ratios_of(counts: DataFrame, most_broadcast: int) -> tuple[Ratios | None, DataFrame | None]:
+    """The ratios of (code, toxic, ordinary) in one object up to a counted number of rows, as a table beyond it."""
+    n, toxic, ordinary = counts.agg(F.count("*"), F.sum("toxic"), F.sum("ordinary")).first()
+    if n <= most_broadcast or not toxic or not ordinary:
+        few = (counts if toxic and ordinary else counts.limit(0)).toArrow()
+        return class_ratios(*(np.asarray(few[c]) for c in ("code", "toxic", "ordinary"))), None
+    return None, class_ratio_table(counts)
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, training: Column, calibration: Column, most_broadcast: int = MOST_BROADCAST, most_calibrated: int = MOST_CALIBRATED) -> ToxicityModel:
     """Learn from the rows of ``labels`` (doc_id, toxic) where ``training`` holds; where ``calibration`` holds too, for the curve only."""
-    spark = docs.sparkSession
     known = labels.where(training & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = labelled(docs.select("doc_id", "text"), known.where(~calibration))
-    merged = (
-        counted(rows, bits)
-        .groupBy("slot")
-        .agg(F.max_by("code", F.struct(F.col("toxic") + F.col("ordinary"), "code")).alias("code"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-        .select("code", "toxic", "ordinary")
-        .toArrow()
-    )
-    model = ToxicityModel(*(np.asarray(merged[c]) for c in ("code", "toxic", "ordinary")), bits)
+    model = ToxicityModel(*_ratios_of(written(counted(rows), "expressions"), most_broadcast))
     chosen = known.where(calibration).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_calibrated)  # bounded by the parameter
-    found = _featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), spark.sparkContext.broadcast(model), ["toxic"]).toArrow()
+    found = _mapped(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), model, ["toxic"], FEATURES, lambda x: list(x.T)).toArrow()
     y = np.asarray(found["toxic"], np.float64)
     if len(y) and 0 < y.sum() < len(y):
         model.fit(np.column_stack([np.asarray(found[f"f{k}"]) for k in range(4)]), y)
@@ -196,27 +272,51 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, training: Column, calibra
     return model
 
 
-def _featured(rows: DataFrame, shared, keep: list[str]) -> DataFrame:
-    schema = rows.select(keep).schema
-    for k in range(4):
-        schema = schema.add(f"f{k}", "double")
+def _mapped(rows: DataFrame, model: ToxicityModel, keep: list[str], added: str, finish: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """The columns ``keep`` and those that ``finish`` makes of the features of each whole text."""
+    schema, names = rows.select(keep).schema, []
+    for field in added.split(", "):
+        schema, names = schema.add(*field.split(" ")), [*names, field.split(" ")[0]]
+    rows = rows.select(*dict.fromkeys([*keep, "text"]))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(iter(batches), "text", 4 << 20):
-            x = np.array([shared.value.features(t) for t in batch["text"].to_pylist()], np.float64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(x[:, k]) for k in range(4))], [*keep, "f0", "f1", "f2", "f3"])
+    def columns(texts: Iterable[str | None], ratios: Ratios) -> list[pa.Array]:
+        x = np.array([features(t, ratios) for t in texts], np.float64).reshape(-1, 4)
+        return [pa.array(c) for c in finish(x)]
 
-    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    if model.table is None:
+        shared = rows.sparkSession.sparkContext.broadcast(model.ratios)
 
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in in_chunks(iter(batches), "text", 4 << 20):
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *columns(batch["text"].to_pylist(), shared.value)], [*keep, *names])
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """``score`` of each whole text beside the columns ``keep``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(keep).schema.add("score", "double")
+        return rows.mapInArrow(run, schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(iter(batches), "text", 4 << 20):
-            x = np.array([shared.value.features(t) for t in batch["text"].to_pylist()], np.float64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(shared.value.scores(x))], [*keep, "score"])
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in in_chunks(iter(batches), "text", CHUNK):
+            yield batch.append_column("_chunk", pa.array(np.full(batch.num_rows, chunk)))
+            chunk += 1
+
+    def spelt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(iter(batches), "text", CHUNK):
+            chunks = np.asarray(batch["_chunk"])
+            for c in np.unique(chunks):
+                texts = batch["text"].filter(pa.array(chunks == c)).to_pylist()
+                codes = np.unique(np.concatenate([np.zeros(0, np.int64), *(f[0] for t in texts if (f := spelled(t)) is not None)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), c)), pa.array(codes)], ["_chunk", "code"])
+
+    def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
+        ratios = Ratios(known["code"].to_numpy(), known["ratio"].to_numpy())
+        return pa.Table.from_arrays([*(texts[c] for c in keep), *columns(texts["text"].to_pylist(), ratios)], [*keep, *names])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    held = written(rows.mapInArrow(dealt, StructType([*rows.schema, StructField("_chunk", LongType())])), "chunks")  # no text changes its chunk
+    known = held.select("_chunk", "text").mapInArrow(spelt, "_chunk long, code long").join(model.table, "code")
+    return held.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(scored, schema)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
+    """``score`` of each whole text beside the columns ``keep``."""
+    curve = ToxicityModel(None)
+    curve.weights, curve.offset, curve.scale = model.weights, model.offset, model.scale
+    return _mapped(docs, model, keep, "score double", lambda x: [curve.scores(x)])
