@@ -11,8 +11,8 @@ where D is estimated from the expressions seen once and twice. A rare expression
 in both models and so says little; one that neither class has seen says nothing.
 
 Scoring compares the two log-likelihoods per character: over the whole text, and over its words, of which the most
-toxic and the mean of the three most toxic count. A logistic curve fitted on a fold of the training rows that the counts leave out turns
-these and the length into a score from 0 to 1.
+toxic and the mean of the three most toxic count. A logistic curve turns these and the length into a score from 0 to 1. It is
+fitted on a fold of the training rows, by counts that leave this fold out; the final counts come from every training row.
 
 Tasks count, Spark sums by expression, and every expression keeps its own counts, so the model grows with the input. Up to a counted
 number of expressions the probabilities are worked out in numpy and every task holds them; beyond it they are Spark
@@ -257,12 +257,15 @@ def _ratios_of(counts: DataFrame, most_broadcast: int) -> tuple[Ratios | None, D
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, training: Column, calibration: Column, most_broadcast: int = MOST_BROADCAST, most_calibrated: int = MOST_CALIBRATED) -> ToxicityModel:
-    """Learn from the rows of ``labels`` (doc_id, toxic) where ``training`` holds; where ``calibration`` holds too, for the curve only."""
+    """Learn from all rows of ``labels`` (doc_id, toxic) where ``training`` holds; the curve from those where ``calibration`` holds too, by
+    the counts of the others."""
     known = labels.where(training & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = labelled(docs.select("doc_id", "text"), known.where(~calibration))
-    model = ToxicityModel(*_ratios_of(written(counted(rows), "expressions"), most_broadcast))
+    counts = [written(counted(labelled(docs.select("doc_id", "text"), known.where(c))), "expressions") for c in (~calibration, calibration)]
+    others = ToxicityModel(*_ratios_of(counts[0], most_broadcast))
     chosen = known.where(calibration).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_calibrated)  # bounded by the parameter
-    found = _mapped(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), model, ["toxic"], FEATURES, lambda x: list(x.T)).toArrow()
+    found = _mapped(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), others, ["toxic"], FEATURES, lambda x: list(x.T)).toArrow()
+    whole = counts[0].unionByName(counts[1]).groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    model = ToxicityModel(*_ratios_of(written(whole, "expressions"), most_broadcast))
     y = np.asarray(found["toxic"], np.float64)
     if len(y) and 0 < y.sum() < len(y):
         model.fit(np.column_stack([np.asarray(found[f"f{k}"]) for k in range(4)]), y)

@@ -50,3 +50,11 @@ def test_joined_scores_are_the_held_ones(spark, labelled_texts, monkeypatch):
         scores.append(sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(d, model, ["doc_id"]).collect()))
     assert [x[0] for x in scores[0]] == [x[0] for x in scores[1]] and len(scores[0]) == 303
     assert np.allclose([x[1] for x in scores[0]], [x[1] for x in scores[1]], atol=1e-5)
+
+
+@pytest.mark.parametrize("most", [10**6, 10])
+def test_the_fold_of_the_curve_is_counted(spark, labelled_texts, most):
+    d, m = labelled_texts
+    model = toxicity.learn_toxicity(d, m, F.lit(True), F.col("doc_id") % 5 == 1, most_broadcast=most)
+    occurring = {c for r in d.join(m, "doc_id").collect() if (f := toxicity.spelled(r.text)) for c in f[0].tolist()}
+    assert (set(model.ratios.codes.tolist()) if model.table is None else {r.code for r in model.table.collect()}) == occurring
