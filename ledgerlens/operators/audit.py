@@ -31,24 +31,24 @@ def duplicate_versions(versions: DataFrame) -> DataFrame:
     return versions.groupBy("version").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def version_report(versions: DataFrame, tags: DataFrame) -> DataFrame:
-    """Versions of a module (version, idx, mod_hash, zip_hash) beside an outside list (version, tag_mod_hash, tag_zip_hash).
+def version_report(versions: DataFrame, tags: DataFrame, by: tuple[str, ...] = ("version",)) -> DataFrame:
+    """Versions of a module, or of many by (module, version), with (version, idx, mod_hash, zip_hash) beside an outside list (version, tag_mod_hash, tag_zip_hash).
 
     A version without a tag, or whose tag has no module file, is a warning; a hash that differs is an error.
     """
-    known = tags.select("version", F.lit(True).alias("_tag"), "tag_mod_hash", "tag_zip_hash")
-    both = versions.join(known, "version", "left")
+    known = tags.select(*by, F.lit(True).alias("_tag"), "tag_mod_hash", "tag_zip_hash")
+    both = versions.join(known, list(by), "left")
     unknown = F.col("_tag").isNull() | (F.coalesce("tag_mod_hash", F.lit("")) == "")
     glyph = lambda own, other: F.when(unknown, WARN).when(F.col(own).eqNullSafe(F.col(other)), OK).otherwise(BAD)
     return both.select(
-        "version", "idx", F.when(F.col("_tag").isNull(), BAD).otherwise(OK).alias("found"),
+        *by, "idx", F.when(F.col("_tag").isNull(), BAD).otherwise(OK).alias("found"),
         glyph("mod_hash", "tag_mod_hash").alias("mod"), glyph("zip_hash", "tag_zip_hash").alias("zip"),
     )
 
 
-def tags_missing_from_log(versions: DataFrame, tags: DataFrame) -> DataFrame:
+def tags_missing_from_log(versions: DataFrame, tags: DataFrame, by: tuple[str, ...] = ("version",)) -> DataFrame:
     """Versions of the outside list that the log lacks."""
-    return tags.select("version").distinct().join(versions.select("version").distinct(), "version", "left_anti")
+    return tags.select(*by).distinct().join(versions.select(*by).distinct(), list(by), "left_anti")
 
 
 def directory_hash(files: DataFrame) -> DataFrame:

@@ -225,18 +225,25 @@ def map_fn_keys_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(counts, F.col("keys")).select(F.col("bucket").cast("long").alias("bucket"), F.col("upper").cast("long").alias("upper"), F.col("n").cast("long").alias("n"))
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The module that one audit looks at, and what tells versions of all modules apart.
+MODULE, BY_MODULE = "example.org/Brand-13", ("module", "version")
+
+
+def _versions(spark: SparkSession, sf_dir: str, module: str | None = MODULE) -> DataFrame:
+    """Versions of one module, or of all."""
     lines = _modules_log(spark, sf_dir).select("idx", codec.module_lines(mapfns.text_of(F.col("leaf"))).alias("m")).select("idx", "m.*")
-    return lines.where(F.col("module") == "example.org/" + "Brand-13")
+    return lines if module is None else lines.where(F.col("module") == module)
 
 
-def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An outside list made from the log: some versions are not in it, some have no module file, some hashes differ, one is new."""
-    v, k = _versions(spark, sf_dir), F.col("idx")
+def _tags(spark: SparkSession, sf_dir: str, module: str | None = MODULE) -> DataFrame:
+    """An outside list made from the log: some versions are not in it, some have no module file, some hashes differ, one of each module is new."""
+    v, k = _versions(spark, sf_dir, module), F.col("idx")
     known = v.where(k % 3 != 0).select(
-        "version", F.when(k % 4 == 0, F.lit("")).otherwise(F.col("mod_hash")).alias("tag_mod_hash"), F.when(k % 11 == 0, F.lit("h1:other")).otherwise(F.col("zip_hash")).alias("tag_zip_hash")
+        "module", "version", F.when(k % 4 == 0, F.lit("")).otherwise(F.col("mod_hash")).alias("tag_mod_hash"), F.when(k % 11 == 0, F.lit("h1:other")).otherwise(F.col("zip_hash")).alias("tag_zip_hash")
     )
-    return known.unionByName(spark.createDataFrame([("v9.9.9", "h1:a", "h1:b")], "version string, tag_mod_hash string, tag_zip_hash string"))
+    new = spark.createDataFrame([("v9.9.9", "h1:a", "h1:b")], "version string, tag_mod_hash string, tag_zip_hash string")
+    modules = spark.createDataFrame([(module,)], "module string") if module else v.select("module").distinct()
+    return known.unionByName(modules.crossJoin(F.broadcast(new)))
 
 
 def version_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +254,15 @@ def tags_missing_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.tags_missing_from_log(_versions(spark, sf_dir), _tags(spark, sf_dir))
 
 
+def version_audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every module."""
+    return audit.version_report(_versions(spark, sf_dir, None), _tags(spark, sf_dir, None), BY_MODULE)
+
+
+def tags_missing_from_log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.tags_missing_from_log(_versions(spark, sf_dir, None), _tags(spark, sf_dir, None), BY_MODULE)
+
+
 def _orders_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c, m: (F.col(c) % m).cast("string")
     pre = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("-rc."), number("o_orderkey", 12))).otherwise(F.lit(""))
@@ -367,7 +383,7 @@ def queries() -> dict[str, Query]:
         scan_range, leaf_hashes, tile_roots, merkle_root, compact_range_peaks, mapfn_delimited, mapfn_json_field, mapfn_multi_key, mapfn_module_line,
         domain_keys, wal_rows, wal_roundtrip, index_build, value_hashes, index_orders_by_customer, index_lineitem_by_part, chunked_commitments, lookup_present,
         lookup_absent, lookup_many, lookup_at_size, lookup_at_share, lookup_min_idx, lookup_delta, dereference, incremental_equals_full, map_fn_keys_histogram,
-        version_audit, tags_missing_from_log, duplicate_versions, semver_order, tile_paths, last_tile_page, jump_to_index, entry_preview, proxy_rewrite,
+        version_audit, tags_missing_from_log, version_audit_all, tags_missing_from_log_all, duplicate_versions, semver_order, tile_paths, last_tile_page, jump_to_index, entry_preview, proxy_rewrite,
         bundle_reframe, checkpoint_parse, output_leaf_codec, directory_hashes, map_root, trie_proof_verify, inclusion_proof_verify, inclusion_proof_verify_all,
     )
     from ledgerlens.plans.demo import QUERIES
