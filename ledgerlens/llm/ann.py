@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import tidied, written
 
 MOST_SAMPLE = 20_000
 SUBSPACES = 16
@@ -183,7 +183,7 @@ def nearest_neighbours(
                     [batch["entry"], pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["entry", "list", "code"]
                 )
 
-    coded = written(entries.select("entry", "v").mapInArrow(encode, "entry long, list int, code binary"), "codes")
+    coded = written(entries.select("entry", "v").mapInArrow(tidied(encode), "entry long, list int, code binary"), "codes")
     held = np.zeros(len(index.centres), np.int64)
     for r in coded.groupBy("list").count().collect():  # a row a list, at most most_sample / 8
         held[r["list"]] = r["count"]
@@ -205,7 +205,7 @@ def nearest_neighbours(
                 [batch["query_id"].take(pa.array(rows_of)), batch["v"].take(pa.array(rows_of)), pa.array(found), pa.array(reach[rows_of])], ["query_id", "v", "list", "reach"]
             )
 
-    probed = written(asked.mapInArrow(probe, "query_id long, v array<double>, list int, reach double"), "probed")
+    probed = written(asked.mapInArrow(tidied(probe), "query_id long, v array<double>, list int, reach double"), "probed")
     wanted = np.zeros(len(index.centres), np.int64)
     for r in probed.groupBy("list").count().collect():
         wanted[r["list"]] = r["count"]
@@ -248,7 +248,7 @@ def nearest_neighbours(
             d = _matrix(batch["v"]) - _matrix(batch["e"]) if batch.num_rows else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays([batch["query_id"], batch["ids"], pa.array(np.sqrt((d * d).sum(axis=1)))], ["query_id", "ids", "score"])
 
-    exact = pairs.select("query_id", "ids", "v", "e").mapInArrow(rerank, "query_id long, ids array<long>, score double")
+    exact = pairs.select("query_id", "ids", "v", "e").mapInArrow(tidied(rerank), "query_id long, ids array<long>, score double")
     exact = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return exact.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import in_chunks
+from ledgerlens.llm.common import in_chunks, tidied
 from ledgerlens.llm.tokens import forget
 
 UNKNOWN = "und"
@@ -144,7 +144,7 @@ def learn_profiles(docs: DataFrame, training: Column, top: int = TOP, most_langu
         yield from flushed()
 
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sums = rows.mapInArrow(count, "language string, code long, n long").groupBy("language", "code").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(tidied(count), "language string, code long, n long").groupBy("language", "code").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("language", F.pmod(F.hash("code"), F.lit(64))).orderBy(F.desc("n"), "code")
     then = Window.partitionBy("language").orderBy(F.desc("n"), "code")
     best = (
@@ -170,4 +170,4 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *new], [*keep, "lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import hashed_words, in_chunks, mixed, ragged, shingle_hashes, utf8
+from ledgerlens.llm.common import hashed_words, in_chunks, mixed, ragged, shingle_hashes, tidied, utf8
 
 PASSAGE = 50
 MOST_DOCUMENTS = 6000
@@ -164,7 +164,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, training: Column, most_doc
             rows = [x[a:b].ravel() for a, b in zip(before[:-1], before[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], ragged(rows, pa.float32())], ["doc_id", "quality", "x"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(describe, "doc_id long, quality int, x array<float>").toArrow()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(tidied(describe), "doc_id long, quality int, x array<float>").toArrow()
     found = found.sort_by("doc_id").combine_chunks()
     model = AttentionModel()
     y = np.asarray(found["quality"], np.float64)
@@ -194,4 +194,4 @@ def score_quality(docs: DataFrame, model: AttentionModel, keep: list[str]) -> Da
             at = hits[np.searchsorted(hits, before[:-1])] - before[:-1]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(p), pa.array(at.astype(np.int32)), pa.array(top)], [*keep, *new])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), schema)

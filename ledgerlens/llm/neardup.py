@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import hashed_words, in_chunks, mixed, shingle_hashes, utf8, written
+from ledgerlens.llm.common import hashed_words, in_chunks, mixed, shingle_hashes, tidied, utf8, written
 from ledgerlens.llm.tokens import forget
 
 WIDTH = 5
@@ -131,20 +131,20 @@ def signed(docs: DataFrame, rows: int, bands: int, width: int = WIDTH) -> DataFr
                 [batch["doc_id"], sizes, pa.array(prints, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, set) of the documents in ``ids`` (doc_id), a set as little-endian bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(iter(batches), "text", 2 << 20):
+        for batch in in_chunks(iter(batches), "text", 256 << 10):
             found = [s.tobytes() for s in shingle_sets(utf8(batch["text"]), width)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "set"])
 
     few = ids.limit(2_000_001).count() <= 2_000_000
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
+    return wanted.mapInArrow(tidied(run), "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, numerator: int, denominator: int, width: int = WIDTH) -> DataFrame:
@@ -164,7 +164,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, numerator: int, denominator: in
                 keep.append(common * denominator >= (len(p) + len(q) - common) * numerator)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _described(docs: DataFrame, ids: DataFrame, m: int, width: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _described(docs: DataFrame, ids: DataFrame, m: int, width: int) -> DataFrame
             signatures = mixed(superminhash(sets, m)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["set"], pa.array([x.tobytes() for x in signatures], pa.binary())], ["doc_id", "set", "sig"])
 
-    return _sets_of(docs, ids, width).mapInArrow(run, "doc_id long, set binary, sig binary")
+    return _sets_of(docs, ids, width).mapInArrow(tidied(run), "doc_id long, set binary, sig binary")
 
 
 def linked_in_cells(rows: pa.Table, numerator: int, denominator: int) -> tuple[list[int], list[int]]:
@@ -261,7 +261,7 @@ def _forest(links: DataFrame) -> DataFrame:
         if parent:
             yield flushed()
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(tidied(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import in_chunks, utf8
-from ledgerlens.llm.tokens import CACHE_WORDS, END_ID, encoder
+from ledgerlens.llm.common import in_chunks, tidied, utf8
+from ledgerlens.llm.tokens import CACHE_BYTES, END_ID, encoder
 
 WINDOW = 4096
 MOST_OPEN = 4096
@@ -135,14 +135,14 @@ def packed(documents: Iterable[tuple[int, bytes]], window: int = WINDOW, most_op
     yield from levels.drained()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int = MOST_OPEN, by_word: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_open: int = MOST_OPEN, by_word: bool = True, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Pack ``docs`` (doc_id long, text string) into sequences of ``window`` ids; one row per piece, ids included.
 
     There is no shuffle: texts are read, encoded and packed in one pass, and a lost task packs the same rows again.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, by_word, cache_words).encode
+        encode = encoder(tokenizer, by_word, cache_bytes).encode
         end = np.array([END_ID], "<u4").tobytes()
         base = 0
 
@@ -172,4 +172,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, most_o
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text", F.spark_partition_id().alias("_task")).mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("_task")).mapInArrow(tidied(run), PIECES)

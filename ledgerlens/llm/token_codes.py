@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import in_chunks, ragged, utf8
+from ledgerlens.llm.common import in_chunks, ragged, tidied, utf8
 from ledgerlens.llm.tokens import END_ID, encoder
 
 MAGIC = b"DAC1"
@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, shards: int |
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie")
         .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     )
-    ordered.mapInArrow(lambda it: _segments(it, tokenizer, by_word), SEGMENTS).write.option("compression", "zstd").parquet(f"{path}/segments")
+    ordered.mapInArrow(tidied(lambda it: _segments(it, tokenizer, by_word)), SEGMENTS).write.option("compression", "zstd").parquet(f"{path}/segments")
     sums = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").groupBy("shard").agg(F.sum("n_tokens")).collect()  # a row a shard
     base, rows = 0, []
     for shard, total in sorted(sums):
@@ -186,7 +186,7 @@ def _located(spark: SparkSession, path: str) -> DataFrame:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32)."""
-    return _located(spark, path).mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
+    return _located(spark, path).mapInArrow(tidied(_documents), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
@@ -206,4 +206,4 @@ def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame
                     [pa.array(own, pa.int64()), pa.array([access(row["codes"], p - start) for p in own], pa.int64())], ["position", "id"]
                 )
 
-    return _located(spark, path).where(hit).select("base", "first", "n_tokens", "codes").mapInArrow(look, "position long, id long")
+    return _located(spark, path).where(hit).select("base", "first", "n_tokens", "codes").mapInArrow(tidied(look), "position long, id long")

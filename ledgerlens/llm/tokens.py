@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from array import array
@@ -10,8 +9,10 @@ from itertools import accumulate, chain
 
 import numpy as np
 
-#: Words kept per Python worker; a word is one run without white space. About 300 bytes each.
-CACHE_WORDS = 900_000
+#: Bytes of words and their ids that a Python worker keeps; a word is one run without white space.
+CACHE_BYTES = 200 << 20
+#: What a word costs beside its own bytes and those of its ids: two objects and a place in the table.
+_ENTRY = 170
 #: The id appended to each document.
 END_ID = 2
 #: Letters of ASCII and Latin-1, then perhaps marks without an apostrophe: one or two pre-tokens, whatever stands beside them.
@@ -30,14 +31,15 @@ class WordEncoder:
     end-of-word mark. Tokenizers that do keep white space must set ``by_word=False``.
     """
 
-    def __init__(self, path: str, by_word: bool = True, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, by_word: bool = True, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word, self.cache_words = by_word, cache_words
+        self.by_word, self.cache_bytes = by_word, cache_bytes
         self.cache: dict[bytes, bytes] = {}
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.held = 0
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
         if suffix:
             self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
@@ -84,10 +86,12 @@ class WordEncoder:
             found = self.words(list({words[k] for k in unknown}))
             for k in unknown:
                 ids[k] = found[words[k]]
-            if len(self.cache) + len(found) <= self.cache_words:
+            size = sum(map(len, found)) + sum(map(len, found.values())) + _ENTRY * len(found)
+            if self.held + size <= self.cache_bytes:
                 self.cache.update(found)
-            elif len(unknown) > len(words) // 2:  # the words have changed: start again with these
-                self.cache = found
+                self.held += size
+            elif len(unknown) > len(words) // 2 and size <= self.cache_bytes:  # the words have changed: start again with these
+                self.cache, self.held = found, size
         stops = list(accumulate(map(len, split)))
         return [b"".join(ids[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
 
@@ -97,9 +101,9 @@ def forget() -> None:
     _loaded.clear()
 
 
-def encoder(path: str, by_word: bool = True, cache_words: int = CACHE_WORDS) -> WordEncoder:
+def encoder(path: str, by_word: bool = True, cache_bytes: int = CACHE_BYTES) -> WordEncoder:
     """One encoder per file and Python worker; workers serve many tasks."""
     key = f"{path}:{by_word}"
     if key not in _loaded:
-        _loaded[key] = WordEncoder(path, by_word, cache_words)
+        _loaded[key] = WordEncoder(path, by_word, cache_bytes)
     return _loaded[key]

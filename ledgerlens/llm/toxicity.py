@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerlens.llm.common import in_chunks, labelled, mixed, written
+from ledgerlens.llm.common import in_chunks, labelled, mixed, tidied, written
 from ledgerlens.llm.langid import folded
 
 ORDER = 6
@@ -131,7 +131,7 @@ def counted(rows: DataFrame) -> DataFrame:
                 size = 0
         yield flushed()
 
-    parts = rows.select("text", "toxic").mapInArrow(run, "code long, toxic long, ordinary long")
+    parts = rows.select("text", "toxic").mapInArrow(tidied(run), "code long, toxic long, ordinary long")
     return parts.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -293,7 +293,7 @@ def _mapped(rows: DataFrame, model: ToxicityModel, keep: list[str], added: str,
             for batch in in_chunks(iter(batches), "text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *columns(batch["text"].to_pylist(), shared.value)], [*keep, *names])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidied(run), schema)
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 33
@@ -313,8 +313,8 @@ def _mapped(rows: DataFrame, model: ToxicityModel, keep: list[str], added: str,
         ratios = Ratios(known["code"].to_numpy(), known["ratio"].to_numpy())
         return pa.Table.from_arrays([*(texts[c] for c in keep), *columns(texts["text"].to_pylist(), ratios)], [*keep, *names])
 
-    held = written(rows.mapInArrow(dealt, StructType([*rows.schema, StructField("_chunk", LongType())])), "chunks")  # no text changes its chunk
-    known = held.select("_chunk", "text").mapInArrow(spelt, "_chunk long, code long").join(model.table, "code")
+    held = written(rows.mapInArrow(tidied(dealt), StructType([*rows.schema, StructField("_chunk", LongType())])), "chunks")  # no text changes its chunk
+    known = held.select("_chunk", "text").mapInArrow(tidied(spelt), "_chunk long, code long").join(model.table, "code")
     return held.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(scored, schema)
 
 

@@ -32,7 +32,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-_ENCODER = WordEncoder(TOKENIZER, cache_words=500)
+_ENCODER = WordEncoder(TOKENIZER, cache_bytes=100_000)
 
 
 @settings(max_examples=300, deadline=None)
