@@ -22,8 +22,8 @@ from ledgerlens.llm.queries import mix_levels, mix_weights, tokenizer_file
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text less like every profile than this is in none of the languages.
 LEAST_SCORE = 0.1
-#: Words that the packing stage keeps in each Python worker; the workers serve the other stages too.
-CACHE_WORDS = 400_000
+#: Bytes of words that the packing stage keeps in each Python worker: less than alone, as the executor's heap has grown in the stages before.
+CACHE_BYTES = 40 << 20
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 4096-token sequences."""
-    return pack_documents(docs, tokenizer_file(), cache_words=CACHE_WORDS).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack_documents(docs, tokenizer_file(), cache_bytes=CACHE_BYTES).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
