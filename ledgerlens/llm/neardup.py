@@ -8,15 +8,17 @@ any, so the steps stop there; a document of n elements takes about m log(m) / n
 Stages, each written to the shared folder:
 
 1. One pass over the texts gives per document the size and a fingerprint of its set, and its bands.
-2. Documents with equal sets are one class, represented by the smallest doc_id; only representatives go on, so a group of copies
-   of any size is one row. Representatives with equal bands are in one bucket.
+2. Documents with equal sets are one class with a number of its own; only classes go on, so a group of copies
+   of any size is one row. Classes with equal bands are in one bucket.
 3. Each bucket sends its members to one hub, the member that shares most buckets with others: the original of a family of edited
    copies. These pairs are confirmed on the full sets, read again from the texts of the documents concerned only, and union-find
    makes components of the links.
-4. A bucket that now lies in one component has nothing to add. The members of the others form families (joined by such buckets),
-   each with its sets once. Tasks compare a family in cells of at most ``CELL`` texts of like size, two cells a task: pairs of
-   different components whose signatures come near the threshold are confirmed on the full sets, and only links leave
-   the task. So every pair that shares a bucket is decided, and no pair is ever a row but those with a hub and the links.
+4. A bucket that now lies in one component has nothing to add. The members of the others form families (joined by such buckets). A
+   family is compared as a whole, or bucket by bucket where that sends fewer rows (then rows grow with the family, as long as its buckets
+   do not), in cells of at most ``CELL`` texts of like size, two cells a task. First only signatures go there, and what comes back is
+   which texts have a partner, of another component, near the threshold; then their sets follow them into the same cells, where
+   such pairs are confirmed and only links leave the task. So every pair that shares a bucket is decided, and no pair is ever a row but
+   those with a hub and the links. A bucket of k texts, more than a cell, sends k * k / ``CELL`` signatures.
 
 The bands' length and number follow from the threshold so that a pair exactly at it is missed with probability ``most_missed``. Pairs
 whose sizes alone rule the threshold out are not confirmed, nor (in step 4) those whose signatures agree in fewer places than
@@ -24,10 +26,14 @@ a pair at the threshold would by 6.5 standard deviations; nothing else is left o
 
 Union-find is distributed: tasks first reduce their own links to a forest, then rounds of joins point every node at the
 smallest node that its neighbours know and that node's own pointer, until nothing changes. No link or component reaches the driver.
+Joins on a band, a node or a label deal the rows of a key that has more than ``HOT`` over many tasks and copy the other
+side's one row to each of them.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and are linked with nothing; a text shorter than
-``width`` words is one element; repeated rows are in one class; rows without doc_id are linked with nothing and have no
-component; an empty table gives an empty table; other columns are ignored.
+``width`` words is one element; repeated rows are in one class; rows of one doc_id with different texts are judged each by its own
+text, and count as one document no more than any others do; rows without doc_id are linked with nothing and have no
+component; a very long text is hashed in pieces, so that beside it only some 40 bytes a word are held; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +51,13 @@ from ledgerlens.llm.tokens import forget
 
 WIDTH = 5
 MOST_MISSED = 1e-8
-CELL = 512
+CELL = 2048
+#: Bytes of the sets of one cell, about; one text at least.
+CELL_BYTES = 32 << 20
+#: Rows of one key that one task of a join takes, about.
+HOT = 100_000
+#: Keys with more rows than that, at most, that are broadcast; beyond it all rows meet unsalted.
+MOST_HOT = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +76,11 @@ def shingle_sets(items: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[a:b], width)) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+def fingerprint(s: np.ndarray) -> bytes:
+    """24 bytes that name a set."""
+    return np.array([s.sum(), mixed(s ^ _STEP).sum(), len(s)], np.uint64).tobytes()
+
+
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     """Signatures of non-empty sets, a row each, all steps taken for many documents at once.
 
@@ -102,7 +119,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, rows: int, bands: int, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, print (fingerprint of the set; null if empty), bands (a 64-bit key for each band)."""
+    """doc_id, text_hash, n_shingles, print (fingerprint of the set; null if empty), bands (a 64-bit key for each band)."""
     m = rows * bands
     salts = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
@@ -120,7 +137,7 @@ def signed(docs: DataFrame, rows: int, bands: int, width: int = WIDTH) -> DataFr
             prints, own = [], []
             for s in sets:
                 if len(s):
-                    prints.append(np.array([s.sum(), mixed(s ^ _STEP).sum(), len(s)], np.uint64).tobytes())
+                    prints.append(fingerprint(s))
                     own.append(keys[at])
                     at += 1
                 else:
@@ -128,30 +145,37 @@ def signed(docs: DataFrame, rows: int, bands: int, width: int = WIDTH) -> DataFr
                     own.append(None)
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], sizes, pa.array(prints, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"]
+                [batch["doc_id"], batch["text_hash"], sizes, pa.array(prints, pa.binary()), pa.array(own, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "print", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, print binary, bands array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(tidied(run), "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, set) of the documents in ``ids`` (doc_id), a set as little-endian bytes."""
+def _sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(cid, set) of ``classes`` (cid, doc_id, print), from the text of that document that has that fingerprint; a set as little-endian bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(iter(batches), "text", 256 << 10):
-            found = [s.tobytes() for s in shingle_sets(utf8(batch["text"]), width)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "set"])
+            sets = shingle_sets(utf8(batch["text"]), width)
+            prints = pa.array([fingerprint(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], prints, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "print", "set"])
 
-    few = ids.limit(2_000_001).count() <= 2_000_000
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(tidied(run), "doc_id long, set binary").dropDuplicates(["doc_id"])
+    few = classes.limit(1_000_001).count() <= 1_000_000
+    small = F.broadcast if few else lambda x: x
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(classes.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = wanted.mapInArrow(tidied(run), "doc_id long, print binary, set binary").join(small(classes), ["doc_id", "print"])
+    return found.select("cid", "set").dropDuplicates(["cid"])  # repeated rows
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, numerator: int, denominator: int, width: int = WIDTH) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have intersection * denominator >= union * numerator."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    sets = written(_sets_of(docs, ids, width), "sets")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int, width: int = WIDTH) -> DataFrame:
+    """Those of ``pairs`` (a, b) of ``classes`` (cid, doc_id, print) whose sets have intersection * denominator >= union * numerator."""
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = written(_sets_of(docs, written(classes.select("cid", "doc_id", "print").join(ids, "cid"), "ids"), width), "sets")
+    joined = meeting(pairs.withColumnRenamed("b", "cid"), sets, "cid").select("a", F.col("cid").alias("b"), F.col("set").alias("set_b"))
+    counts = pairs.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("members"))
+    joined = meeting(joined.withColumnRenamed("a", "cid"), sets, "cid", counts).withColumnsRenamed({"cid": "a", "set": "set_a"})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,35 +191,63 @@ def confirmed(docs: DataFrame, pairs: DataFrame, numerator: int, denominator: in
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(tidied(run), "a long, b long")
 
 
-def _described(docs: DataFrame, ids: DataFrame, m: int, width: int) -> DataFrame:
-    """(doc_id, set, sig) of the documents in ``ids``; sig has a byte of each place of the signature."""
+def meeting(rows: DataFrame, single: DataFrame, key: str | list[str], counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``single``, which has one row a key. The rows of a key with more than ``HOT`` are dealt over tasks, each with a
+    copy of the single row. ``counts`` (key, members) has the rows of each key, at least, where these are known."""
+    by = [key] if isinstance(key, str) else key
+    counts = rows.groupBy(*by).agg(F.count("*").alias("members")) if counts is None else counts
+    hot = counts.where(F.col("members") > HOT).select(*by, F.ceil(F.col("members") / HOT).cast("int").alias("_parts"))
+    if not 0 < hot.limit(MOST_HOT + 1).count() <= MOST_HOT:
+        return rows.join(single, by)
+    hot = F.broadcast(written(hot, "hot"))
+    other = [c for c in rows.columns if c not in by]
+    dealt = rows.join(hot, by, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*other), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copied = single.join(hot, by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return dealt.join(copied, [*by, "_salt"]).drop("_salt")
+
+
+def _signatures(sets: DataFrame, m: int) -> DataFrame:
+    """(cid, sig) of (cid, set): a byte of each place of the signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(iter(batches), "set", 128 << 10):
-            sets = [np.frombuffer(x, np.uint64) for x in batch["set"].to_pylist()]
-            signatures = mixed(superminhash(sets, m)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["set"], pa.array([x.tobytes() for x in signatures], pa.binary())], ["doc_id", "set", "sig"])
+            found = mixed(superminhash([np.frombuffer(x, np.uint64) for x in batch["set"].to_pylist()], m)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["cid"], pa.array([x.tobytes() for x in found], pa.binary())], ["cid", "sig"])
 
-    return _sets_of(docs, ids, width).mapInArrow(tidied(run), "doc_id long, set binary, sig binary")
+    return sets.mapInArrow(tidied(run), "cid long, sig binary")
 
 
-def linked_in_cells(rows: pa.Table, numerator: int, denominator: int) -> tuple[list[int], list[int]]:
-    """Links between the texts of two cells (side 0 and 1) or within one (all on side 0) that join different components."""
-    ids, side = rows["doc_id"].to_pylist(), np.asarray(rows["side"])
-    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
-    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    n = np.array([len(s) for s in sets])
-    root = np.asarray(rows["component"]).copy()
+def _partners(rows: pa.Table, numerator: int, denominator: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, others, sizes, root) of each text of a task and those beside it, of other components, that the sizes and signatures leave. Side 0 meets
+    side 1, or itself if there is none. The caller may join components in ``root`` meanwhile."""
+    side, n, root = np.asarray(rows["side"]), np.asarray(rows["n_shingles"]), np.asarray(rows["component"]).copy()
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(n), -1)
     t, m = numerator / denominator, sig.shape[1]
     least = m * t - 6.5 * math.sqrt(m * t * (1 - t))
-    two = side.max() > 0
-    out: tuple[list[int], list[int]] = ([], [])
+    right = np.flatnonzero(side == 1)
     for a in np.flatnonzero(side == 0):
-        other = np.flatnonzero(side == 1) if two else np.arange(a + 1, len(ids))
+        other = right if len(right) else np.arange(a + 1, len(n))
         other = other[(root[other] != root[a]) & (np.minimum(n[other], n[a]) * denominator >= np.maximum(n[other], n[a]) * numerator)]
         other = other[(sig[other] == sig[a]).sum(axis=1) >= least]
-        if not len(other):
-            continue
+        if len(other):
+            yield a, other, n, root
+
+
+def with_partners(rows: pa.Table, numerator: int, denominator: int) -> np.ndarray:
+    """Which texts of a task have a partner near the threshold."""
+    out = np.zeros(rows.num_rows, bool)
+    for a, other, _, _ in _partners(rows, numerator, denominator):
+        out[a] = True
+        out[other] = True
+    return out
+
+
+def linked_in_cells(rows: pa.Table, numerator: int, denominator: int) -> tuple[list[int], list[int]]:
+    """Links between the texts of two cells (side 0 and 1) or within one (all on side 0) that join different components."""
+    ids = rows["cid"].to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    out: tuple[list[int], list[int]] = ([], [])
+    for a, other, n, root in _partners(rows, numerator, denominator):
         flat = np.concatenate([sets[b] for b in other])
         found = sets[a][np.minimum(np.searchsorted(sets[a], flat), n[a] - 1)] == flat
         common = np.add.reduceat(found.astype(np.int64), np.cumsum(n[other]) - n[other])
@@ -206,32 +258,54 @@ def linked_in_cells(rows: pa.Table, numerator: int, denominator: int) -> tuple[l
     return out
 
 
-def linked_in_families(docs: DataFrame, members: DataFrame, numerator: int, denominator: int, m: int, width: int) -> DataFrame:
-    """Links (a, b) within families; ``members`` has doc_id, n_shingles, component and family, a row for each text."""
-    step = -math.log(numerator / denominator)
-    total = members.groupBy("family").agg(F.count("*").alias("total"))
-    sized = members.join(total, "family").withColumn("size", F.when(F.col("total") <= CELL, 0).otherwise(F.floor(F.log("n_shingles") / step)).cast("int"))
-    cells = sized.groupBy("family", "size").agg(F.ceil(F.count("*") / CELL).cast("int").alias("subs"))
-    near = cells.select("family", F.col("size").alias("near"), F.col("subs").alias("near_subs"))
+def dealt_in_cells(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(family, key, one, two, side, cid, n_shingles, component): each text of ``members`` (family, key, cid, n_shingles, component; a row
+    for each open bucket of a text) in the tasks (family, key, one, two) where it meets others; key is 0 in a family compared as a whole."""
+    texts = written(members.drop("key").distinct(), "texts")
+    cells_of = lambda n: F.ceil(F.col(n) / CELL)
+    whole = texts.groupBy("family").agg(F.count("*").alias("n")).select("family", (F.col("n") * cells_of("n")).alias("as_one"), (F.col("n") > CELL).alias("large"))
+    split = members.groupBy("family", "key").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum(F.col("n") * cells_of("n")).alias("by_key"))
+    ways = written(whole.join(split, "family").select("family", "large", (F.col("large") & (F.col("by_key") < F.col("as_one"))).alias("split")), "ways")
+    as_one = meeting(texts, ways.where("not split").drop("split"), "family").withColumn("key", F.lit(0).cast("long"))
+    by_key = meeting(members, ways.where("split").drop("split"), "family")
     # texts whose sizes allow a link are in the same or in neighbouring size classes
-    dealt = (
-        sized.join(cells, ["family", "size"])
-        .withColumn("sub", F.pmod(F.hash("doc_id"), "subs"))
+    step = -math.log(numerator / denominator)
+    size = F.when(F.col("large"), F.floor(F.log("n_shingles") / step)).otherwise(0).cast("int")
+    sized = written(as_one.unionByName(by_key).withColumn("size", size).drop("large"), "units")
+    subs = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n_shingles") * 8 / CELL_BYTES)).cast("int")
+    cells = written(sized.groupBy("family", "key", "size").agg(subs.alias("subs")), "cells")
+    near = cells.select("family", "key", F.col("size").alias("near"), F.col("subs").alias("near_subs"))
+    return (
+        meeting(sized, cells, ["family", "key", "size"])
+        .withColumn("sub", F.pmod(F.hash("cid"), "subs"))
         .withColumn("near", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-        .join(near, ["family", "near"])
+        .join(near, ["family", "key", "near"])  # rows of one cell and its neighbours: no more than the tasks below
         .withColumn("near_sub", F.explode(F.sequence(F.lit(0), F.col("near_subs") - 1)))
         .withColumn("own", F.struct("size", "sub"))
         .withColumn("other", F.struct(F.col("near").alias("size"), F.col("near_sub").alias("sub")))
-        .select("family", "doc_id", "component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+        .select("family", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "side", "cid", "n_shingles", "component")
     )
-    described = written(_described(docs, members.select("doc_id").distinct(), m, width), "described")
 
-    def run(table: pa.Table) -> pa.Table:
+
+def linked_in_families(docs: DataFrame, classes: DataFrame, members: DataFrame, numerator: int, denominator: int, m: int, width: int) -> DataFrame:
+    """Links (a, b) within families; ``members`` has family, key, cid, n_shingles and component, a row for each text and bucket."""
+    ids = members.select("cid").distinct()
+    sets = written(_sets_of(docs, written(classes.select("cid", "doc_id", "print").join(ids, "cid"), "ids"), width), "sets")
+    signatures = written(_signatures(sets, m), "signatures")
+    task = ["family", "key", "one", "two"]
+    dealt = written(dealt_in_cells(members, numerator, denominator), "dealt")
+
+    def chosen(table: pa.Table) -> pa.Table:
+        return table.filter(pa.array(with_partners(table, numerator, denominator)))
+
+    def linked(table: pa.Table) -> pa.Table:
         a, b = linked_in_cells(table, numerator, denominator)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = dealt.join(described, "doc_id")
-    return rows.groupBy("family", "one", "two").applyInArrow(run, "a long, b long")
+    rows = dealt.join(signatures, "cid").select(*dealt.columns, "sig")
+    near = written(rows.groupBy(*task).applyInArrow(chosen, rows.schema), "near")
+    return near.join(sets, "cid").groupBy(*task).applyInArrow(linked, "a long, b long")
 
 
 def _forest(links: DataFrame) -> DataFrame:
@@ -268,66 +342,76 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``links`` (a, b), the component being its smallest node.
 
     Each round gives a node the least label among its own, its neighbours', and those labels' own labels; long chains halve
-    in every round.
+    in every round. A star of any size is no hot task: see ``meeting``.
     """
     forest = written(_forest(links), "forest")
     edges = written(forest.union(forest.select("b", "a")).distinct().toDF("node", "other"), "edges")
     labels = written(edges.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
+    degrees = edges.groupBy("other").agg(F.count("*").alias("members"))
+    degrees = written(degrees.where(F.col("members") > HOT), "degrees")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
+        seen = labels.select(F.col("node").alias("other"), F.col("label").alias("seen"))
+        near = meeting(edges, seen, "other", degrees).groupBy("node").agg(F.min("seen").alias("seen"))
         # hooks: a label's own node takes the least label that any of its followers sees
-        step = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("next"))
+        step = written(labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("next")), "step")
         hooks = step.groupBy("label").agg(F.min("next").alias("hook"))
-        new = step.join(hooks, "label").select("node", F.col("label").alias("old"), F.least("next", "hook").alias("mid"))
-        jump = new.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        new = new.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label"))
-        new = written(new, "labels")
-        changed = not new.where(F.col("label") < F.col("old")).isEmpty()
-        labels = new.select("node", "label")
+        mids = meeting(step, hooks, "label").select("node", F.col("label").alias("old"), F.least("next", "hook").alias("mid"))
+        mids = written(mids, "mids")
+        jump = mids.select(F.col("node").alias("mid"), F.col("mid").alias("far"))  # every label is a node
+        labels = written(meeting(mids, jump, "mid").select("node", "old", F.least("mid", "far").alias("label")), "labels")
+        changed = not labels.where(F.col("label") < F.col("old")).isEmpty()
+        labels = labels.select("node", "label")
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, numerator: int = 8, denominator: int = 10, width: int = WIDTH, most_missed: float = MOST_MISSED) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text); linked if J >= numerator / denominator."""
+def near_duplicates(docs: DataFrame, numerator: int = 8, denominator: int = 10, width: int = WIDTH, most_missed: float = MOST_MISSED, with_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text); linked if J >= numerator / denominator.
+
+    ``with_hash`` adds text_hash, Spark's xxhash64 of the text, which tells rows of one doc_id apart.
+    """
     rows, bands = bands_for(numerator / denominator, most_missed)
     prints = written(signed(docs, rows, bands, width), "signed")
     own = prints.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(own.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("print", "r.*"), "classes")
+    classes = own.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("print", "r.*")
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    keyed = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = written(keyed.join(sizes, "key"), "members")
-    shared = members.groupBy("doc_id").agg(F.sum("members").alias("shared"))
-    ranked = members.select("key", "doc_id", "n_shingles").join(shared, "doc_id")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("shared", -F.col("doc_id"), "doc_id", "n_shingles")).alias("hub"))
-    hubs = hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
+    keyed = classes.select("cid", "n_shingles", F.explode("bands").alias("key"))
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    members = written(meeting(keyed, sizes, "key", sizes), "members")
+    shared = members.groupBy("cid").agg(F.sum("members").alias("shared"))
+    ranked = members.select("key", "cid", "n_shingles").join(shared, "cid")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("shared", -F.col("cid"), "cid", "n_shingles")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.cid").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
 
     def sized(a: str, b: str):
         return F.least(a, b) * denominator >= F.greatest(a, b) * numerator
 
-    stars = members.join(hubs, "key").where((F.col("doc_id") != F.col("hub")) & sized("n_shingles", "hub_n"))
-    stars = written(stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = written(confirmed(docs, stars, numerator, denominator, width), "links")
+    stars = meeting(members, hubs, "key", sizes).where((F.col("cid") != F.col("hub")) & sized("n_shingles", "hub_n"))
+    stars = written(stars.select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
+    links = written(confirmed(docs, stars, classes, numerator, denominator, width), "links")
     found = components(links)
 
-    labelled = members.select("key", "doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_up = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    open_ = written(labelled.join(mixed_up.select("key"), "key", "left_semi"), "open")
+    named = members.select("key", "cid", "n_shingles").join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    named = named.withColumn("component", F.coalesce("component", "cid"))
+    mixed_up = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    open_ = written(meeting(named, mixed_up.select("key"), "key", sizes), "open")
     if not open_.isEmpty():
-        first = open_.groupBy("key").agg(F.min("doc_id").alias("b"))
-        families = components(open_.join(first, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
-        texts = open_.select("doc_id", "n_shingles", "component").distinct()
-        texts = written(texts.join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"), "families")
-        more = written(linked_in_families(docs, texts, numerator, denominator, rows * bands, width), "more")
+        first = open_.groupBy("key").agg(F.min("cid").alias("b"))
+        families = components(meeting(open_, first, "key", sizes).where("cid <> b").select(F.col("cid").alias("a"), "b"))
+        texts = written(open_.join(families.select(F.col("node").alias("cid"), F.col("component").alias("family")), "cid"), "families")
+        more = written(linked_in_families(docs, classes, texts, numerator, denominator, rows * bands, width), "more")
         if not more.isEmpty():
             found = components(links.union(more))
 
-    reached = classes.select("print", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("print", F.coalesce("component", "doc_id").alias("component"))
-    return (
-        prints.select("doc_id", "n_shingles", "print")
-        .join(reached, "print", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    reached = classes.select("print", "doc_id", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("print", "doc_id", F.coalesce("component", "cid").alias("component"))
+    reached = written(reached, "reached")
+    least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = meeting(reached.select("print", "component"), least, "component").select("print", "component_id")
+    copies = own.groupBy("print").agg(F.count("*").alias("members"))
+    known = F.col("print").isNotNull() & F.col("doc_id").isNotNull()
+    by_print = meeting(prints.where(known).select("doc_id", "text_hash", "n_shingles", "print"), named, "print", copies)
+    alone = prints.where(~known).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    every = by_print.select(alone.columns).unionByName(alone)
+    every = every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return every if with_hash else every.drop("text_hash")

@@ -28,38 +28,50 @@ def _quoted(text: str) -> str:
 
 
 def _distance(p: str, q: str) -> str:
-    part = "(CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END)"
+    part = "(CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END)"
     x, y = f"({p}[k] / list_sum({p}))", f"({q}[k] / list_sum({q}))"
     terms = f"list_transform(range(1, len({p}) + 1), lambda k: ({part.format(x=x, y=y)} + {part.format(x=y, y=x)}) / 2)"
     return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0, list_sum({terms}))) ELSE 0 END"
 
 
+def _quantile(source: str, by: str, value: str, share: float) -> str:
+    """Per ``by``, the smallest value that at least that share of the rows do not exceed."""
+    ranked = f"SELECT {by}, {value}, row_number() OVER (PARTITION BY {by} ORDER BY {value}) AS r, count(*) OVER (PARTITION BY {by}) AS n FROM {source}"
+    return f"SELECT {by}, {value} AS q FROM ({ranked}) WHERE r = greatest(1, ceil({share} * n)::BIGINT)"
+
+
 def quality_rules() -> str:
-    known = ", ".join(map(_quoted, rules.COMMON_WORDS))
     classes = [f"len(regexp_extract_all(t, {_quoted(c)}))" for c in rules.CLASSES]
-    listed = " ".join(
-        f"WHEN '{lang}' THEN [" + ", ".join(f"len(list_filter(lw, lambda x: x = {_quoted(w)}))" for w in words) + "]" for lang, words in rules.COMMON_WORDS.items()
-    )
-    longest = 1 + max(map(len, rules.COMMON_WORDS.values()))
-    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{k}])" for k in range(1, n + 1)) + "]"
+    shares = lambda name, total, wanted: f"(SELECT grp, unnest(range(1, len({name}) + 1)) AS k, unnest(list_transform({name}, lambda x: x / {total})) AS v FROM kinds WHERE {wanted} AND {name} IS NOT NULL)"
+    by_class, by_word = f"word_chars >= {rules.LEAST_CHARS}", f"n_words >= {rules.LEAST_WORDS}"
+    reference = lambda name, total, wanted: f"SELECT grp, list(q ORDER BY k) AS ref FROM ({_quantile(shares(name, total, wanted), 'grp, k', 'v', 0.5)}) GROUP BY grp"
+    near = lambda name, wanted, ref: f"CASE WHEN {wanted} AND {name} IS NOT NULL AND {ref} IS NOT NULL THEN {_distance(name, ref)} WHEN {wanted} THEN 0 END"
+    columns = f"({near('classes', by_class, 'ra.ref')}) * sqrt(word_chars) AS cz, ({near('listed', by_word, 'rb.ref')}) * sqrt(n_words) AS wz"
+    joins = "LEFT JOIN ra ON ra.grp = x.grp LEFT JOIN rb ON rb.grp = x.grp"
+    fence = lambda z: f"SELECT lo.grp, CASE WHEN lo.q > 0 THEN hi.q * pow(greatest(hi.q / lo.q, {rules.LEAST_SPREAD}), {rules.FENCE}) END AS most FROM ({_quantile(f'(SELECT grp, {z} FROM scaled WHERE {z} IS NOT NULL)', 'grp', z, 0.25)}) lo JOIN ({_quantile(f'(SELECT grp, {z} FROM scaled WHERE {z} IS NOT NULL)', 'grp', z, 0.75)}) hi ON lo.grp = hi.grp"
     return f"""
-WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS.format("text")} AS w,
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS.format("text")} AS w, {_WORDS.format("lower(text)")} AS lw,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+u AS (SELECT doc_id, lang, unnest(lw) AS word FROM w WHERE len(w) >= 10 AND lang IS NOT NULL),
+df AS (SELECT lang, word, count(*) AS n FROM (SELECT doc_id, lang, word FROM u GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
+common AS (SELECT lang, list(word ORDER BY n DESC, word) AS words FROM (SELECT * FROM df QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {rules.TOP_WORDS}) GROUP BY lang),
 v AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
 twice AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS x(k) GROUP BY doc_id),
-c AS (SELECT w.doc_id, CASE WHEN lang IN ({known}) THEN lang ELSE '*' END AS language, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {classes[2]} AS n_symbols,
-             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, [{", ".join(classes)}] AS own,
-             list_transform(w, lambda x: lower(x)) AS lw, lang FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
-f AS (SELECT * EXCLUDE (lw), list_append(own, word_chars - list_sum(own)) AS classes, CASE lang {listed} END AS counts,
+c AS (SELECT w.doc_id, w.lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {classes[2]} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(r.n, 0) AS n_repeat_words, [{", ".join(classes)}] AS own, list_transform(words, lambda x: len(list_filter(lw, lambda y: y = x))) AS counts
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN common ON common.lang = w.lang),
+f AS (SELECT *, list_append(own, word_chars - list_sum(own)) AS classes, CASE WHEN counts IS NOT NULL THEN list_append(counts, n_words - coalesce(list_sum(counts), 0)) END AS all_listed,
              n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-g AS (SELECT *, CASE WHEN counts IS NOT NULL THEN list_append(counts, n_words - list_sum(counts)) END AS listed FROM f),
-a AS (SELECT language, {sums("classes", len(rules.CLASSES) + 1)} AS all_classes, {sums("listed", longest)} AS all_listed FROM g WHERE NOT base_failed GROUP BY language),
-d AS (SELECT g.*, CASE WHEN word_chars >= {rules.LEAST_CHARS} AND all_classes IS NOT NULL THEN {_distance("classes", "all_classes")} ELSE 0 END AS class_distance,
-             CASE WHEN n_words >= {rules.LEAST_WORDS} AND listed IS NOT NULL AND all_listed IS NOT NULL THEN {_distance("listed", "all_listed[1:len(listed)]")} ELSE 0 END AS common_distance
-      FROM g LEFT JOIN a ON a.language = g.language)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND class_distance <= {rules.MOST_CLASSES} AND common_distance <= {rules.MOST_COMMON} AS kept FROM d"""
+large AS (SELECT lang FROM f WHERE NOT base_failed AND ({by_class} OR {by_word}) AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {rules.LEAST_DOCUMENTS}),
+g AS (SELECT f.*, CASE WHEN large.lang IS NOT NULL THEN '=' || f.lang ELSE '*' END AS grp, CASE WHEN large.lang IS NOT NULL THEN all_listed END AS listed FROM f LEFT JOIN large ON large.lang = f.lang),
+kinds AS (SELECT DISTINCT grp, classes, listed, word_chars, n_words FROM g WHERE NOT base_failed AND ({by_class} OR {by_word})),
+ra AS ({reference("classes", "word_chars", by_class)}), rb AS ({reference("listed", "n_words", by_word)}),
+scaled AS (SELECT x.grp, {columns} FROM kinds x {joins}),
+fa AS ({fence("cz")}), fb AS ({fence("wz")}),
+d AS (SELECT x.*, {columns} FROM g x {joins})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cz <= fa.most, TRUE) AND coalesce(wz <= fb.most, TRUE) AS kept
+FROM d LEFT JOIN fa ON fa.grp = d.grp LEFT JOIN fb ON fb.grp = d.grp"""
 
 
 def _crc32(text: str) -> str:

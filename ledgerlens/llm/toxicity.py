@@ -1,25 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 9).
 
-Two models spell words: of toxic and of ordinary documents. An expression is a character n-gram of order 6 inside a word
-(the history before a word is blank), so that stems with new endings are told too. Both back off to the same model, built from the
-counts of the two classes together: at order 6 from counts, below it from continuation counts (how many different
-characters come before), interpolated with absolute discounting down to a uniform one. With the class counts c,
+Two models spell words: of toxic and of ordinary documents. An expression is a character n-gram inside a word, of order 6 at most
+(the history before a word is blank), so that stems with new endings are told too. At order 6 a model has the counts of its class, below
+it the class's continuation counts (before how many different characters its expressions stand), and each order backs off
+to the shared model of that order, built from the two classes together, interpolated with absolute discounting down to a uniform
+one. With the class counts c,
 
     p_class(x | h) = max(c(h x) - D, 0) / c(h) + D * kinds(h) / c(h) * p_shared(x | h)
 
 where D is estimated from the expressions seen once and twice. A rare expression takes its probability from the shared counts
-in both models and so says little; one that neither class has seen says nothing.
+in both models and so says little. One that neither class has seen leaves both models for the longest shorter one that was
+seen; that step has one weight, of the shared counts, for both, so it drops out of the comparison and the class with less data gains nothing by it.
 
-Scoring compares the two log-likelihoods per character: over the whole text, and over its words, of which the most
-toxic and the mean of the three most toxic count. A logistic curve turns these and the length into a score from 0 to 1. It is
-fitted on a fold of the training rows, by counts that leave this fold out; the final counts come from every training row.
+Scoring compares the two log-likelihoods normalised by length, as their difference per character: over the whole text, and over its ``PART`` most toxic
+words (by difference over the square root of their length). A logistic curve turns these two and the text's length, with which the largest of
+many words grows, into a score from 0 to 1. It is fitted on a fold of the training rows, by counts that leave this fold out; the
+final counts come from every training row.
 
 Tasks count, Spark sums by expression, and every expression keeps its own counts, so the model grows with the input. Up to a counted
 number of expressions the probabilities are worked out in numpy and every task holds them; beyond it they are Spark
 aggregates by history (at most 1024 rows each), and the texts' distinct expressions, in chunks of a few MB, are joined with them.
 
-Defined results: null and empty texts, and all texts when one class has no rows to learn from, get the share of toxic training rows
-(0 without any); several labels of a document count as their largest; other columns are ignored.
+Defined results: null and empty texts, texts without letters, and all texts when one class has no rows to learn from, get the share of toxic
+training rows (0 without any); several labels of a document count as their largest; words of equal weight are taken in the order
+of the text; characters from U+0300 on share 256 symbols; a very long text is held as some 60 bytes a character; an empty table gives
+an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,13 +43,16 @@ from ledgerlens.llm.langid import folded
 
 ORDER = 6
 #: Expressions that the driver and every task hold at once, at most; more of them are joined.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 1_000_000
 #: Bytes of text in one chunk where expressions are joined, about; one text at least.
 CHUNK = 2 << 20
 #: Rows for the logistic curve, at most.
 MOST_CALIBRATED = 40_000
 _WIDTH = 10  # bits of a character
-FEATURES = "f0 double, f1 double, f2 double, f3 double"
+_TAG = 60  # bits of a code; the order stands above them
+#: Words that the part of the text with the largest difference has, at most.
+PART = 5
+FEATURES = "f0 double, f1 double, f2 double"
 
 
 def spelled(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -64,8 +72,13 @@ def spelled(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     return codes[1:], blanks[:-1]
 
 
+def tagged(codes: np.ndarray, order: int) -> np.ndarray:
+    """The codes of the last ``order`` characters, apart from those of other orders."""
+    return (codes & ((1 << (_WIDTH * order)) - 1)) | (order << _TAG)
+
+
 class Ratios:
-    """Log-likelihood ratios by exact code, in an open table at most half full; 0 for a code that is not there."""
+    """Log-likelihood ratios by exact tagged code, in an open table at most half full."""
 
     def __init__(self, codes: np.ndarray, ratios: np.ndarray):
         self.codes, self.ratios = codes.astype(np.int64), ratios.astype(np.float32)
@@ -88,19 +101,31 @@ class Ratios:
     def _next(self, at: np.ndarray) -> np.ndarray:
         return (at + 1) & ((1 << self.bits) - 1)
 
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        at = self._first(codes)
-        found = self.keys[at]
-        out = np.where(found == codes, self.values[at], 0).astype(np.float64)
-        open_ = np.flatnonzero((found != codes) & (found != -1))
+    def found(self, tagged_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio of each code, and whether it is there."""
+        at = self._first(tagged_codes)
+        seen = self.keys[at]
+        out, there = self.values[at].astype(np.float64), seen == tagged_codes
+        open_ = np.flatnonzero(~there & (seen != -1))
         at = at[open_]
         while len(open_):
             at = self._next(at)
-            found = self.keys[at]
-            hit = found == codes[open_]
-            out[open_[hit]] = self.values[at[hit]]
-            more = ~hit & (found != -1)
+            seen = self.keys[at]
+            hit = seen == tagged_codes[open_]
+            out[open_[hit]], there[open_[hit]] = self.values[at[hit]], True
+            more = ~hit & (seen != -1)
             open_, at = open_[more], at[more]
+        return out, there
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The ratio of each n-gram, or of the longest of its ends that is there; 0 if none is."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for k in range(ORDER, 0, -1):
+            own, there = self.found(tagged(codes[left], k))
+            out[left[there]] = own[there]
+            left = left[~there]
+            if not len(left):
+                break
         return out
 
 
@@ -149,102 +174,127 @@ def _discount_from(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def shared_probabilities(codes: np.ndarray, counts: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Interpolated Kneser-Ney probabilities of n-grams from the counts of both classes."""
-    symbols = len(np.unique(codes & ((1 << _WIDTH) - 1)))
-    lower = np.full(len(codes), 1.0 / max(symbols, 1))
+def shared_levels(codes: np.ndarray, counts: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, interpolated Kneser-Ney probabilities) of the n-grams of orders 1 to ``order``, from the counts of both classes."""
     levels = [(codes, counts)]
     for k in range(order - 1, 0, -1):  # continuation counts: distinct (k + 1)-grams by their last k characters
-        longer = levels[-1][0]
-        levels.append(np.unique(np.unique(longer) & ((1 << (_WIDTH * k)) - 1), return_counts=True))
+        levels.append(np.unique(levels[-1][0] & ((1 << (_WIDTH * k)) - 1), return_counts=True))
+    out = [(np.zeros(1, np.int64), np.full(1, 1.0 / max(len(levels[-1][0]), 1)))]
     for k, (c, n) in enumerate(reversed(levels), 1):
         totals, kinds = _by_history(c, n)
         d = _discount(n)
-        at = np.searchsorted(c, codes & ((1 << (_WIDTH * k)) - 1)) if k < order else np.arange(len(codes))
-        lower = (np.maximum(n - d, 0) / totals)[at] + (d * kinds / totals)[at] * lower
-    return lower
+        shorter, lower = out[-1]
+        at = np.searchsorted(shorter, c & ((1 << (_WIDTH * (k - 1))) - 1))
+        out.append((c, np.maximum(n - d, 0) / totals + d * kinds / totals * lower[at]))
+    return out[1:]
+
+
+def shared_probabilities(codes: np.ndarray, counts: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The probabilities of the n-grams of full order."""
+    return shared_levels(codes, counts, order)[-1][1]
 
 
 def class_ratios(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Ratios:
-    """The ratio of each n-gram's probability in the toxic class to that in the other; none where a class has no counts."""
+    """The log of each n-gram's probability in the toxic class over that in the other, for every order; none where a class has no counts."""
     order = np.argsort(codes)
     codes, counts = codes[order], np.stack([toxic[order], ordinary[order]])
     if not len(codes) or not counts.sum(axis=1).all():
         return Ratios(codes[:0], np.zeros(0))
-    shared = shared_probabilities(codes, counts.sum(axis=0))
-    logs = []
-    for own in counts:
-        totals, kinds = _by_history(codes, own)
-        d = _discount(own)
-        seen = np.maximum(totals, 1)
-        logs.append(np.log(np.where(totals > 0, np.maximum(own - d, 0) / seen + d * kinds / seen * shared, shared)))
-    return Ratios(codes, logs[0] - logs[1])
+    shared = shared_levels(codes, counts.sum(axis=0))
+    all_codes, all_ratios = [], []
+    for k in range(ORDER, 0, -1):
+        if k < ORDER:
+            shorter, at = np.unique(codes & ((1 << (_WIDTH * k)) - 1), return_inverse=True)
+            codes, counts = shorter, np.stack([np.bincount(at, own > 0).astype(np.int64) for own in counts])
+        logs = []
+        for own in counts:
+            totals, kinds = _by_history(codes, own)
+            d = _discount(own)
+            seen = np.maximum(totals, 1)
+            p = shared[k - 1][1]
+            logs.append(np.log(np.where(totals > 0, np.maximum(own - d, 0) / seen + d * kinds / seen * p, p)))
+        all_codes.append(tagged(codes, k))
+        all_ratios.append(logs[0] - logs[1])
+    return Ratios(np.concatenate(all_codes), np.concatenate(all_ratios))
 
 
 def class_ratio_table(counts: DataFrame) -> DataFrame:
     """(code, ratio) of (code, toxic, ordinary): what ``class_ratios`` finds, as Spark aggregates; no history has more than 1024 rows."""
     suffix = lambda k: F.col("code").bitwiseAND((1 << (_WIDTH * k)) - 1)
     by_history = Window.partitionBy(F.shiftright("code", _WIDTH))
-
-    def discount(table: DataFrame, column: str) -> float:
-        found = table.agg(F.count_if(F.col(column) == 1).alias("once"), F.count_if(F.col(column) == 2).alias("twice")).first()
-        return _discount_from(found["once"], found["twice"])
-
-    levels = [counts.select("code", (F.col("toxic") + F.col("ordinary")).alias("n"))]
-    for k in range(ORDER - 1, 0, -1):
-        levels.append(written(levels[-1].groupBy(suffix(k).alias("code")).agg(F.count("*").alias("n")), f"order{k}"))
+    levels = [counts.select("code", "toxic", "ordinary", (F.col("toxic") + F.col("ordinary")).alias("n"))]
+    for k in range(ORDER - 1, 0, -1):  # continuation counts of the classes and of both together
+        kinds = [F.count_if(F.col(c) > 0).alias(c) for c in ("toxic", "ordinary")]
+        levels.append(written(levels[-1].groupBy(suffix(k).alias("code")).agg(*kinds, F.count("*").alias("n")), f"order{k}"))
     shared = counts.sparkSession.createDataFrame([(0, 1.0 / max(levels[-1].count(), 1))], "suffix long, lower double")
+    out: DataFrame | None = None
     for k, level in enumerate(reversed(levels), 1):
-        d, total = discount(level, "n"), F.sum("n").over(by_history)
-        own = level.select("code", suffix(k - 1).alias("suffix"), (F.greatest(F.col("n") - d, F.lit(0.0)) / total).alias("own"), (d * F.count("*").over(by_history) / total).alias("rest"))
-        shared = own.join(shared, "suffix").select("code", (F.col("own") + F.col("rest") * F.col("lower")).alias("lower"))
-        shared = written(shared.select(F.col("code").alias("suffix"), "lower"), f"shared{k}")
-
-    def log(name: str) -> Column:
-        d, own, total = discount(counts, name), F.col(name), F.sum(name).over(by_history)
-        return F.log(F.when(total > 0, F.greatest(own - d, F.lit(0.0)) / total + d * F.count_if(own > 0).over(by_history) / total * F.col("lower")).otherwise(F.col("lower")))
-
-    both = counts.join(shared.withColumnRenamed("suffix", "code"), "code")
-    return written(both.select("code", (log("toxic") - log("ordinary")).cast("float").alias("ratio")), "ratios")
-
-
-def features(text: str | None, ratios: Ratios) -> tuple[float, float, float, float]:
-    """Log-likelihood ratio per character; of the most toxic word; mean of the three most toxic; log of the length."""
+        ones = [F.count_if(F.col(c) == i).alias(f"{c}{i}") for c in ("n", "toxic", "ordinary") for i in (1, 2)]
+        r = level.agg(*ones).first()
+        d = {c: _discount_from(r[f"{c}1"], r[f"{c}2"]) for c in ("n", "toxic", "ordinary")}
+        total = F.sum("n").over(by_history)
+        own = level.withColumn("suffix", suffix(k - 1)).withColumn("own", F.greatest(F.col("n") - d["n"], F.lit(0.0)) / total).withColumn("rest", d["n"] * F.count("*").over(by_history) / total)
+        level = written(own.join(shared, "suffix").select("code", "toxic", "ordinary", (F.col("own") + F.col("rest") * F.col("lower")).alias("p")), f"shared{k}")
+        shared = level.select(F.col("code").alias("suffix"), F.col("p").alias("lower"))
+
+        def log(name: str, d: dict[str, float] = d) -> Column:
+            own, total = F.col(name), F.sum(name).over(by_history)
+            seen = F.greatest(own - d[name], F.lit(0.0)) / total + d[name] * F.count_if(own > 0).over(by_history) / total * F.col("p")
+            return F.log(F.when(total > 0, seen).otherwise(F.col("p")))
+
+        ratios = level.select(F.col("code").bitwiseOR(F.lit(k << _TAG)).alias("code"), (log("toxic") - log("ordinary")).cast("float").alias("ratio"))
+        out = ratios if out is None else out.unionByName(ratios)
+    return written(out, "ratios")
+
+
+def features(text: str | None, ratios: Ratios) -> tuple[float, float, float] | None:
+    """Difference of the log-likelihoods per character over the text, and over its most toxic words; log of the number of words. None without a letter."""
     found = spelled(text)
     if found is None:
-        return 0.0, 0.0, 0.0, 0.0
+        return None
     codes, starts = found
     own = ratios.of(codes)
-    words = np.add.reduceat(own, starts)
-    top = np.partition(words, -min(3, len(words)))[-3:]
-    return float(own.mean()), float(top.max()), float(top.mean()), float(np.log(len(words)))
+    words, lengths = np.add.reduceat(own, starts), np.diff(np.append(starts, len(own)))
+    part = np.argsort(-words / np.sqrt(lengths), kind="stable")[:PART]
+    return float(own.mean()), float(words[part].sum() / lengths[part].sum()), float(np.log(len(words)))
 
 
 class ToxicityModel:
-    """Log-likelihood ratios, held or as a table (code, ratio), and the logistic curve."""
+    """Log-likelihood ratios, held or as a table (code, ratio), the logistic curve, and the share of toxic training rows."""
 
     def __init__(self, ratios: Ratios | None, table: DataFrame | None = None):
         self.ratios, self.table = ratios, table
-        self.weights = np.zeros(5)
-        self.offset, self.scale = np.zeros(4), np.ones(4)
+        self.weights, self.share, self.learned = np.zeros(4), 0.0, False
+        self.offset, self.scale = np.zeros(3), np.ones(3)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton steps with a small ridge."""
+        """Logistic regression by Newton steps with a small ridge; a difference of likelihoods never lowers the score: one that would has weight 0."""
         self.offset, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
         z = np.column_stack([np.ones(len(x)), (x - self.offset) / self.scale])
-        w = np.zeros(z.shape[1])
-        ridge = np.diag([1e-6, *[1e-2] * (z.shape[1] - 1)])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
-            w += step
-            if np.abs(step).max() < 1e-9:
-                break
-        self.weights = w
+        free = np.ones(z.shape[1], bool)
+        while True:
+            w = np.zeros(free.sum())
+            ridge = np.diag([1e-6, *[1e-2] * (len(w) - 1)])
+            own = z[:, free]
+            for _ in range(50):
+                p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+                step = np.linalg.solve(own.T @ (own * (p * (1 - p))[:, None]) + ridge, own.T @ (y - p) - ridge @ w)
+                w += step
+                if np.abs(step).max() < 1e-9:
+                    break
+            self.weights, self.learned = np.zeros(len(free)), True
+            self.weights[free] = w
+            lowering = self.weights < 0
+            lowering[[0, 3]] = False  # the constant and the length
+            if not lowering.any():
+                return
+            free &= ~lowering
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows of features; the share where they are missing, or nothing was learned."""
         z = np.column_stack([np.ones(len(x)), (x - self.offset) / self.scale])
-        return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        found = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        return np.where(np.isnan(x).any(axis=1) | (not self.learned), self.share, found)
 
 
 def _ratios_of(counts: DataFrame, most_broadcast: int) -> tuple[Ratios | None, DataFrame | None]:
@@ -266,12 +316,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, training: Column, calibra
     found = _mapped(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), others, ["toxic"], FEATURES, lambda x: list(x.T)).toArrow()
     whole = counts[0].unionByName(counts[1]).groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     model = ToxicityModel(*_ratios_of(written(whole, "expressions"), most_broadcast))
-    y = np.asarray(found["toxic"], np.float64)
+    model.share = known.agg(F.avg("toxic")).first()[0] or 0.0
+    x, y = np.column_stack([np.asarray(found[f"f{k}"], np.float64) for k in range(3)]), np.asarray(found["toxic"], np.float64)
+    x, y = x[own := ~np.isnan(x).any(axis=1)], y[own]
     if len(y) and 0 < y.sum() < len(y):
-        model.fit(np.column_stack([np.asarray(found[f"f{k}"]) for k in range(4)]), y)
-    else:
-        share = known.agg(F.avg("toxic")).first()[0] or 0.0
-        model.weights[0] = np.log(max(share, 1e-12) / max(1 - share, 1e-12))
+        model.fit(x, y)
     return model
 
 
@@ -283,7 +332,7 @@ def _mapped(rows: DataFrame, model: ToxicityModel, keep: list[str], added: str,
     rows = rows.select(*dict.fromkeys([*keep, "text"]))
 
     def columns(texts: Iterable[str | None], ratios: Ratios) -> list[pa.Array]:
-        x = np.array([features(t, ratios) for t in texts], np.float64).reshape(-1, 4)
+        x = np.array([features(t, ratios) or (np.nan,) * 3 for t in texts], np.float64).reshape(-1, 3)
         return [pa.array(c) for c in finish(x)]
 
     if model.table is None:
@@ -307,7 +356,9 @@ def _mapped(rows: DataFrame, model: ToxicityModel, keep: list[str], added: str,
             for c in np.unique(chunks):
                 texts = batch["text"].filter(pa.array(chunks == c)).to_pylist()
                 codes = np.unique(np.concatenate([np.zeros(0, np.int64), *(f[0] for t in texts if (f := spelled(t)) is not None)]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), c)), pa.array(codes)], ["_chunk", "code"])
+                for k in range(ORDER, 0, -1):
+                    own = np.unique(tagged(codes, k))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c)), pa.array(own)], ["_chunk", "code"])
 
     def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
         ratios = Ratios(known["code"].to_numpy(), known["ratio"].to_numpy())
@@ -321,5 +372,5 @@ def _mapped(rows: DataFrame, model: ToxicityModel, keep: list[str], added: str,
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     """``score`` of each whole text beside the columns ``keep``."""
     curve = ToxicityModel(None)
-    curve.weights, curve.offset, curve.scale = model.weights, model.offset, model.scale
+    curve.weights, curve.offset, curve.scale, curve.share, curve.learned = model.weights, model.offset, model.scale, model.share, model.learned
     return _mapped(docs, model, keep, "score double", lambda x: [curve.scores(x)])

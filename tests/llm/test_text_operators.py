@@ -327,15 +327,61 @@ def test_near_duplicates_by_brute_force(spark, share):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-def test_large_family_in_cells(spark, monkeypatch):
+def family(n, window=60, step=6):
+    """Texts that slide along one sequence: each is like those beside it, and every one is reached from every other."""
+    w = [f"w{k}" for k in range(window + n * step)]
+    return [" ".join(w[k * step : k * step + window]) for k in range(n)]
+
+
+@pytest.mark.parametrize("hot", [100_000, 5])
+def test_large_family_in_cells(spark, monkeypatch, hot):
     monkeypatch.setattr(neardup, "CELL", 16)
+    monkeypatch.setattr(neardup, "HOT", hot)
     rng = random.Random(2)
     w = [f"w{rng.randrange(4000)}" for _ in range(120)]
-    table = list(enumerate(edited(rng, w, rng.randint(1, 4)) for _ in range(120)))
+    texts = [edited(rng, w, rng.randint(1, 4)) for _ in range(120)] + family(80)
+    table = list(enumerate(texts))
     found = neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), 8, 10).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_duplicate_groups(table, 8, 10)
 
 
+def test_rows_into_cells_grow_with_the_family(spark, monkeypatch):
+    """Each text shares buckets with a few others, so a family four times as large sends four times the rows."""
+    monkeypatch.setattr(neardup, "CELL", 16)
+
+    def dealt(n):
+        rows = [(1, b, i, 50, i) for i in range(n) for b in range(i - 4, i + 1)]
+        return neardup.dealt_in_cells(spark.createDataFrame(rows, "family long, key long, cid long, n_shingles long, component long"), 8, 10)
+
+    small, large = dealt(200).count(), dealt(800).count()
+    assert large <= 4.2 * small and large <= 5 * 800 + 16
+    pairs = {(a, b) for g in collect_groups(dealt(100)) for a in g for b in g if 0 < b - a <= 4}
+    assert pairs == {(a, b) for a in range(100) for b in range(a + 1, min(a + 5, 100))}
+
+
+def collect_groups(dealt):
+    groups = {}
+    for r in dealt.collect():
+        groups.setdefault((r.family, r.key, r.one, r.two), []).append(r.cid)
+    return groups.values()
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    w, v = " ".join(f"a{k}" for k in range(100)), " ".join(f"b{k}" for k in range(100))
+    rows = [(1, w), (1, w), (2, w), (3, v), (3, w), (4, v + " end")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), with_hash=True)
+    found = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in found.collect())
+    assert found == [(1, 1, True, 96), (1, 1, True, 96), (2, 1, False, 96), (3, 1, False, 96), (3, 3, True, 96), (4, 3, False, 97)]
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("x" * rng.randint(1, 9) + str(rng.randrange(99)) for _ in range(n)).encode() for n in (0, 1, 7, 3000)] + [b"y" * 5000, b" \n"]
+    whole = common.hashed_words(texts)
+    monkeypatch.setattr(common, "PIECE", 64)
+    assert all((a == b).all() for a, b in zip(whole, common.hashed_words(texts), strict=True))
+
+
 def test_near_duplicates_odd_rows(spark):
     table = odd_table(spark)
     found = neardup.near_duplicates(table).collect()

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -270,6 +271,20 @@ def test_shard_odd_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
 
 
+def test_many_values_prune_by_minima_and_maxima(spark):
+    """A thousand sources: a shard spans a small part of their order and of the sizes, so most shards can be skipped by either."""
+    rng = random.Random(6)
+    rows = [(i, f"src{rng.randrange(1000):04d}", rng.randrange(10**6)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, source string, size long")
+    found = hilbert.hilbert_sharded(df, ["source", "size"], ["id"], ["id", "source", "size"], 64)
+    spans = found.groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b"), F.min("size").alias("c"), F.max("size").alias("d")).collect()
+    hit = lambda lo, hi, x: sum(r[lo] <= x <= r[hi] for r in spans)
+    assert np.mean([hit("a", "b", f"src{k:04d}") for k in range(0, 1000, 7)]) < 16 and np.mean([hit("c", "d", k) for k in range(0, 10**6, 9999)]) < 16
+    cells = {v: c for v, c in df.select("source", hilbert.quantised(df, "source", 6).alias("c")).distinct().collect()}
+    ordered = sorted(cells)
+    assert [cells[v] for v in ordered] == [k * 64 // len(ordered) for k in range(len(ordered))]
+
+
 # mixing
 
 
