@@ -171,3 +171,10 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *new], [*keep, "lang_pred", "score"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), schema)
+
+
+def least_score(docs: DataFrame, profiles: Profiles, margin: float = 0.75) -> float:
+    """A score below which a text is in none of the languages: ``margin`` times what 99 of 100 rows of ``docs`` (text, lang) reach whose language is
+    named rightly by ``profiles`` that have not counted them; 0 without such rows."""
+    found = identify(docs.where(F.col("lang").isNotNull()).select("lang", "text"), profiles, keep=["lang"]).where("lang_pred = lang")
+    return margin * (found.agg(F.percentile_approx("score", 0.01, 10_000)).first()[0] or 0.0)

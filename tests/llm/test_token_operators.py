@@ -363,17 +363,36 @@ def test_pipeline_stages_by_brute_force(spark, whole):
     groups = near_duplicate_groups([(r[0], r[1]) for r in rows(b)], 8, 10)
     assert rows(c) == [r for r in rows(b) if groups[r[0]][1] == r[0]]
     d = stage["target weights"](spark, c, SF)
-    assert set(rows(d)) < set(rows(c)) and len(rows(d)) == len(set(rows(d)))
-    n = lambda x: sum(base_counts(r[1])[0] for r in rows(x))
-    largest = collections.defaultdict(int)  # the document in which a leaf's prefix ends stays whole
-    for r in rows(c):
-        largest[r[2], r[3]] = max(largest[r[2], r[3]], base_counts(r[1])[0])
-    assert 0 <= n(d) - int(0.8 * n(c)) <= sum(largest.values())
+    whole_texts, kept = {r[0]: r for r in rows(c)}, rows(d)
+    assert len(kept) < len(whole_texts) and len({r[0] for r in kept}) == len(kept)
+    n = lambda x: sum(base_counts(r[1])[0] for r in x)
+    assert n(kept) == int(0.8 * n(rows(c)))
+    cut = [r for r in kept if r != whole_texts[r[0]]]
+    assert all(whole_texts[r[0]][1].startswith(r[1]) and r[4] == len(r[1]) and r[2:4] == whole_texts[r[0]][2:4] for r in cut)
+    assert len(cut) <= len({(r[2], r[3]) for r in kept})  # one a leaf
     check_packed(stage["packing"](spark, d, SF).collect(), [(r[0], r[1]) for r in rows(d)], whole)
     for df in (a, b, c, d):
         assert df.columns == corpus_pipeline.COLUMNS
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    w, v = " ".join(f"a{k}" for k in range(100)), " ".join(f"b{k}" for k in range(100))
+    rows = [(1, w), (1, w), (2, w), (3, v), (3, w), (4, v + " end"), (None, w)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], odd_table(spark).select(corpus_pipeline.COLUMNS).schema)
+    found = corpus_pipeline.distinct(spark, table, SF).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in found) == sorted([(0, w), (1, w), (3, v)])
+
+
+def test_pipeline_rejects_other_languages(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(corpus_pipeline.COLUMNS)
+    noise = [(10**6 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 9))) for _ in range(80)), "en", "s", 400) for i in range(5)]
+    noise.append((10**6 + 5, "Ο γρήγορος σκύλος πηδά πάνω από την τεμπέλικη αλεπού και φεύγει μακριά στο δάσος", None, "s", 80))
+    kept = corpus_pipeline.languages(spark, docs.unionByName(spark.createDataFrame(noise, docs.schema)), SF)
+    found = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not found & {r[0] for r in noise} and len(found) >= 0.995 * docs.count()
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
