@@ -1,22 +1,27 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals (operator 5).
 
 Build. Equal vectors are one entry (its smallest ids are kept, see below). Coarse centroids and the product quantiser's
-codebooks are fitted on the driver on a bounded sample, the ``most_sample`` vectors with the smallest hash; every vector is indexed: its
-list is the nearest centroid, its code one byte for each subspace of the residual.
+codebooks are fitted on the driver on a bounded sample, the vectors with the smallest hash: ``LEAST_SAMPLE`` or eight for each of the
+lists, of which there are as many as the root of the number of entries, up to ``most_sample`` vectors. Many lists are fitted in two
+levels, so the fit costs no more than sample * root of lists. Every vector is indexed: its list is the nearest centroid, its code one byte
+for each subspace of the residual.
 
 Search. A query probes the lists nearest to it: so many that, on the sample, they hold the share ``target`` of the true
-neighbours (few where vectors lie in clusters, many where they do not), and as many more as hold ``depth`` entries. Lists meet their
+neighbours (few where vectors lie in clusters, many where they do not), and as many more as hold ``depth`` entries. The depth is measured on
+the sample too: so many nearest codes hold that share of the true neighbours in these lists. Lists meet their
 queries block by block: a list is dealt into blocks of at most ``block`` entries, and into as many copies as its queries need
-blocks, so a crowded list is many tasks. A block keeps, by asymmetric distance tables, the entries within the query's reach, the distance
-within which the sample lets expect half as many again as ``depth`` (at least k + 1 of the sample's own entries in the probed lists, so no query
-comes back short). The ``depth`` best over all blocks are reranked by exact distance on the original vectors, in double precision.
+blocks, so a crowded list is many tasks. What goes to a block is the query's vector in single precision. A block keeps, by asymmetric distance
+tables, the entries within the query's reach, the distance within which the sample lets expect half as many again as the depth (at
+least k + 1 of the sample's own entries in the probed lists, so no query comes back short). The nearest codes over all blocks are reranked
+by exact distance on the original vectors, in double precision.
 
 An entry keeps the k + 1 smallest ids of its vector: no query can return more of them, nor lose more than its own, and ties go
 to the smallest. So a vector that a third of all rows share is one entry and the result is still whole.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or non-finite numbers take no part, nor do those whose length is
 not the most frequent one, nor rows without an id; with fewer than k candidates all are returned; a table without valid vectors gives an
-empty result; a repeated id with one vector counts once; other columns are ignored.
+empty result; a repeated id with one vector counts once, and with several different ones it asks with the smallest (by its numbers in
+order) and can be found by each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +38,16 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import tidied, written
 
-MOST_SAMPLE = 20_000
+LEAST_SAMPLE, MOST_SAMPLE = 20_000, 131_072
+#: Centroids fitted at one level, at most.
+MOST_FLAT = 1024
 SUBSPACES = 16
 #: Share of true neighbours that the probed lists should hold, as measured on the sample.
-TARGET = 0.97
-DEPTH = 400
+TARGET = 0.96
+#: Entries reranked, at least.
+LEAST_DEPTH = 60
+#: Bytes of query vectors that are broadcast, at most.
+MOST_BROADCAST = 64 << 20
 BLOCK = 8192
 QUERY_BLOCK = 1024
 
@@ -62,6 +72,16 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return centres
 
 
+def coarse(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` centroids, or a few more or less; above ``MOST_FLAT`` by clusters and, in each, as many clusters as its share of the rows."""
+    if k <= MOST_FLAT:
+        return kmeans(x, k, rounds, rng)
+    top = kmeans(x, math.isqrt(k), rounds, rng)
+    near, _ = nearest(x, top)
+    parts = [x[near == c] for c in range(len(top))]
+    return np.concatenate([kmeans(p, min(len(p), max(1, round(k * len(p) / len(x)))), rounds, rng) for p in parts if len(p)])
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each row and its squared distance, up to a constant of the row."""
     d = (centres * centres).sum(axis=1) - 2 * (x @ centres.T)
@@ -81,10 +101,11 @@ class IvfPq:
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int = 5) -> IvfPq:
         rng = np.random.default_rng(seed)
-        centres = kmeans(sample, min(lists, len(sample)), 10, rng)
+        centres = coarse(sample, min(lists, len(sample)), 10, rng)
         rest = sample - centres[nearest(sample, centres)[0]]
         width = -(-sample.shape[1] // subspaces)
         rest = np.pad(rest, ((0, 0), (0, width * subspaces - rest.shape[1])))
+        rest = rest[rng.permutation(len(rest))[:LEAST_SAMPLE]]
         books = [kmeans(rest[:, width * s : width * (s + 1)], min(256, len(rest)), 8, rng) for s in range(subspaces)]
         return cls(centres, np.stack(books))
 
@@ -98,6 +119,20 @@ class IvfPq:
         ranks = np.take_along_axis(np.argsort(order, axis=1), nearest(sample, self.centres)[0][top], axis=1)
         return int(np.sort(ranks, axis=None)[math.ceil(target * ranks.size) - 1]) + 1
 
+    def depth(self, sample: np.ndarray, k: int, target: float, n: int, least: int, most_queries: int = 256) -> int:
+        """How many nearest codes of n entries hold the share ``target`` of the true neighbours, by their rank among the sample's codes."""
+        asked = sample[:most_queries]
+        d = (sample * sample).sum(axis=1) - 2 * (asked @ sample.T)
+        own = (self.sample_seen * self.sample_seen).sum(axis=1) - 2 * (asked @ self.sample_seen.T)
+        rows = np.arange(len(asked))
+        d[rows, rows] = own[rows, rows] = np.inf
+        # a neighbour's rank in the whole is that of the k / share nearest in the sample, scaled up
+        near = min(max(1, math.ceil(k * len(sample) / n)), max(1, len(sample) - 1))
+        top = np.argsort(d, axis=1, kind="stable")[:, :near]
+        ranks = np.take_along_axis(np.argsort(np.argsort(own, axis=1, kind="stable"), axis=1), top, axis=1)
+        rank = np.sort(ranks, axis=None)[math.ceil(target * ranks.size) - 1] + 1
+        return max(least, math.ceil(1.2 * rank * n / len(sample)))
+
     def keep_sample(self, sample: np.ndarray) -> None:
         self.sample_lists, codes = self.encode(sample)
         parts = [book[codes[:, s]] for s, book in enumerate(self.books)]
@@ -146,7 +181,7 @@ def nearest_neighbours(
     vector_column: str = "embedding",
     most_sample: int = MOST_SAMPLE,
     target: float = TARGET,
-    depth: int = DEPTH,
+    depth: int = LEAST_DEPTH,
     block: int = BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for every row where ``queries`` (a condition on ``vectors``) holds."""
@@ -167,11 +202,14 @@ def nearest_neighbours(
     entries = ids.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("entry", F.get("ids", F.lit(0)))
     entries = written(entries, "entries")
     n = entries.count()
-    sample = _matrix(entries.orderBy(F.xxhash64("v"), "entry").limit(most_sample).select("v").toArrow()["v"])
-    lists = max(1, min(len(sample) // 8, int(math.sqrt(n)) or 1))
-    index = IvfPq.fit(sample, lists)
+    lists = max(1, math.isqrt(n))
+    wanted = min(most_sample, max(LEAST_SAMPLE, 8 * lists))
+    sample = _matrix(entries.orderBy(F.xxhash64("v"), "entry").limit(wanted).select("v").toArrow()["v"])
+    index = IvfPq.fit(sample, max(1, min(len(sample) // 8, lists)))
+    sample = sample[:LEAST_SAMPLE]
     probes = index.probes(sample, k, target)
     index.keep_sample(sample)
+    depth = index.depth(sample, k, target + (1 - target) / 2, n, depth)
     rank = max(2 * (k + 1), math.ceil(1.5 * depth * len(sample) / n))
     shared = sc.broadcast(index)
 
@@ -188,7 +226,7 @@ def nearest_neighbours(
     for r in coded.groupBy("list").count().collect():  # a row a list, at most most_sample / 8
         held[r["list"]] = r["count"]
 
-    asked = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    asked = written(rows.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "asked")
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,10 +240,11 @@ def nearest_neighbours(
             found = np.concatenate([o[:s] for o, s in zip(order, stop, strict=True)]).astype(np.int32)
             reach = np.array([shared.value.reach(q, o[:s], rank, k + 1) for q, o, s in zip(x, order, stop, strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [batch["query_id"].take(pa.array(rows_of)), batch["v"].take(pa.array(rows_of)), pa.array(found), pa.array(reach[rows_of])], ["query_id", "v", "list", "reach"]
+                [batch["query_id"].take(pa.array(rows_of)), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary()).take(pa.array(rows_of)), pa.array(found), pa.array(reach[rows_of])],
+                ["query_id", "v", "list", "reach"],
             )
 
-    probed = written(asked.mapInArrow(tidied(probe), "query_id long, v array<double>, list int, reach double"), "probed")
+    probed = written(asked.mapInArrow(tidied(probe), "query_id long, v binary, list int, reach double"), "probed")
     wanted = np.zeros(len(index.centres), np.int64)
     for r in probed.groupBy("list").count().collect():
         wanted[r["list"]] = r["count"]
@@ -223,7 +262,8 @@ def nearest_neighbours(
             order = np.argsort(entry, kind="stable")  # ties of equal codes: the smaller entry first
             entry = entry[order]
             codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(len(entry), -1)[order]
-            x, q, reach = _matrix(asks["v"]), np.asarray(asks["query_id"]), np.asarray(asks["reach"])
+            q, reach = np.asarray(asks["query_id"]), np.asarray(asks["reach"])
+            x = np.frombuffer(b"".join(asks["v"].to_pylist()), np.float32).reshape(len(q), -1).astype(np.float64)
             for a in range(0, len(q), QUERY_BLOCK):
                 d = shared.value.distances(x[a : a + QUERY_BLOCK], key[0].as_py(), codes)
                 if d.shape[1] > depth:  # no query needs more of one block
@@ -241,7 +281,8 @@ def nearest_neighbours(
     near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= depth).select("query_id", "entry")
 
     # exact distances on the original vectors
-    pairs = near.join(entries, "entry").select("query_id", "ids", F.col("v").alias("e")).join(asked, "query_id")
+    few = asked.limit(MOST_BROADCAST // (8 * sizes["d"]) + 1).count() <= MOST_BROADCAST // (8 * sizes["d"])
+    pairs = near.join(entries, "entry").select("query_id", "ids", F.col("v").alias("e")).join(F.broadcast(asked) if few else asked, "query_id")
 
     def rerank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,10 +9,13 @@ tanh layer, and given a gated attention weight,
 learned from the documents' labels alone. The weighted sum of the encodings is the document's, and a logistic unit scores it.
 
 The network is trained on the driver with Adam from a bounded sample of the labelled training rows (``most_documents``, those with the
-smallest hash of doc_id), which is all it may learn from; the passages of all documents are encoded and scored in the tasks.
+smallest hash of doc_id, and of them those that fit into ``most_passages``), which is all it may learn from; the passages of all documents are
+encoded and scored in the tasks.
 
-Defined results: null and empty texts are a bag of one passage of zeros; several labels of a document count as their smallest;
-without both labels in the sample every score is the share of label 1 (0.5 without labels); other columns are ignored.
+Defined results: null and empty texts are a bag of one passage of zeros; several labels of a document count as their smallest; rows that
+repeat a labelled id are learned from as often; without both labels in the sample every score is the share of label 1 (0.5 without labels);
+of equally heavy passages the first is named; a very long text is hashed in pieces and costs some 10 bytes a character and 256 bytes a
+passage; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import hashed_words, in_chunks, mixed, ragged, shingle_hashes, tidied, utf8
+from ledgerlens.llm.common import hashed_words, in_chunks, mixed, ragged, shingle_hashes, tidied, utf8, written
+from ledgerlens.llm.mixing import words
 
 PASSAGE = 50
 MOST_DOCUMENTS = 6000
+#: Passages that the driver learns from, at most: 256 bytes each as they come, 512 while it learns.
+MOST_PASSAGES = 200_000
 #: Classes of bytes: lower, upper, digit, sentence marks, symbols, other ASCII marks, line ends, blanks, control, beyond ASCII.
 _CLASSES = 10
 _PAIRS = 48
@@ -153,7 +159,7 @@ class AttentionModel:
                     self.w[k] = self.w[k] - rate * (1 - step / steps) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, training: Column, most_documents: int = MOST_DOCUMENTS) -> AttentionModel:
+def learn_quality(docs: DataFrame, labels: DataFrame, training: Column, most_documents: int = MOST_DOCUMENTS, most_passages: int = MOST_PASSAGES) -> AttentionModel:
     """Learn from at most ``most_documents`` rows of ``labels`` (doc_id, quality) where ``training`` holds."""
     known = labels.where(training & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
@@ -164,7 +170,16 @@ def learn_quality(docs: DataFrame, labels: DataFrame, training: Column, most_doc
             rows = [x[a:b].ravel() for a, b in zip(before[:-1], before[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], ragged(rows, pa.float32())], ["doc_id", "quality", "x"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(tidied(describe), "doc_id long, quality int, x array<float>").toArrow()
+    texts = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+    bags = F.greatest(F.lit(1), F.ceil(words() / PASSAGE)).cast("long")
+    sizes = texts.groupBy("doc_id").agg(F.sum(bags).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most most_documents rows
+    fitting, left = [], most_passages
+    for r in sizes:
+        if r.n <= left:
+            fitting.append((r.doc_id,))
+            left -= r.n
+    texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(fitting, "doc_id long")), "doc_id")
+    found = texts.select("doc_id", "quality", "text").mapInArrow(tidied(describe), "doc_id long, quality int, x array<float>").toArrow()
     found = found.sort_by("doc_id").combine_chunks()
     model = AttentionModel()
     y = np.asarray(found["quality"], np.float64)

@@ -6,15 +6,18 @@ too. A node's supply is what lies below it, so only what all its children togeth
 are filled by siblings before ancestors. Supply is the tokens of a leaf times the number of epochs it may be read.
 
 A leaf reads its documents in epochs. Each epoch has its own order, by a hash of the seed, the epoch, the document's id and its
-text; the budget is a token-prefix of these epochs: whole epochs, then the documents of the next one up to the budget, the last one cut.
+text, which every row carries as ``place``: reading a leaf by (epoch, place) replays its epochs. The budget is a token-prefix of
+them: whole epochs, then the documents of the next one up to the budget, the last one cut.
 
-Only totals per leaf (at most ``most_leaves``, which is checked) come to the driver. Where a leaf's prefix ends is found in two steps: sums over
-equal ranges of the hash, then the documents of the one range where the budget ends. So a leaf that holds a third of all rows
-is summed by many tasks, and no text is shuffled: the choice is a comparison with the leaf's end.
+Only totals per leaf (at most ``most_leaves``, which is checked) come to the driver. Where a leaf's prefix ends is found in three steps: sums over
+equal spans of the hash, over the ``SPAN_RANGES`` ranges of the one span where the budget ends, then the documents of the one range. So a leaf
+that holds a third of all rows is summed by many tasks and no window sees more than rows / (``RANGE_ROWS`` * ``SPAN_RANGES``), ``SPAN_RANGES``, or
+some ``RANGE_ROWS`` rows of it; no text is shuffled: the choice is a comparison with the leaf's end. Texts are read and counted once, and
+once more only if ``keep`` asks for them.
 
 Defined results: a null level is the node ``(none)``; a document without tokens is chosen if the prefix reaches it; rows with equal id and
 text stand at one place and share the tokens left there evenly; a weight of 0 excludes a node, a weight not given is 1; a budget
-above the supply takes everything; an empty table gives an empty table; columns of the input named like the new ones are replaced.
+above the supply takes everything; a text of any length is one number of tokens; an empty table gives an empty table; columns of the input named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ NONE = "(none)"
 MOST_LEAVES = 100_000
 #: Rows of a leaf in one range of the hash, about.
 RANGE_ROWS = 2000
-_SPAN = 1 << 53
+#: Ranges in one span.
+SPAN_RANGES = 1000
+_ALL = 1 << 53
 
 Path = tuple[str, ...]
 
@@ -81,9 +86,9 @@ def budgets(supply: Mapping[Path, int], weights: Mapping[Path, float], total: in
     return out
 
 
-def _place(seed: int, text: Column) -> Column:
-    """Where a document stands in the order of a leaf's partly read epoch: 53 bits of a hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_whole").cast("long"), F.col("doc_id"), text), 11)
+def _place(seed: int, epoch: str) -> Column:
+    """Where a document stands in the order of a leaf's epoch: 53 bits of a hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(epoch).cast("long"), F.col("doc_id"), F.col("_text")), 11)
 
 
 def words(text: str = "text") -> Column:
@@ -104,7 +109,7 @@ def mixed_documents(
     seed: int = 17,
     most_leaves: int = MOST_LEAVES,
 ) -> DataFrame:
-    """``keep`` and the levels with epoch, n_tokens and take_tokens for every document (doc_id, text) chosen, once for each epoch.
+    """``keep`` and the levels with epoch, place, n_tokens and take_tokens for every document (doc_id, text) chosen, once for each epoch.
 
     The budget is ``total`` tokens, or else ``share`` of all tokens. ``levels`` names the tree's levels from the root down.
     """
@@ -112,7 +117,10 @@ def mixed_documents(
     names = list(levels)
     node = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"_{n}") for n, c in levels.items()]
     own = [f"_{n}" for n in names]
-    narrow = written(docs.select(*node, "doc_id", F.xxhash64("text").alias("_text"), tokens.alias("_tokens")), "tokens")
+    new = (*names, "epoch", "place", "n_tokens", "take_tokens")
+    keep = [c for c in keep if c not in new]
+    narrow_keep = [] if "text" in keep else [c for c in keep if c != "doc_id"]
+    narrow = written(docs.select(*node, "doc_id", *narrow_keep, F.xxhash64("text").alias("_text"), tokens.alias("_tokens")), "tokens")
     leaves = narrow.groupBy(*own).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")).limit(most_leaves + 1).collect()
     if len(leaves) > most_leaves:
         raise ValueError(f"more than {most_leaves} leaves")
@@ -127,24 +135,28 @@ def mixed_documents(
     plan = F.broadcast(spark.createDataFrame(rows, schema))  # a row a leaf, at most most_leaves
 
     # where the prefix of the last, partly read epoch ends
-    placed = narrow.join(plan.where("_rest > 0"), own).withColumn("_place", _place(seed, F.col("_text")))
-    placed = placed.withColumn("_range", F.floor(F.col("_place") * F.col("_ranges") / _SPAN).cast("long"))
-    by_range = Window.partitionBy(*own).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*own, "_range", "_rest").agg(F.sum("_tokens").alias("_n"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(by_range), F.lit(0)))
-    last = sums.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_n") >= F.col("_rest"))).select(*own, "_range", "_before")
-    by_place = Window.partitionBy(*own).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    ends = placed.join(F.broadcast(last), [*own, "_range"]).groupBy(*own, "_place", "_rest", "_before").agg(F.sum("_tokens").alias("_n"), F.count("*").alias("_rows"))
-    ends = ends.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(by_place), F.lit(0)))
-    ends = ends.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_n") >= F.col("_rest")))
+    placed = narrow.join(plan.where("_rest > 0"), own).withColumn("_place", _place(seed, "_whole"))
+    placed = placed.withColumn("_range", F.floor(F.col("_place") * F.col("_ranges") / _ALL).cast("long")).withColumn("_span", F.expr(f"_range div {SPAN_RANGES}"))
+    placed = written(placed.select(*own, "_rest", "_span", "_range", "_place", "_tokens"), "placed")
+
+    def holding(rows: DataFrame, within: list[str], step: str) -> DataFrame:
+        """The one ``step`` of each leaf where its budget ends, with _before: the tokens that stand before it."""
+        window = Window.partitionBy(*within).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        given = ["_before"] if "_before" in rows.columns else []
+        sums = rows.groupBy(*within, "_rest", *given, step).agg(F.sum("_tokens").alias("_n"), F.count("*").alias("_rows"))
+        before = F.coalesce(F.sum("_n").over(window), F.lit(0)) + (F.col("_before") if given else F.lit(0))
+        return sums.withColumn("_before", before).where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_n") >= F.col("_rest")))
+
+    span = holding(placed, own, "_span").select(*own, "_span", "_before")
+    range_ = holding(placed.join(F.broadcast(span), [*own, "_span"]), [*own, "_span"], "_range").select(*own, "_range", "_before")
+    ends = holding(placed.join(F.broadcast(range_), [*own, "_range"]), [*own, "_range"], "_place")
     ends = ends.select(*own, F.col("_place").alias("_end"), ((F.col("_rest") - F.col("_before")) / F.col("_rows")).cast("long").alias("_cut"))
     plan = written(plan.join(ends, own, "left").select(*own, "_whole", "_end", "_cut"), "plan")
 
-    keep = [c for c in keep if c not in (*names, "epoch", "n_tokens", "take_tokens")]
-    there = _place(seed, F.xxhash64("text"))
-    times = F.col("_whole") + F.coalesce(there <= F.col("_end"), F.lit(False)).cast("int")
-    found = docs.select("*", *node).join(F.broadcast(plan), own)
-    found = found.withColumn("_at_end", F.coalesce(there == F.col("_end"), F.lit(False))).withColumn("_times", times).where("_times > 0")
-    found = found.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    cut = F.when(F.col("_at_end") & (F.col("epoch") == F.col("_whole")), F.least("n_tokens", "_cut")).otherwise(F.col("n_tokens"))
-    return found.withColumn("n_tokens", tokens).select(*keep, *(F.col(f"_{n}").alias(n) for n in names), "epoch", "n_tokens", cut.alias("take_tokens"))
+    rows = docs.select(*dict.fromkeys([*keep, "doc_id"]), *node, F.xxhash64("text").alias("_text"), tokens.alias("_tokens")) if "text" in keep else narrow
+    found = rows.join(F.broadcast(plan), own).withColumn("_last", _place(seed, "_whole"))
+    times = F.col("_whole") + F.coalesce(F.col("_last") <= F.col("_end"), F.lit(False)).cast("int")
+    found = found.withColumn("_times", times).where("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    at_end = F.coalesce(F.col("_last") == F.col("_end"), F.lit(False)) & (F.col("epoch") == F.col("_whole"))
+    cut = F.when(at_end, F.least("_tokens", "_cut")).otherwise(F.col("_tokens"))
+    return found.select(*keep, *(F.col(f"_{n}").alias(n) for n in names), "epoch", _place(seed, "epoch").alias("place"), F.col("_tokens").alias("n_tokens"), cut.alias("take_tokens"))

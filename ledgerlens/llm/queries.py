@@ -16,7 +16,7 @@ from ledgerlens.llm.mixing import mixed_documents
 from ledgerlens.llm.neardup import near_duplicates
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.quality_rules import judged
-from ledgerlens.llm.token_codes import read_token_files, write_token_files
+from ledgerlens.llm.token_codes import read_token_files, tokens_at, write_token_files
 from ledgerlens.llm.toxicity import learn_toxicity, score_toxicity
 
 
@@ -52,6 +52,14 @@ def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def token_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random access to the files of op2: the ids at a thousand places spread over all documents."""
+    path = scratch_path(spark, "tokens")
+    write_token_files(_documents(spark, sf_dir), path, tokenizer_file())
+    total = spark.read.parquet(f"{path}/manifest").agg(F.sum("n_tokens")).first()[0] or 0
+    return tokens_at(spark, path, [total * k // 1000 for k in range(1000)])
+
+
 #: Target weights of the tree's nodes among their siblings; the others weigh 1.
 LANGUAGE_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 DOMAINS = ("web", "books", "code", "talk")
@@ -120,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
         "op2_token_codes": op2_token_codes,
+        "token_access": token_access,
         "op3_mixing": op3_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op5_ivf_pq": op5_ivf_pq,

@@ -9,6 +9,7 @@ any store that Spark writes to will do. A segment holds whole documents:
 
     shard int           number of the range of ids that the file covers, ascending
     first long          ids of the same shard before this segment
+    stop long           the same with this segment
     n_tokens long       ids in the segment
     doc_ids array<long>, doc_tokens array<long>
     codes binary        the directly addressable codes of the segment's ids
@@ -17,12 +18,13 @@ A ``manifest`` table beside them has, per shard, the ids of all shards before it
 ``DAC1``, uint32 number of levels, uint32 entries of each level; then for each level its chunks (uint8), and for each but the
 last its bitmap (bit i is bit i % 8 of byte i // 8) and its directory (uint32 of set bits before every 512th bit).
 
-Defined results: a null text is empty and gives only the end id; rows with equal ids stay apart, ordered by a hash of
+Defined results: a null text is empty and gives only the end id; a very long text is a segment of its own; rows with equal ids stay apart, ordered by a hash of
 their text; a null id sorts first; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,7 +39,9 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: A segment is closed when it holds so many ids; a longer document is a segment of its own.
 SEGMENT_TOKENS = 1 << 16
-SEGMENTS = "shard int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, codes binary"
+#: Places nearer to each other than so many ids are looked for as one range.
+NEAR = 1 << 20
+SEGMENTS = "shard int, first long, stop long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, codes binary"
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -115,12 +119,13 @@ def _segments(batches: Iterable[pa.RecordBatch], tokenizer: str, by_word: bool)
             [
                 pa.array([shard], pa.int32()),
                 pa.array([first], pa.int64()),
+                pa.array([first + total], pa.int64()),
                 pa.array([total], pa.int64()),
                 pa.array([doc_ids], pa.list_(pa.int64())),
                 ragged([lengths], pa.int64()),
                 pa.array([encode_codes(np.frombuffer(b"".join(parts), "<u4"))], pa.binary()),
             ],
-            ["shard", "first", "n_tokens", "doc_ids", "doc_tokens", "codes"],
+            ["shard", "first", "stop", "n_tokens", "doc_ids", "doc_tokens", "codes"],
         )
 
     for batch in in_chunks(iter(batches), "text", 2 << 20):
@@ -178,32 +183,46 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _located(spark: SparkSession, path: str) -> DataFrame:
-    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
-    manifest = spark.read.schema("shard int, base long, n_tokens long").parquet(f"{path}/manifest")
-    return segments.join(F.broadcast(manifest.select("shard", "base")), "shard")  # a row a shard: as many as were asked for
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("shard int, base long, n_tokens long").parquet(f"{path}/manifest")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32)."""
-    return _located(spark, path).mapInArrow(tidied(_documents), "doc_id long, start long, n_tokens long, ids binary")
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
+    located = segments.join(F.broadcast(_manifest(spark, path).select("shard", "base")), "shard")  # a row a shard: as many as were asked for
+    return located.mapInArrow(tidied(_documents), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
-    """(position, id) for a stated list of positions; only segments that hold one are read, and no other id is decoded."""
-    wanted = sorted(set(positions))
-    at = F.col("base") + F.col("first")
+    """(position, id) for a stated list of positions, without those beyond the end.
+
+    The manifest, a row a shard, tells the shard of each; literal bounds on shard, first and stop reach the Parquet reader, which skips the files
+    and row groups of all others, and of the segments read no other id is decoded.
+    """
+    shards = [(r.base, r.base + r.n_tokens, r.shard) for r in _manifest(spark, path).orderBy("base").collect()]
+    wanted: dict[int, list[int]] = {}
+    for p in sorted(set(positions)):
+        for base, end, shard in shards[max(0, bisect.bisect_right(shards, (p, float("inf"))) - 1) :]:
+            if base <= p < end:
+                wanted.setdefault(shard, []).append(p - base)
+            break
+    bases = {shard: base for base, _, shard in shards}
     hit = F.lit(False)
-    for p in wanted:
-        hit = hit | ((at <= p) & (at + F.col("n_tokens") > p))
+    for shard, own in wanted.items():
+        inside = F.lit(False)
+        cuts = [0, *(i for i in range(1, len(own)) if own[i] - own[i - 1] > NEAR), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            inside = inside | ((F.col("first") <= own[b - 1]) & (F.col("stop") > own[a]))
+        hit = hit | ((F.col("shard") == shard) & inside)
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                start = row["base"] + row["first"]
-                own = [p for p in wanted if start <= p < start + row["n_tokens"]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int64()), pa.array([access(row["codes"], p - start) for p in own], pa.int64())], ["position", "id"]
-                )
+                every = wanted[row["shard"]]
+                own = every[bisect.bisect_left(every, row["first"]) : bisect.bisect_left(every, row["stop"])]
+                found = [access(row["codes"], p - row["first"]) for p in own]
+                yield pa.RecordBatch.from_arrays([pa.array([bases[row["shard"]] + p for p in own], pa.int64()), pa.array(found, pa.int64())], ["position", "id"])
 
-    return _located(spark, path).where(hit).select("base", "first", "n_tokens", "codes").mapInArrow(tidied(look), "position long, id long")
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").where(hit)
+    return segments.select("shard", "first", "stop", "codes").mapInArrow(tidied(look), "position long, id long")

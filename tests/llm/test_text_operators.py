@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -193,6 +194,63 @@ def test_attention_sums_to_one_and_ignores_order():
     assert np.allclose(model.scores(alone, b[:-1])[0], model.scores(x, before[:-1])[0])
 
 
+def plain_passages(text):
+    """Descriptions of the passages of one text, byte by byte and word by word."""
+    data = text + b"\n"
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    own = [data[a:b].translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))) for a, b in spans]
+    n = max(1, -(-len(own) // 50))
+    place = lambda i: max(0, sum(a <= i for a, _ in spans) - 1) // 50
+    classes, pairs = np.zeros((n, 10)), np.zeros((n, 48))
+    for i, c in enumerate(data):
+        x = chr(c)
+        kind = 0 if "a" <= x <= "z" else 1 if "A" <= x <= "Z" else 2 if "0" <= x <= "9" else 3 if x in ".,;:!?'\"()-" else 4 if x in "#*$%&|<>" else 6 if x in "\n\r" else 7 if x in " \t\v\f" else 9 if c > 127 else 5 if 33 <= c < 127 else 8
+        classes[place(i), kind] += 1
+        if i + 1 < len(data):
+            pairs[place(i), int(common.mixed(np.array([c << 8 | data[i + 1]], np.uint64))[0] >> np.uint64(40)) % 48] += 1
+    sizes = np.maximum(classes.sum(axis=1), 1)
+    windows = [tuple(own[i : i + 5]) for i in range(len(own) - 4)]
+    twice = {w for w, k in collections.Counter(windows).items() if k > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in twice for k in range(5)}
+    rows = []
+    for k in range(n):
+        inside = range(50 * k, min(50 * k + 50, len(own)))
+        m = len(inside)
+        repeated, same = sum(i in covered for i in inside), sum(i > 0 and own[i] == own[i - 1] for i in inside)
+        rows.append([*classes[k] / sizes[k], *4 * pairs[k] / sizes[k], math.log1p(m) / 4, sizes[k] / m / 16 if m else 0, repeated / max(m, 1), same / max(m, 1), m == 0, min(n, 64) / 64])
+    return np.array(rows)
+
+
+def test_passages_and_scores_by_brute_force():
+    rng = random.Random(12)
+    items = [b"", b" \n", b"One two. THREE 4 five|\tsix", ("é ß; " * 30).encode(), b" ".join(rng.choice([b"a", b"bb", b"Cc,", b"d\n"]) for _ in range(130)), b"x" * 300]
+    x, before = mil.passages(items)
+    want = [plain_passages(t) for t in items]
+    assert np.allclose(x, np.concatenate(want), atol=1e-5) and np.diff(before).tolist() == list(map(len, want))
+    model = mil.AttentionModel()
+    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 0.1
+    w, sigmoid = model.w, lambda v: 1 / (1 + math.exp(-v))
+    scores = []
+    for rows in want:
+        encoded, weights = [], []
+        for row in rows:
+            h = [math.tanh(sum((row[i] - model.mean[i]) / model.scale[i] * w["W"][i, j] for i in range(mil.WIDTH)) + w["s"][j]) for j in range(len(w["s"]))]
+            gate = lambda m, k, h=h: sum(v * m[i, k] for i, v in enumerate(h))
+            weights.append(math.exp(sum(w["g"][k] * math.tanh(gate(w["V"], k)) * sigmoid(gate(w["U"], k)) for k in range(len(w["g"])))))
+            encoded.append(h)
+        bag = [sum(a * h[j] for a, h in zip(weights, encoded, strict=True)) / sum(weights) for j in range(len(w["s"]))]
+        scores.append(sigmoid(sum(b * c for b, c in zip(bag, w["c"], strict=True)) + w["b"][0]))
+    assert np.allclose(model.scores(x, before[:-1]), scores, atol=1e-6)
+
+
+def test_quality_sample_is_bounded_in_passages(spark, docs, labels, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mil.AttentionModel, "fit", lambda self, x, starts, y: seen.append((len(x), len(y))))
+    for most in (10**6, 300):
+        mil.learn_quality(docs, labels, F.lit(True), most_passages=most)
+    assert seen[0][0] > 300 >= seen[1][0] > 200 and 0 < seen[1][1] < seen[0][1]
+
+
 def test_kneser_ney_by_brute_force():
     texts = ["banana bandana", "anna ananas", "ban"]
     codes, counts = np.unique(np.concatenate([toxicity.spelled(t)[0] for t in texts]), return_counts=True)

@@ -72,6 +72,9 @@ def test_token_files(spark, tmp_path, whole, monkeypatch):
     flat = [x for own in ids for x in own]
     places = [0, 1, 1999, len(flat) // 2, len(flat) - 1]
     assert {r.position: r.id for r in token_codes.tokens_at(spark, path, [*places, len(flat)]).collect()} == {p: flat[p] for p in places}
+    plan = token_codes.tokens_at(spark, path, [0, len(flat) // 2])._jdf.queryExecution().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert all(f"EqualTo(shard,{k})" in pushed for k in (0,)) and "GreaterThan(stop," in pushed and "LessThanOrEqual(first," in pushed
     token_codes.write_token_files(empty_table(spark), str(tmp_path / "e"), TOKENIZER, shards=3)
     assert token_codes.read_token_files(spark, str(tmp_path / "e")).count() == 0
 
@@ -85,6 +88,13 @@ def test_token_query(spark, whole):
         at += len(ids)
 
 
+def test_token_access(spark, whole):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    flat = [x for r in rows for x in whole(r.text)]
+    found = {r.position: r.id for r in queries.token_access(spark, SF).collect()}
+    assert found == {p: flat[p] for p in (len(flat) * k // 1000 for k in range(1000))}
+
+
 # packing
 
 
@@ -158,7 +168,7 @@ def check_packed(found, docs, whole):
         for offset, length in sorted(own):
             assert offset == at
             at += length
-        assert at <= 4096
+        assert at <= 4096 and at & (at - 1) == 0  # full, or at a power of two: nothing is padded
 
 
 def test_packing_query(spark, whole):
@@ -318,6 +328,7 @@ def levels():
 @pytest.mark.parametrize(("share", "epochs"), [(0.5, 1), (1.7, 3), (10.0, 2)])
 def test_mixing_by_brute_force(spark, monkeypatch, share, epochs):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
+    monkeypatch.setattr(mixing, "SPAN_RANGES", 3)
     rows = [(i, "w " * (1 + i * i % 97), "en" if i % 3 else "de", f"s{i % 4}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
     found = mixing.mixed_documents(df, levels(), {("d", "en"): 3.0}, ["doc_id"], share=share, epochs=epochs).collect()
@@ -335,6 +346,16 @@ def test_mixing_by_brute_force(spark, monkeypatch, share, epochs):
     cut = collections.Counter(leaf[r.doc_id] for r in found if r.take_tokens < r.n_tokens)
     assert all(v == 1 for v in cut.values())  # a prefix: one document a leaf is cut
     assert len({(r.doc_id, r.epoch) for r in found}) == len(found)
+    # the epochs can be replayed: each has an order of its own, and the last one is a prefix of it that ends with the document that is cut
+    by = collections.defaultdict(list)
+    for r in found:
+        by[leaf[r.doc_id], r.epoch].append((r.place, r.doc_id, r.take_tokens < r.n_tokens))
+    assert all(len({p for p, _, _ in v}) == len(v) and not any(c for _, _, c in sorted(v)[:-1]) for v in by.values())
+    orders = {k: [i for _, i, _ in sorted(v)] for k, v in by.items()}
+    assert all(orders[k, e] != orders[k, e - 1] for k, e in orders if e and len(orders[k, e]) > 5)
+    again = mixing.mixed_documents(df, levels(), {("d", "en"): 3.0}, ["doc_id", "text"], share=share, epochs=epochs).collect()
+    key = lambda r: (r.doc_id, r.epoch, r.place, r.take_tokens)
+    assert sorted(map(key, again)) == sorted(map(key, found)) and all(len(r.text.split()) == r.n_tokens for r in again)
 
 
 def test_mixing_odd_rows(spark):
