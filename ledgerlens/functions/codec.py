@@ -89,16 +89,18 @@ def framed(records: Column) -> Column:
     return F.unhex(F.array_join(F.transform(records, one), ""))
 
 
+#: Fixed pattern: a module leaf names a module and version, then the same with its module file.
+_MODULE_LEAF = r"^([^ \n]+) ([^ \n]+) h1:[^ \n]+\n\1 \2/go\.mod h1:[^ \n]+\n?$"
+
+
 def module_lines(leaf: Column) -> Column:
-    """STRUCT<module, version, zip_hash, mod_hash> of a two-line module leaf; an error unless the lines agree."""
-    first, second = F.split_part(leaf, F.lit("\n"), F.lit(1)), F.split_part(leaf, F.lit("\n"), F.lit(2))
-    a, b = F.split(first, " "), F.split(second, " ")
-    ok = (
-        first.rlike(r"^[^ ]+ [^ ]+ h1:[^ ]+$") & second.rlike(r"^[^ ]+ [^ ]+/go\.mod h1:[^ ]+$")
-        & (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) & (F.concat(F.get(a, F.lit(1)), F.lit("/go.mod")) == F.get(b, F.lit(1)))
-    )
-    found = F.struct(F.get(a, F.lit(0)).alias("module"), F.get(a, F.lit(1)).alias("version"), F.get(a, F.lit(2)).alias("zip_hash"), F.get(b, F.lit(2)).alias("mod_hash"))
-    return F.when(F.coalesce(ok, F.lit(False)), found).otherwise(F.raise_error(F.concat(F.lit("malformed module leaf: "), leaf)).cast("struct<module:string,version:string,zip_hash:string,mod_hash:string>"))
+    """ARRAY<STRUCT<module, version, zip_hash, mod_hash>> with the one row of a two-line module leaf, for ``inline``; an error unless the lines agree."""
+    checked = F.when(leaf.rlike(_MODULE_LEAF), leaf).otherwise(F.raise_error(F.concat(F.lit("malformed module leaf: "), leaf)).cast("string"))
+    part = lambda p, k: F.get(p, F.lit(k))
+    return F.transform(
+        F.array(F.split(checked, r"[ \n]")),
+        lambda p: F.struct(part(p, 0).alias("module"), part(p, 1).alias("version"), part(p, 2).alias("zip_hash"), part(p, 5).alias("mod_hash")),
+    )
 
 
 def preview(text: Column) -> Column:

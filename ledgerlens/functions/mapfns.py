@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.domains import with_parents
+from ledgerlens.functions.domains import DEFAULT, SuffixRules, with_parents
 from ledgerlens.functions.hashing import key_hash
 
 #: Fixed pattern: pseudo-versions as the public module documentation defines them.
@@ -57,23 +59,35 @@ def module_line(leaf: Column) -> Column:
     return F.when(text.rlike("(?s)^[^ ]* [^ ]* "), found).otherwise(F.raise_error(F.concat(F.lit("malformed module leaf: "), text)).cast(_NO_KEYS))
 
 
-def url_hosts(leaf: Column) -> Column:
-    """The host of a URL and its parent domains."""
-    return with_parents(F.filter(F.array(F.parse_url(text_of(leaf), F.lit("HOST"))), lambda x: x.isNotNull()))
+def hosts_by(rules: SuffixRules) -> MapFn:
+    """The host of a URL and its parent domains, by the suffix rules."""
+    return lambda leaf: with_parents(F.filter(F.array(F.parse_url(text_of(leaf), F.lit("HOST"))), lambda x: x.isNotNull()), rules)
 
 
-def certificate_names(leaf: Column) -> Column:
+def certificate_names_by(rules: SuffixRules) -> MapFn:
     """DNS names of a certificate log leaf with their parent domains."""
     from ledgerlens.functions.certificates import log_leaf_names
 
-    return with_parents(log_leaf_names(leaf))
+    return lambda leaf: with_parents(log_leaf_names(leaf), rules)
 
 
-def tree_certificate_names(leaf: Column) -> Column:
+def tree_certificate_names_by(rules: SuffixRules) -> MapFn:
     """DNS names of a Merkle tree certificate entry with their parent domains."""
     from ledgerlens.functions.certificates import tree_entry_names
 
-    return with_parents(tree_entry_names(leaf))
+    return lambda leaf: with_parents(tree_entry_names(leaf), rules)
+
+
+def url_hosts(leaf: Column) -> Column:
+    return hosts_by(DEFAULT)(leaf)
+
+
+def certificate_names(leaf: Column) -> Column:
+    return certificate_names_by(DEFAULT)(leaf)
+
+
+def tree_certificate_names(leaf: Column) -> Column:
+    return tree_certificate_names_by(DEFAULT)(leaf)
 
 
 REGISTRY: dict[str, MapFn] = {
@@ -87,5 +101,13 @@ REGISTRY: dict[str, MapFn] = {
 }
 
 
+def fingerprint(spark: SparkSession, map_fn: MapFn) -> str:
+    """A hash over what a function does: the expression that it makes of a leaf, as Spark resolves it. Functions that call Python count by their name."""
+    leaf = spark.createDataFrame([], "leaf binary")
+    shown = leaf.select(map_fn(F.col("leaf")).alias("keys"))._jdf.queryExecution().analyzed().toString()
+    shown = re.sub(r"#\d+L?|_\d+", "", shown)
+    return hashlib.sha256(re.sub(r"\s+", " ", shown).encode()).hexdigest()
+
+
 def key_hashes(keys: Column) -> Column:
     return F.transform(keys, key_hash)

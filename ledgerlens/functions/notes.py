@@ -211,11 +211,26 @@ class Ed25519Signer:
 
 @dataclass
 class CertificateLogVerifier:
-    """The checkpoint signature of a certificate log with a P-256 key: over the RFC 6962 tree head, its time in front of it."""
+    """The checkpoint signature of a certificate log with a P-256 key: over the RFC 6962 tree head, its time in front of it.
+
+    As text it is ``name+hash+base64(05 SHA-256(key))``, which names the key but does not hold it.
+    """
 
     name: str
     public_der: bytes
 
+    @classmethod
+    def parse(cls, origin: str, key: str) -> CertificateLogVerifier:
+        """From the log's origin and its public key in DER, as base64 or in a PEM block."""
+        body = "".join(line for line in key.splitlines() if not line.startswith("-----"))
+        der = base64.b64decode(body, validate=True)
+        if not origin or "+" in origin or any(c.isspace() for c in origin) or der[:1] != b"\x30" or len(der) != 91:
+            raise ValueError("an origin and a P-256 key in DER are needed")
+        return cls(origin, der)
+
+    def vkey(self) -> str:
+        return f"{self.name}+{self.key_hash.hex()}+{base64.b64encode(bytes([5]) + hashlib.sha256(self.public_der).digest()).decode()}"
+
     @property
     def key_hash(self) -> bytes:
         return hashlib.sha256(self.name.encode() + b"\n\x05" + hashlib.sha256(self.public_der).digest()).digest()[:4]

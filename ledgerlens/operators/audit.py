@@ -46,6 +46,12 @@ def version_report(versions: DataFrame, tags: DataFrame, by: tuple[str, ...] = (
     )
 
 
+def version_errors(report: DataFrame) -> DataFrame:
+    """The rows of a report that are errors, each with what is wrong: a version without a tag, or a hash that differs."""
+    wrong = F.array_compact(F.array(*(F.when(F.col(c) == BAD, what) for c, what in (("found", "no tag"), ("mod", "module file differs"), ("zip", "archive differs")))))
+    return report.withColumn("errors", wrong).where(F.size("errors") > 0)
+
+
 def tags_missing_from_log(versions: DataFrame, tags: DataFrame, by: tuple[str, ...] = ("version",)) -> DataFrame:
     """Versions of the outside list that the log lacks."""
     return tags.select(*by).distinct().join(versions.select(*by).distinct(), list(by), "left_anti")

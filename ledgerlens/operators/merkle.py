@@ -1,14 +1,16 @@
 """RFC 6962 trees over logs as DataFrames.
 
-A log is ``idx long, leaf binary`` with positions 0 to n - 1. Eight levels at a time, 256 nodes are folded inside one row by column
-functions, so a tree of n leaves takes log256(n) shuffles of hashes, each a 256th of the one before. The complete nodes
-are kept as a table (level, pos, hash); the root, the peaks of a size and audit paths are read off it.
+A log is ``idx long, leaf binary`` with positions 0 to n - 1. Eight levels at a time, 256 nodes are gathered in one row and hashed
+together, a batch of rows at once in Arrow, so a tree of n leaves takes log256(n) shuffles of hashes, each a 256th of the one before. The
+complete nodes are kept as a table (level, pos, hash); the root, the peaks of a size and audit paths are read off it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,25 +20,40 @@ from ledgerlens.functions.hashing import leaf_hash, node_hash
 NODES = "level int, pos long, hash binary"
 
 
-def _let(value: Column, then) -> Column:
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def hash_nodes(left: bytes, right: bytes) -> bytes:
+    return hashlib.sha256(b"\x01" + left + right).digest()
+
+
+def fold(hashes: list[bytes]) -> bytes:
+    """The root of consecutive nodes; an odd last node moves up unchanged."""
+    while len(hashes) > 1:
+        pairs = zip(hashes[::2], hashes[1::2], strict=False)
+        hashes = [*(hash_nodes(a, b) for a, b in pairs), *hashes[len(hashes) & ~1 :]]
+    return hashes[0]
 
 
-def _halved(hashes: Column, promote: bool) -> Column:
-    """The next level up: pairs hashed; an odd last node moves up unchanged, or is left out as incomplete."""
-    n = F.size(hashes)
-    pairs = F.ceil(n / 2) if promote else F.floor(n / 2)
-    both = lambda i: node_hash(F.get(hashes, 2 * i), F.get(hashes, 2 * i + 1))
-    one = lambda i: F.when(2 * i + 1 < n, both(i)).otherwise(F.get(hashes, 2 * i)) if promote else both(i)
-    return F.when(pairs > 0, F.transform(F.sequence(F.lit(0), F.greatest(pairs.cast("int") - 1, F.lit(0))), one)).otherwise(F.array().cast("array<binary>"))
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tile, n, root) of rows (tile, first, hashes)."""
+    for batch in batches:
+        tiles = batch["hashes"].to_pylist()
+        roots = pa.array([fold(t) for t in tiles], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["tile"], pa.array([len(t) for t in tiles], pa.int32()), roots], ["tile", "n", "root"])
 
 
-def folded(hashes: Column) -> Column:
-    """The root of at most 256 consecutive nodes."""
-    out = hashes
-    for _ in range(8):
-        out = _let(out, lambda x: F.when(F.size(x) > 1, _halved(x, True)).otherwise(x))
-    return F.get(out, F.lit(0))
+def _above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(up, pos, hash) of the complete nodes on the eight levels above rows (tile, first, hashes)."""
+    for batch in batches:
+        ups, places, out = [], [], []
+        for tile, first, hashes in zip(batch["tile"].to_pylist(), batch["first"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+            start = tile * TILE + first
+            for up in range(1, 9):
+                hashes = hashes[start & 1 :]  # a left part before the range is not there
+                start = start + 1 >> 1
+                hashes = [hash_nodes(a, b) for a, b in zip(hashes[::2], hashes[1::2], strict=False)]
+                ups += [up] * len(hashes)
+                places += range(start, start + len(hashes))
+                out += hashes
+        yield pa.RecordBatch.from_arrays([pa.array(ups, pa.int32()), pa.array(places, pa.int64()), pa.array(out, pa.binary())], ["up", "pos", "hash"])
 
 
 def leaf_hashes(log: DataFrame) -> DataFrame:
@@ -45,20 +62,19 @@ def leaf_hashes(log: DataFrame) -> DataFrame:
 
 
 def _tiles(nodes: DataFrame) -> DataFrame:
-    """(pos, hash) gathered by 256: tile, hashes in order. A tile is at most 256 hashes; nulls stand for those before its first."""
+    """(pos, hash) gathered by 256: tile, the place of the first one that is there, hashes in order."""
     rows = nodes.groupBy(F.shiftright("pos", 8).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("rows"))
-    missing = F.array_repeat(F.lit(None).cast("binary"), (F.get("rows", F.lit(0))["pos"] % TILE).cast("int"))
-    return rows.select("tile", F.concat(missing, F.col("rows.hash")).alias("hashes"))
+    return rows.select("tile", (F.get("rows", F.lit(0))["pos"] % TILE).cast("int").alias("first"), F.col("rows.hash").alias("hashes"))
 
 
 def tile_roots(hashes: DataFrame) -> DataFrame:
     """(tile, n, root) of each tile of 256 leaf hashes (idx, hash); the last may be partial."""
-    return _tiles(hashes.select(F.col("idx").alias("pos"), "hash")).select("tile", F.size("hashes").alias("n"), folded(F.col("hashes")).alias("root"))
+    return _tiles(hashes.select(F.col("idx").alias("pos"), "hash")).mapInArrow(_folded, "tile long, n int, root binary")
 
 
 def complete_nodes(hashes: DataFrame, size: int, path: str | None = None) -> DataFrame:
     """All complete nodes (level, pos, hash) over (idx, hash), a gapless range of a log's positions up to ``size``: those whose leaves are
-    all there. A pair with a null has a null hash, so nodes that reach over the start of the range drop out.
+    all there, so none that reach over the start of the range.
 
     With a ``path``, each eight levels are written there and the next start from them, so nothing is hashed twice however
     often the nodes are read; without, the result is one lazy plan.
@@ -71,13 +87,7 @@ def complete_nodes(hashes: DataFrame, size: int, path: str | None = None) -> Dat
     out = current.select(F.lit(0).alias("level"), "pos", "hash")
     level, n = 0, size
     while n > 1:
-        tiles = _tiles(current)
-        levels: Column = F.array(F.col("hashes"))
-        for _ in range(8):
-            levels = _let(levels, lambda x: F.concat(x, F.array(_halved(F.element_at(x, -1), False))))
-        exploded = tiles.select("tile", F.posexplode(levels).alias("up", "hashes")).where((F.col("up") > 0) & (F.size("hashes") > 0))
-        nodes = exploded.select("tile", "up", F.posexplode("hashes").alias("i", "hash")).where("hash is not null")
-        nodes = nodes.select((F.col("up") + level).cast("int").alias("level"), (F.col("tile") * F.shiftleft(F.lit(1).cast("long"), 8) / F.pow(F.lit(2), F.col("up")) + F.col("i")).cast("long").alias("pos"), "hash")
+        nodes = _tiles(current).mapInArrow(_above, "up int, pos long, hash binary").select((F.col("up") + level).alias("level"), "pos", "hash")
         if path:
             nodes.write.parquet(f"{path}/above={level}")
             nodes = spark.read.schema(NODES).parquet(f"{path}/above={level}")
@@ -106,10 +116,6 @@ def peaks(nodes: DataFrame, size: int) -> list[bytes]:
     return [found[p] for p in places]
 
 
-def hash_nodes(left: bytes, right: bytes) -> bytes:
-    return hashlib.sha256(b"\x01" + left + right).digest()
-
-
 def joined(hashes: list[bytes]) -> bytes:
     """The root over peaks; the hash of nothing for an empty tree."""
     if not hashes:
@@ -127,7 +133,7 @@ def root(hashes: DataFrame, size: int) -> bytes:
     current = hashes.select(F.col("idx").alias("pos"), "hash")
     n = size
     while True:
-        current = _tiles(current).select(F.col("tile").alias("pos"), folded(F.col("hashes")).alias("hash"))
+        current = _tiles(current).mapInArrow(_folded, "tile long, n int, root binary").select(F.col("tile").alias("pos"), F.col("root").alias("hash"))
         n = -(-n // TILE)
         if n == 1:
             return bytes(current.first().hash)
@@ -167,13 +173,13 @@ def appended(before: list[bytes], size: int, nodes: DataFrame, new_size: int) ->
 def inclusion_proofs(indices: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(idx, proof) for each of ``indices`` (idx) below ``size``, from complete nodes."""
     places, tops = peak_places(size), peaks(nodes, size)
-    rows, start = [], 0
-    for j, (level, _) in enumerate(places):
-        rest = [joined(tops[j + 1 :])] if j + 1 < len(tops) else []
-        rows.append((start, start + (1 << level), level, rest + tops[:j][::-1]))
-        start += 1 << level
-    by_peak = F.broadcast(indices.sparkSession.createDataFrame(rows, "first long, stop long, height int, above array<binary>"))  # at most 63 rows
-    own = indices.select("idx").distinct().join(by_peak, (F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("stop")))
+    by_peak, stop = [], 0
+    for j, (level, _) in enumerate(places):  # at most 63
+        stop += 1 << level
+        above = ([joined(tops[j + 1 :])] if j + 1 < len(tops) else []) + tops[:j][::-1]
+        by_peak.append(F.struct(F.lit(stop).cast("long").alias("stop"), F.lit(level).alias("height"), F.array(*map(F.lit, above)).cast("array<binary>").alias("above")))
+    peak = F.get(F.filter(F.array(*by_peak), lambda p: F.col("idx") < p["stop"]), F.lit(0))
+    own = indices.where((F.col("idx") >= 0) & (F.col("idx") < size)).select("idx").distinct().withColumn("peak", peak).select("idx", "peak.height", "peak.above")
     levels = own.withColumn("level", F.explode_outer(F.when(F.col("height") > 0, F.sequence(F.lit(0), F.col("height") - 1))))
     sibling = F.floor(F.col("idx") / F.pow(F.lit(2), F.col("level"))).cast("long").bitwiseXOR(F.lit(1).cast("long"))
     paths = levels.withColumn("pos", sibling).join(nodes, ["level", "pos"], "left").groupBy("idx", "above").agg(F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "hash")))).alias("below"))

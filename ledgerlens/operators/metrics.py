@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -10,14 +12,18 @@ from pyspark.sql.streaming import StreamingQueryListener
 BOUNDS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
 
 
-def histogram(df: DataFrame, value: Column) -> DataFrame:
+#: Upper bounds of the histogram of durations, in milliseconds.
+DURATIONS = tuple(10 * 2**k for k in range(16))
+
+
+def histogram(df: DataFrame, value: Column, bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
     """(bucket, upper, n) with every bucket, the empty ones too; ``upper`` of the last is null."""
-    place = F.lit(len(BOUNDS))
-    for k in range(len(BOUNDS) - 1, -1, -1):
-        place = F.when(value <= BOUNDS[k], k).otherwise(place)
+    place = F.lit(len(bounds))
+    for k in range(len(bounds) - 1, -1, -1):
+        place = F.when(value <= bounds[k], k).otherwise(place)
     counts = df.select(place.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    uppers = F.array(*map(F.lit, BOUNDS))
-    every = df.sparkSession.range(len(BOUNDS) + 1).select(F.col("id").cast("int").alias("bucket"), F.get(uppers, F.col("id")).alias("upper"))
+    uppers = F.array(*map(F.lit, bounds))
+    every = df.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("bucket"), F.get(uppers, F.col("id")).alias("upper"))
     return every.join(counts, "bucket", "left").select("bucket", "upper", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -42,3 +48,11 @@ class Progress(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         pass
+
+
+def duration_histograms(spark: SparkSession, reports: list[dict]) -> DataFrame:
+    """(phase, bucket, upper, n) of the phases that ``Progress.reports`` timed, such as reading, running and committing a batch."""
+    rows = spark.createDataFrame([(k, int(v)) for r in reports for k, v in r["durations"].items()], "phase string, ms long")
+    phases = [r.phase for r in rows.select("phase").distinct().orderBy("phase").collect()]  # a handful, named by Spark
+    parts = [histogram(rows.where(F.col("phase") == p), F.col("ms"), DURATIONS).select(F.lit(p).alias("phase"), "*") for p in phases]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "phase string, bucket int, upper int, n long")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +34,39 @@ def posting_lists(rows: DataFrame) -> DataFrame:
     return chunks.select("key_hash", F.flatten(F.col("c.idx")).alias("idx"))
 
 
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key_hash, n, value_hash) of rows (key_hash, idx) in order; a key's rows may go on in the next batch."""
+    key, n, running = None, 0, hashlib.sha256()
+    names = ["key_hash", "n", "value_hash"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = np.frombuffer(b"".join(batch["key_hash"].to_pylist()), ">u8").reshape(batch.num_rows, 4)
+        data = np.asarray(batch["idx"]).astype(">i8").tobytes()
+        starts = [0, *(np.flatnonzero((words[1:] != words[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        done: tuple[list, list, list] = ([], [], [])
+        for a, b in zip(starts, starts[1:], strict=False):
+            own = words[a].tobytes()
+            if own != key:
+                if key is not None:
+                    for column, value in zip(done, (key, n, running.digest()), strict=True):
+                        column.append(value)
+                key, n, running = own, 0, hashlib.sha256()
+            running.update(data[8 * a : 8 * b])
+            n += b - a
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(done, (pa.binary(), pa.int64(), pa.binary()), strict=True)], names)
+    if key is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([n], pa.int64()), pa.array([running.digest()], pa.binary())], names)
+
+
 def value_hashes(rows: DataFrame) -> DataFrame:
-    """(key_hash, n, value_hash): the commitment to each whole list."""
-    return posting_lists(rows).select("key_hash", F.size("idx").cast("long").alias("n"), value_hash(F.col("idx")).alias("value_hash"))
+    """(key_hash, n, value_hash): the commitment to each whole list.
+
+    The rows of a key go through one running hash in the order of their positions, as the format asks, so no list is ever in
+    memory: a hot key costs its task the time to hash it, 8 bytes a position.
+    """
+    ordered = rows.select("key_hash", "idx").repartition("key_hash").sortWithinPartitions("key_hash", "idx")
+    return ordered.mapInArrow(_streamed, "key_hash binary, n long, value_hash binary")
 
 
 def chunked_value_hashes(rows: DataFrame) -> DataFrame:

@@ -49,6 +49,29 @@ _SUFFIX = "array_to_string(parts[i:], '.')"
 _PATH = "CASE WHEN {0} >= 1000000000 THEN 'x' || printf('%03d', {0} // 1000000000 % 1000) || '/' ELSE '' END || CASE WHEN {0} >= 1000000 THEN 'x' || printf('%03d', {0} // 1000000 % 1000) || '/' ELSE '' END || CASE WHEN {0} >= 1000 THEN 'x' || printf('%03d', {0} // 1000 % 1000) || '/' ELSE '' END || printf('%03d', {0} % 1000)"
 _BOUNDS = "[0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]"
 _DEREF = "SELECT event_id AS idx, event_type || ': ' || event_id AS leaf, TRUE AS verified FROM events WHERE event_type = 'click'"
+_TWO_LABELS = "CASE WHEN array_to_string(parts[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'me.uk', 'net.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'ne.jp', 'or.jp', 'co.nz', 'com.br', 'com.cn', 'co.in', 'co.za') THEN 2 ELSE 1 END"
+
+
+def _certificate_keys(none: str) -> str:
+    """Keys of a leaf with the page's host and a wildcard of it as names."""
+    keys = f"SELECT page_id, string_agg(DISTINCT {_SUFFIX}, ',' ORDER BY {_SUFFIX}) AS keys FROM p, range(1, 20) r(i) WHERE i <= greatest(1, len(parts) - {_TWO_LABELS}) GROUP BY page_id"
+    return f"WITH {_HOSTS}, k AS ({keys}) SELECT pages.page_id AS idx, CASE WHEN {none} THEN '' ELSE coalesce(k.keys, '') END AS keys FROM pages LEFT JOIN k ON k.page_id = pages.page_id"
+
+
+def _map_roots(postings: str) -> str:
+    """(part, root) of a relation (part, key, idx): the leaves by the first 64 bits of their keys, then bit by bit the branches above them."""
+    return f"""entries AS (SELECT part, unhex(sha256(key)) AS k, unhex(sha256(unhex(string_agg(printf('%016X', idx), '' ORDER BY idx)))) AS v FROM ({postings}) GROUP BY part, key),
+t AS (
+  SELECT part, 64 AS depth, left((k::BIT)::VARCHAR, 64) AS pre, unhex(sha256('\\x10'::BLOB || k || v)) AS h FROM entries
+  UNION ALL
+  SELECT part, depth - 1, left(pre, depth - 1), CASE WHEN n = 2 THEN unhex(sha256('\\x11'::BLOB || unhex(printf('%04x', depth - 1)) || h || r)) ELSE h END
+  FROM (SELECT *, lead(h) OVER w AS r, count(*) OVER (PARTITION BY part, left(pre, depth - 1)) AS n, row_number() OVER w AS i FROM t WINDOW w AS (PARTITION BY part, left(pre, depth - 1) ORDER BY pre))
+  WHERE i = 1 AND depth > 0)"""
+
+
+_ALL_TAGS = """t AS (SELECT module, version, CASE WHEN idx % 4 = 0 THEN '' ELSE mod_hash END AS tag_mod_hash, CASE WHEN idx % 11 = 0 THEN 'h1:other' ELSE zip_hash END AS tag_zip_hash
+  FROM m WHERE idx % 3 <> 0 UNION ALL SELECT DISTINCT module, 'v9.9.9', 'h1:a', 'h1:b' FROM m)"""
+_INCLUSION = "SELECT event_id AS idx, TRUE AS verified, FALSE AS forged, FALSE AS moved FROM events"
 _EVENT_LISTS = "SELECT event_type AS key, event_id AS idx FROM events"
 
 SQL: dict[str, str] = {
@@ -91,11 +114,21 @@ SQL: dict[str, str] = {
     "checkpoint_parse": "SELECT event_id, 'origin/' || event_type AS origin, event_id AS size, sha256(event_type) AS hash FROM events",
     "output_leaf_codec": "SELECT event_id, sha256(event_type) AS map_root, 'cp ' || event_id AS checkpoint FROM events",
     "directory_hashes": "SELECT source AS dir, 'h1:' || to_base64(unhex(sha256(string_agg(sha256(text) || '  ' || printf('%012d', doc_id) || chr(10), '' ORDER BY doc_id)))) AS hash FROM documents GROUP BY source",
-    "revision_audit": "SELECT floor((SELECT count(*) FROM events) * share)::BIGINT AS size, TRUE AS same FROM (VALUES (0.4), (0.75), (1.0)) AS s(share)",
-    "trie_proof_verify": "SELECT c_custkey AS key, c_custkey IN (SELECT o_custkey FROM orders) AS found, TRUE AS verified FROM customer",
-    "inclusion_proof_verify": "SELECT event_id AS idx, TRUE AS verified FROM events WHERE event_id % 7 = 0",
+    "revision_audit": "SELECT floor((SELECT count(*) FROM events) * share)::BIGINT AS size, same FROM (VALUES (0.4, TRUE), (0.75, TRUE), (1.0, TRUE), (1.0, FALSE)) AS s(share, same)",
+    "trie_proof_verify": "SELECT c_custkey AS key, c_custkey IN (SELECT o_custkey FROM orders) AS found, TRUE AS verified, FALSE AS forged FROM customer",
+    "inclusion_proof_verify": _INCLUSION,
+    "inclusion_proof_verify_all": _INCLUSION,
+    "map_root": f"WITH RECURSIVE {_map_roots('SELECT 0 AS part, o_custkey::VARCHAR AS key, o_orderkey AS idx FROM orders')} SELECT lower(hex(h)) AS root FROM t WHERE depth = 0",
+    "output_log_history": f"WITH RECURSIVE s AS (SELECT part, floor((SELECT count(*) FROM events) * share)::BIGINT AS size FROM (VALUES (0, 0.4), (1, 0.75), (2, 1.0)) AS x(part, share)), {_map_roots('SELECT s.part, event_type AS key, event_id AS idx FROM events, s WHERE event_id < s.size')} SELECT s.part::BIGINT AS out_idx, lower(hex(h)) AS map_root, size FROM t JOIN s ON s.part = t.part WHERE depth = 0",
+    "ct_dns_names": _certificate_keys("pages.page_id % 10 = 9"),
+    "mtc_dns_names": _certificate_keys("pages.page_id % 10 = 9 OR pages.page_id % 3 = 0"),
+    "sumdb_from_tiles": f"WITH {_MODULE} " + _lists("SELECT module AS key, idx FROM m WHERE idx % 5 <> 0"),
+    "lookup_at_share": _lookup(_KEYS, "event_id < (SELECT count(*) FROM events) * 9 // 10"),
+    "version_audit_all": f"WITH {_MODULE}, {_ALL_TAGS} SELECT m.module, m.version, m.idx, CASE WHEN t.version IS NULL THEN '❌' ELSE '✅' END AS found, CASE WHEN coalesce(tag_mod_hash, '') = '' THEN '⚠️' WHEN tag_mod_hash = mod_hash THEN '✅' ELSE '❌' END AS mod, CASE WHEN coalesce(tag_mod_hash, '') = '' THEN '⚠️' WHEN tag_zip_hash = zip_hash THEN '✅' ELSE '❌' END AS zip FROM m LEFT JOIN t ON t.module = m.module AND t.version = m.version",
+    "tags_missing_from_log_all": f"WITH {_MODULE} SELECT DISTINCT module, 'v9.9.9' AS version FROM m",
     "latest_revision": "SELECT 2::BIGINT AS out_idx, count(*) AS size FROM events",
     "verified_lookup": "SELECT key, (SELECT count(*) FROM events WHERE event_type = key) AS n, (SELECT count(*) FROM events) AS size FROM (VALUES ('click'), ('banana')) AS k(key)",
     "stream_update": _commitments(_EVENT_LISTS),
-    "tiles_roundtrip": f"WITH {_LOG} SELECT idx, leaf FROM log WHERE idx >= 100 AND idx < 900",
+    "tiles_roundtrip": f"WITH {_LOG} SELECT idx, leaf FROM log",
+    "tiles_roundtrip_all": f"WITH {_LOG} SELECT idx, leaf FROM log",
 }

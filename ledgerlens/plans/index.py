@@ -1,33 +1,36 @@
 """A searchable, provable index of a log, kept as tables.
 
-    postings/epoch=N    key_hash, idx, ord        the keys of the leaves that revision N added
-    values/epoch=N      key_hash, n, value_hash   commitments of the keys that it touched
-    roots/epoch=N       bucket, key, root         roots of the dictionary's buckets
-    output/epoch=N      out_idx, leaf, map_root, in_cp
-    manifests/N.json    size, peaks, checkpoints, roots: the only thing that makes a revision visible
-
-An update reads the new leaves, checks that they are gapless and that the grown tree has the checkpoint's root, and only then writes. A
-reader takes one manifest and filters by its epoch and size, so it sees one revision whatever is being written.
+    postings    key_hash, idx, ord                  the keys of the leaves that each revision added
+    values      key_hash, n, value_hash, epoch      commitments of the keys that it touched
+    roots       bucket, key, root                   roots of the dictionary's buckets
+    output      out_idx, leaf, map_root, in_cp      the output log
+    manifests   size, peaks, checkpoints, roots, and the folders of the tables: the only thing that makes a revision visible
+
+An update stages the new leaves in parts of bounded size, checks that they are gapless and that the grown tree has the checkpoint's root, and only then
+writes. A reader takes one manifest, its folders and its size, so it sees one revision whatever is being written. Each revision adds a folder
+to a table; ``compact`` makes one of them again.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.hashing import value_hash
-from ledgerlens.functions.mapfns import REGISTRY, MapFn
+from ledgerlens.functions.mapfns import REGISTRY, MapFn, fingerprint
 from ledgerlens.functions.notes import Checkpoint, Ed25519Signer, Verifier, parse_checkpoint, parse_unverified, sign_checkpoint
 from ledgerlens.operators import dictionary, merkle
 from ledgerlens.operators.postings import postings, posting_lists, value_hashes
 from ledgerlens.plans import manifest as manifests
 from ledgerlens.plans.manifest import Manifest
 from ledgerlens.scratch import scratch_path
+from ledgerlens.sources.tiles import write_checkpoint, write_tiles
 
 #: A log: positions from start up to end as (idx, leaf).
 Leaves = Callable[[int, int], DataFrame]
@@ -44,6 +47,16 @@ class LogError(Exception):
     """The log contradicts its checkpoint, or itself."""
 
 
+#: Leaves that an update reads from the log at once; a batch of any size is staged in such parts and committed as a whole.
+MOST_LEAVES = 50_000_000
+_SCHEMAS = {
+    "postings": "key_hash binary, idx long, ord int",
+    "values": "key_hash binary, n long, value_hash binary, epoch int",
+    "roots": dictionary.ROOTS,
+    "output": "out_idx long, leaf binary, map_root binary, in_cp binary",
+}
+
+
 class LogIndex:
     """Open with ``LogIndex(spark, root, map_fn=name, signer=..., verifier=..., origin=...)``; a context manager."""
 
@@ -51,8 +64,9 @@ class LogIndex:
         self.spark, self.root, self.name = spark, root.rstrip("/"), map_fn
         self.map_fn = (functions or REGISTRY)[map_fn]
         self.signer, self.verifier, self.origin = signer, verifier, origin
-        if (m := self.manifest()) and m.map_fn != map_fn:
-            raise ValueError(f"this index was built with {m.map_fn}")
+        self.function = fingerprint(spark, self.map_fn)
+        if (m := self.manifest()) and (m.map_fn, m.function) != (map_fn, self.function):
+            raise ValueError(f"this index was built with {m.map_fn}, {m.function[:12]}")
 
     def __enter__(self) -> LogIndex:
         return self
@@ -66,24 +80,30 @@ class LogIndex:
     def manifest(self, epoch: int | None = None) -> Manifest | None:
         return manifests.load(self.spark, self.root, epoch)
 
-    def _table(self, name: str, schema: str, epoch: int) -> DataFrame:
-        found = [f"{self.root}/{name}/epoch={e}" for e in range(1, epoch + 1)]
-        return self.spark.read.option("basePath", f"{self.root}/{name}").schema(f"{schema}, epoch int").parquet(*found)
+    def _table(self, name: str, m: Manifest) -> DataFrame:
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(*(f"{self.root}/{p}" for p in m.tables[name]))
+
+    def _stored(self, df: DataFrame, name: str, m: Manifest) -> str:
+        """``df`` written into a folder of this run."""
+        path = f"{name}/{m.epoch:012d}-{m.generation:06d}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{path}")
+        return path
 
     def postings(self, m: Manifest) -> DataFrame:
-        return self._table("postings", "key_hash binary, idx long, ord int", m.epoch).where(F.col("idx") < m.size).drop("epoch")
+        return self._table("postings", m).where(F.col("idx") < m.size)
 
     def values(self, m: Manifest) -> DataFrame:
         """The newest commitment of each key."""
-        rows = self._table("values", "key_hash binary, n long, value_hash binary", m.epoch)
+        rows = self._table("values", m)
+        if len(m.tables["values"]) == 1:  # one revision, or compacted: a row a key
+            return rows.drop("epoch")
         return rows.groupBy("key_hash").agg(F.max_by(F.struct("n", "value_hash"), "epoch").alias("v")).select("key_hash", "v.n", "v.value_hash")
 
     def roots(self, m: Manifest) -> DataFrame:
-        return self.spark.read.schema(dictionary.ROOTS).parquet(f"{self.root}/roots/epoch={m.epoch}")
+        return self._table("roots", m)
 
     def output_log(self, m: Manifest | None = None) -> DataFrame:
-        m = m or self.manifest()
-        return self._table("output", "out_idx long, leaf binary, map_root binary, in_cp binary", m.epoch).drop("epoch")
+        return self._table("output", m or self.manifest())
 
     def update(self, checkpoint: bytes, leaves: Leaves, batch_id: int = -1) -> UpdateResult | None:
         """Take the log up to a signed checkpoint into a new revision; None if it has nothing new, as when a batch
@@ -95,19 +115,19 @@ class LogIndex:
             raise LogError(f"the log shrank from {seen.size} to {cp.size}")
         if cp.size == seen.size:
             return None
-        epoch = seen.epoch + 1
-        new = leaves(seen.size, cp.size)
+        new = self._staged(leaves, seen.size, cp.size)
         peaks = self._checked(new, seen, cp)
+        ahead = Manifest(seen.epoch + 1, cp.size, self.name, tables={k: list(v) for k, v in seen.tables.items()})
 
-        def store(df: DataFrame, name: str) -> None:
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/epoch={epoch}")
+        def store(df: DataFrame, name: str) -> DataFrame:
+            path = self._stored(df, name, ahead)
+            ahead.tables[name] = [*([] if name == "roots" else ahead.tables.get(name, [])), path]
+            return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{path}")
 
-        # by key, so that lookups skip files and row groups; by position too, so that a hot key is spread
-        store(postings(new, self.map_fn).repartitionByRange("key_hash", "idx").sortWithinPartitions("key_hash", "idx"), "postings")
-        ahead = Manifest(epoch, cp.size, self.name)
-        added = self._table("postings", "key_hash binary, idx long, ord int", epoch).where(F.col("epoch") == epoch).drop("epoch")
+        added = store(_sorted(postings(new, self.map_fn)), "postings")
         touched = added.select("key_hash").distinct()
-        store(value_hashes(self.postings(ahead).join(touched, "key_hash", "left_semi")).repartitionByRange("key_hash").sortWithinPartitions("key_hash"), "values")
+        fresh = value_hashes(self.postings(ahead).join(touched, "key_hash", "left_semi")).withColumn("epoch", F.lit(ahead.epoch))
+        store(fresh.repartitionByRange("key_hash").sortWithinPartitions("key_hash"), "values")
         entries = self.values(ahead).select("key_hash", "value_hash")
         keys = entries.count()
         bits = dictionary.bits_for(keys)
@@ -119,25 +139,47 @@ class LogIndex:
 
         leaf = map_root.hex().encode() + b"\n" + checkpoint
         out_idx = seen.epoch
-        output = self.spark.createDataFrame([(out_idx, leaf, map_root, checkpoint)], "out_idx long, leaf binary, map_root binary, in_cp binary")
-        store(output.coalesce(1), "output")
+        store(self.spark.createDataFrame([(out_idx, leaf, map_root, checkpoint)], _SCHEMAS["output"]).coalesce(1), "output")
         out_peaks = _grown([bytes.fromhex(p) for p in seen.output_peaks], out_idx, hashlib.sha256(b"\x00" + leaf).digest())
         out_cp = sign_checkpoint(self.signer, self.signer.name, out_idx + 1, merkle.joined(out_peaks))
-        done = Manifest(epoch, cp.size, self.name, [p.hex() for p in peaks], checkpoint.decode(), map_root.hex(), bits, keys, [p.hex() for p in out_peaks], out_cp.decode(), batch_id)
+        done = replace(
+            ahead, peaks=[p.hex() for p in peaks], checkpoint=checkpoint.decode(), map_root=map_root.hex(), bits=bits, keys=keys,
+            output_peaks=[p.hex() for p in out_peaks], output_checkpoint=out_cp.decode(), batch_id=batch_id, function=self.function,
+        )
         manifests.commit(self.spark, self.root, done)
         return UpdateResult(cp.size, map_root, out_idx)
 
+    def compact(self) -> Manifest:
+        """The newest revision with one folder a table; what it shows does not change, and readers of older manifests keep theirs."""
+        m = self.manifest()
+        if m is None:
+            raise LookupError("the index is empty")
+        ahead = replace(m, generation=m.generation + 1, tables=dict(m.tables))
+        newest = self.values(m).withColumn("epoch", F.lit(m.epoch)).repartitionByRange("key_hash").sortWithinPartitions("key_hash")
+        for name, df in (("postings", _sorted(self.postings(m))), ("values", newest), ("output", self.output_log(m).coalesce(1))):
+            if len(m.tables[name]) > 1:
+                ahead.tables[name] = [self._stored(df, name, ahead)]
+        manifests.commit(self.spark, self.root, ahead)
+        return ahead
+
+    def _staged(self, leaves: Leaves, start: int, end: int) -> DataFrame:
+        """The log's positions from ``start`` up to ``end``, read once, ``MOST_LEAVES`` at a time."""
+        path = scratch_path(self.spark, "leaves")
+        for a in range(start, end, MOST_LEAVES):
+            leaves(a, min(a + MOST_LEAVES, end)).select(F.col("idx").cast("long"), F.col("leaf").cast("binary")).write.mode("append").parquet(path)
+        return self.spark.read.schema("idx long, leaf binary").parquet(path)
+
     def _checked(self, new: DataFrame, seen: Manifest, cp: Checkpoint) -> list[bytes]:
-        """The peaks of the grown tree, if the new leaves are exactly the missing positions and lead to the checkpoint's root."""
-        r = new.agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.min("idx").alias("a"), F.max("idx").alias("b")).first()
-        if (r.n, r.d, r.a, r.b) != (cp.size - seen.size, cp.size - seen.size, seen.size, cp.size - 1):
+        """The peaks of the grown tree, if the new leaves are exactly the missing positions and lead to the checkpoint's root. Number and ends
+        are counted; with a position missing and another twice they may be right, but then the root is not."""
+        r = new.agg(F.count("*").alias("n"), F.min("idx").alias("a"), F.max("idx").alias("b")).first()
+        if (r.n, r.a, r.b) != (cp.size - seen.size, seen.size, cp.size - 1):
             raise LogError(f"leaves from {seen.size} to {cp.size} expected, found {r.n} from {r.a} to {r.b}")
-        hashes, nodes_path = merkle.leaf_hashes(new), scratch_path(self.spark, "nodes")
-        if seen.size == 0:
-            peaks = merkle.peaks(merkle.complete_nodes(hashes, cp.size, nodes_path), cp.size)
-        else:
-            nodes = merkle.complete_nodes(hashes, cp.size, nodes_path)
-            peaks = merkle.appended([bytes.fromhex(p) for p in seen.peaks], seen.size, nodes, cp.size)
+        nodes = merkle.complete_nodes(merkle.leaf_hashes(new), cp.size, scratch_path(self.spark, "nodes"))
+        try:
+            peaks = merkle.peaks(nodes, cp.size) if seen.size == 0 else merkle.appended([bytes.fromhex(p) for p in seen.peaks], seen.size, nodes, cp.size)
+        except (KeyError, ValueError) as e:
+            raise LogError("a position is missing") from e
         if merkle.joined(peaks) != cp.hash:
             raise LogError("the leaves do not have the checkpoint's root")
         return peaks
@@ -162,6 +204,12 @@ class LogIndex:
         found = asked.join(posting_lists(rows), "key_hash", "left").withColumn("idx", F.coalesce("idx", F.array().cast("array<long>")))
         return found.join(dictionary.proofs(values, asked, self.roots(m), m.bits), "key_hash") if proofs else found
 
+    def export_output(self, folder: str) -> None:
+        """The output log as tile files with its signed checkpoint, for readers of tiled logs."""
+        m = self.manifest()
+        write_tiles(self.output_log(m).select(F.col("out_idx").alias("idx"), "leaf"), folder)
+        write_checkpoint(folder, m.output_checkpoint.encode())
+
     def _in_buckets(self, keys: list[bytes], m: Manifest) -> Column:
         """Whether a key is in a bucket that the answer to one of ``keys`` needs."""
         top, out = dictionary.top_trie(self.roots(m)), F.lit(False)
@@ -188,6 +236,11 @@ class LogIndex:
         return LookupResponse(m.output_checkpoint.encode(), leaf, proof, list(r.idx), own)
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    """By key, so that lookups skip files and row groups; by position too, so that a hot key is spread."""
+    return rows.repartitionByRange("key_hash", "idx").sortWithinPartitions("key_hash", "idx")
+
+
 def _b(x) -> bytes | None:
     return None if x is None else bytes(x)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,13 +95,13 @@ def module_leaf() -> Column:
     return F.concat(module, F.lit(" "), version, h("zip"), F.lit("\n"), module, F.lit(" "), version, F.lit("/go.mod"), h("mod"), F.lit("\n"))
 
 
-def _modules_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def modules_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").withColumn("p_brand", F.translate("p_brand", " ", "-"))
     return tables.table_log(part, module_leaf(), F.col("p_partkey"))
 
 
 def mapfn_module_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(index.posting_lists(index.postings(_modules_log(spark, sf_dir), mapfns.module_line)))
+    return _shown(index.posting_lists(index.postings(modules_log(spark, sf_dir), mapfns.module_line)))
 
 
 def _pages_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,17 +151,13 @@ def chunked_commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(hashing.hex_lower(F.col("key_hash")).alias("key_hash"), "n", hashing.hex_lower(F.col("value_hash")).alias("value_hash"))
 
 
-def _asked(spark: SparkSession, keys: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in keys], "key string").select("key", hashing.key_hash(F.col("key")).alias("key_hash"))
+def _found(spark: SparkSession, sf_dir: str, keys: tuple[str, ...]) -> DataFrame:
+    """(key, idx): lists of stated keys, read from the index of the events; an absent key has an empty one."""
+    from ledgerlens.plans.demo import events_index
 
-
-def _found(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], first: int = 0, size: int | None = None) -> DataFrame:
-    """(key, idx): lists of stated keys, from position ``first`` up to ``size``; an absent key has an empty one."""
-    asked = _asked(spark, keys)
-    log = events_log(spark, sf_dir).where(F.col("idx") >= first)  # reaches the scan
-    log = log if size is None else log.where(F.col("idx") < size)
-    lists = index.posting_lists(index.postings(log, mapfns.before_colon).join(F.broadcast(asked.select("key_hash")), "key_hash", "left_semi"))
-    return asked.join(lists, "key_hash", "left").select("key", F.coalesce("idx", F.array().cast("array<long>")).alias("idx"))
+    asked = spark.createDataFrame([(k, hashlib.sha256(k.encode()).digest()) for k in keys], "key string, key_hash binary")
+    found = events_index(spark, sf_dir).lookup_many([hashlib.sha256(k.encode()).digest() for k in keys], proofs=False)
+    return asked.join(F.broadcast(found), "key_hash").select("key", "idx")  # a row a stated key
 
 
 def _answer(found: DataFrame) -> DataFrame:
@@ -180,16 +177,16 @@ def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_at_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(_found(spark, sf_dir, KEY_WANTED, size=777))
+    return _answer(_found(spark, sf_dir, KEY_WANTED).withColumn("idx", index.below(F.col("idx"), 777)))
 
 
 def lookup_at_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists as they were when the log had nine tenths of its size."""
-    return _answer(_found(spark, sf_dir, KEY_WANTED, size=_size(spark, sf_dir) * 9 // 10))
+    return _answer(_found(spark, sf_dir, KEY_WANTED).withColumn("idx", index.below(F.col("idx"), _size(spark, sf_dir) * 9 // 10)))
 
 
 def lookup_min_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(_found(spark, sf_dir, KEY_WANTED, first=400))
+    return _answer(_found(spark, sf_dir, KEY_WANTED).withColumn("idx", index.from_index(F.col("idx"), 400)))
 
 
 def lookup_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +228,7 @@ MODULE, BY_MODULE = "example.org/Brand-13", ("module", "version")
 
 def _versions(spark: SparkSession, sf_dir: str, module: str | None = MODULE) -> DataFrame:
     """Versions of one module, or of all."""
-    lines = _modules_log(spark, sf_dir).select("idx", codec.module_lines(mapfns.text_of(F.col("leaf"))).alias("m")).select("idx", "m.*")
+    lines = modules_log(spark, sf_dir).select("idx", F.inline(codec.module_lines(mapfns.text_of(F.col("leaf")))))
     return lines if module is None else lines.where(F.col("module") == module)
 
 
@@ -351,31 +348,28 @@ def trie_proof_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            ok = [dictionary.verified(root, *row.values()) for row in b.select(["key_hash", "value_hash", "found", "other_key", "other_value", "depths", "siblings"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["key"], b["found"], pa.array(ok)], ["key", "found", "verified"])
+            rows = b.select(["key_hash", "value_hash", "found", "other_key", "other_value", "depths", "siblings"]).to_pylist()
+            ok = [dictionary.verified(root, *row.values()) for row in rows]
+            # the same proofs for another value, for the opposite claim, and under another root: none may hold
+            other = lambda r: r | {"value_hash": bytes(32), "found": True}
+            denied = lambda r: r | {"value_hash": None if r["found"] else bytes(32), "found": not r["found"]}
+            forged = [any((dictionary.verified(root, *other(r).values()), dictionary.verified(root, *denied(r).values()), dictionary.verified(bytes(32), *r.values()))) for r in rows]
+            yield pa.RecordBatch.from_arrays([b["key"], b["found"], pa.array(ok), pa.array(forged)], ["key", "found", "verified", "forged"])
 
-    return found.mapInArrow(check, "key long, found boolean, verified boolean")
+    return found.mapInArrow(check, "key long, found boolean, verified boolean, forged boolean")
 
 
-def _inclusion_verified(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
-    """Audit paths of the wanted events, or of all, and of each the check against the root."""
+def inclusion_proof_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of the log proved and checked against the root; the same proof for another leaf, position or root may not hold."""
     n, hashes = _size(spark, sf_dir), merkle.leaf_hashes(events_log(spark, sf_dir))
     nodes = merkle.complete_nodes(hashes, n, scratch_path(spark, "nodes"))
     root = merkle.joined(merkle.peaks(nodes, n))
-    asked = hashes if wanted is None else hashes.where(wanted)
-    rows = asked.join(merkle.inclusion_proofs(asked, nodes, n), "idx")
-    ok = merkle.inclusion_verified(F.col("idx"), F.lit(n), F.col("hash"), F.col("proof"), F.lit(root))
-    return rows.select("idx", ok.alias("verified"))
-
-
-def inclusion_proof_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh event, as its SQL asks; ``inclusion_proof_verify_all`` has them all."""
-    return _inclusion_verified(spark, sf_dir, F.col("idx") % 7 == 0)
-
-
-def inclusion_proof_verify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event of the log proved and checked."""
-    return _inclusion_verified(spark, sf_dir)
+    rows = hashes.join(merkle.inclusion_proofs(hashes, nodes, n), "idx")
+    holds = lambda idx, hash_, root: merkle.inclusion_verified(idx, F.lit(n), hash_, F.col("proof"), F.lit(root))
+    idx, own = F.col("idx"), F.col("hash")
+    forged = holds(idx, F.lit(bytes(32)), root) | holds(idx, own, bytes(32))
+    moved = holds(idx.bitwiseXOR(F.lit(1).cast("long")), own, root)
+    return rows.select("idx", holds(idx, own, root).alias("verified"), forged.alias("forged"), moved.alias("moved"))
 
 
 def queries() -> dict[str, Query]:
@@ -384,11 +378,13 @@ def queries() -> dict[str, Query]:
         domain_keys, wal_rows, wal_roundtrip, index_build, value_hashes, index_orders_by_customer, index_lineitem_by_part, chunked_commitments, lookup_present,
         lookup_absent, lookup_many, lookup_at_size, lookup_at_share, lookup_min_idx, lookup_delta, dereference, incremental_equals_full, map_fn_keys_histogram,
         version_audit, tags_missing_from_log, version_audit_all, tags_missing_from_log_all, duplicate_versions, semver_order, tile_paths, last_tile_page, jump_to_index, entry_preview, proxy_rewrite,
-        bundle_reframe, checkpoint_parse, output_leaf_codec, directory_hashes, map_root, trie_proof_verify, inclusion_proof_verify, inclusion_proof_verify_all,
+        bundle_reframe, checkpoint_parse, output_leaf_codec, directory_hashes, map_root, trie_proof_verify, inclusion_proof_verify,
     )
     from ledgerlens.plans.demo import QUERIES
 
-    return {f.__name__: f for f in own} | QUERIES
+    named = {f.__name__: f for f in own} | QUERIES
+    # names of the time when the first form covered a part of the log
+    return named | {"inclusion_proof_verify_all": inclusion_proof_verify, "tiles_roundtrip_all": QUERIES["tiles_roundtrip"]}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,23 +1,24 @@
 """Tiled logs: bundles of 256 entries in files named by ``tile_path``, beside a signed ``checkpoint``.
 
 Batch reads go through Spark's binary file reader, so a log may lie in any store that Spark reads; only the files of the range asked for
-are opened. The streaming source is a Python data source whose offset is the tree size; it reads files by path, so the log
-must be mounted on the executors. Writers make one file a bundle.
+are listed and opened. The data source, whose streaming offset is the tree size, and the writers reach files from the tasks through Arrow's
+file systems: local or mounted paths, and the URIs that Arrow knows (file, s3, gs, hdfs). Writers make one file a bundle.
 """
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ledgerlens.functions.codec import TILE, framed, tile_path
-from ledgerlens.functions.notes import parse_unverified
+from ledgerlens.functions.notes import Ed25519Verifier, parse_checkpoint, parse_unverified
 
 SCHEMA = "idx long, leaf binary"
 ENTRIES = "tile/entries"
@@ -82,13 +83,31 @@ def _records(batches: Iterator[pa.RecordBatch], split) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(range(tile * TILE, tile * TILE + len(leaves)), pa.int64()), pa.array(leaves, pa.binary())], ["idx", "leaf"])
 
 
+def _patterns(first: int, last: int) -> list[str]:
+    """Globs of the tiles from ``first`` to ``last``, whole and partial, by thousands: no file of another tile matches."""
+    out = []
+    for group in range(first // 1000, last // 1000 + 1):
+        own = [f"{t % 1000:03d}" for t in range(max(first, group * 1000), min(last, group * 1000 + 999) + 1)]
+        names = "[0-9][0-9][0-9]" if len(own) == 1000 else "{" + ",".join(own) + "}"
+        prefix, rest = "", group
+        while rest:
+            prefix, rest = f"x{rest % 1000:03d}/{prefix}", rest // 1000
+        out += [f"{prefix}{names}", f"{prefix}{names}.p/*"]
+    return out
+
+
 def read_tiles(spark: SparkSession, path: str, start: int, end: int, form: str = "bundles") -> DataFrame:
     """(idx, leaf) of positions from ``start`` up to ``end``. Partial bundles are read where no full one covers their range."""
     split, folder = FORMATS[form]
     first, last = start // TILE, max(start, end - 1) // TILE
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{folder}")
-    files = files.select("path", "length", "content", _tile_number(F.col("path"), folder).alias("tile")).where(F.col("tile").between(first, last))
-    leaves = files.select("tile", "content").mapInArrow(lambda it: _records(it, split), SCHEMA).where((F.col("idx") >= start) & (F.col("idx") < end))
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    globs = [f"{path}/{folder}/{p}" for p in _patterns(first, last)]
+    globs = [g for g in globs if len(store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(g)) or [])]
+    if not globs:
+        return spark.createDataFrame([], SCHEMA)
+    found = spark.read.format("binaryFile").load(globs).select("content", _tile_number(F.col("path"), folder).alias("tile"))
+    leaves = found.select("tile", "content").mapInArrow(lambda it: _records(it, split), SCHEMA).where((F.col("idx") >= start) & (F.col("idx") < end))
     return leaves.groupBy("idx").agg(F.min("leaf").alias("leaf")) if end % TILE else leaves
 
 
@@ -104,22 +123,38 @@ def bundles(log: DataFrame) -> DataFrame:
     return rows.select("tile", n.alias("n"), tile_path(F.col("tile"), F.when(n < TILE, n).otherwise(0)).alias("path"), framed(F.col("rows.leaf")).alias("content"))
 
 
+def _store(folder: str) -> tuple[files.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return files.FileSystem.from_uri(folder) if "://" in folder else (files.LocalFileSystem(), folder)
+
+
+def _put(folder: str, name: str, content: bytes) -> None:
+    """One file, written under another name and renamed."""
+    store, base = _store(folder)
+    target = f"{base}/{name}"
+    store.create_dir(target.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(temp := f"{target}.{uuid.uuid4().hex}.tmp") as f:
+        f.write(content)
+    store.move(temp, target)
+
+
 def write_tiles(log: DataFrame, folder: str) -> None:
-    """One file a bundle under a folder that all executors share; each is written under another name and renamed."""
+    """One file a bundle under a folder, or URI, that all executors share."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                target = os.path.join(folder, ENTRIES, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(f"{target}.{os.getpid()}.tmp", "wb") as f:
-                    f.write(content)
-                os.replace(f.name, target)
+                _put(folder, f"{ENTRIES}/{path}", content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     bundles(log).select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
+def write_checkpoint(folder: str, checkpoint: bytes) -> None:
+    """The signed checkpoint beside the tiles; written last, it shows what stands there."""
+    _put(folder, "checkpoint", checkpoint)
+
+
 class _Range(InputPartition):
     def __init__(self, tile: int, start: int, end: int, size: int):
         self.tile, self.start, self.end, self.size = tile, start, end, size
@@ -129,15 +164,17 @@ def _ranges(start: int, end: int, size: int) -> list[_Range]:
     return [_Range(t, max(start, t * TILE), min(end, t * TILE + TILE), size) for t in range(start // TILE, -(-end // TILE))] if end > start else []
 
 
-def _read_range(folder: str, part: _Range) -> Iterator[pa.RecordBatch]:
+def _read_range(folder: str, form: str, part: _Range) -> Iterator[pa.RecordBatch]:
     """A full bundle, or the partial one of that size, or any longer one."""
-    want = part.end - part.tile * TILE
-    base = os.path.join(folder, ENTRIES, path_of(part.tile))
-    partials = sorted((int(n) for n in os.listdir(f"{base}.p") if n.isdigit() and int(n) >= want), reverse=True) if os.path.isdir(f"{base}.p") else []
+    split, entries = FORMATS[form]
+    want, (store, root) = part.end - part.tile * TILE, _store(folder)
+    base = f"{root}/{entries}/{path_of(part.tile)}"
+    beside = store.get_file_info(files.FileSelector(f"{base}.p", allow_not_found=True))
+    partials = sorted((int(i.base_name) for i in beside if i.base_name.isdigit() and int(i.base_name) >= want), reverse=True)
     for name in [base, *(f"{base}.p/{n}" for n in partials)]:
-        if os.path.isfile(name):
-            with open(name, "rb") as f:
-                leaves = unbundled(f.read())
+        if store.get_file_info(name).type == files.FileType.File:
+            with store.open_input_stream(name) as f:
+                leaves = split(f.read())
             if len(leaves) >= want:
                 lo = part.start - part.tile * TILE
                 yield pa.RecordBatch.from_arrays([pa.array(range(part.start, part.end), pa.int64()), pa.array(leaves[lo:want], pa.binary())], ["idx", "leaf"])
@@ -145,46 +182,63 @@ def _read_range(folder: str, part: _Range) -> Iterator[pa.RecordBatch]:
     raise FileNotFoundError(f"no bundle for entries {part.start} to {part.end}")
 
 
+class _Options:
+    """Options of the source: path; form (``bundles`` or ``static_ct``); vkey, with which the checkpoint must be signed; origin, which it
+    must name (the key's name, if not given); start and end."""
+
+    def __init__(self, options: dict):
+        self.folder, self.form = options["path"], options.get("form", "bundles")
+        self.vkey, self.origin = options.get("vkey"), options.get("origin")
+        if self.form not in FORMATS:
+            raise ValueError(f"unknown form {self.form!r}")
+
+    def size(self) -> int:
+        """The size of the tree; an error if the checkpoint is not signed as asked."""
+        store, root = _store(self.folder)
+        with store.open_input_stream(f"{root}/checkpoint") as f:
+            raw = f.read()
+        if self.vkey:
+            return parse_checkpoint(raw, Ed25519Verifier.parse(self.vkey), self.origin).size
+        found = parse_unverified(raw)
+        if self.origin is not None and found.origin != self.origin:
+            raise ValueError(f"unexpected origin {found.origin!r}")
+        return found.size
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.size = parse_unverified(_bytes(self.folder)).size
-        self.start, self.end = int(options.get("start", 0)), min(int(options.get("end", self.size)), self.size)
+        self.options, size = _Options(options), _Options(options).size()
+        self.start, self.end, self.tree = int(options.get("start", 0)), min(int(options.get("end", size)), size), size
 
     def partitions(self) -> list[InputPartition]:
-        return _ranges(self.start, self.end, self.size)
+        return _ranges(self.start, self.end, self.tree)
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        return _read_range(self.folder, partition)
+        return _read_range(self.options.folder, self.options.form, partition)
 
 
 class _StreamReader(DataSourceStreamReader):
     """Offsets are tree sizes, so every batch ends at a signed checkpoint and can be checked against it."""
 
     def __init__(self, options: dict):
-        self.folder, self.first = options["path"], int(options.get("start", 0))
+        self.options, self.first = _Options(options), int(options.get("start", 0))
 
     def initialOffset(self) -> dict:
         return {"size": self.first}
 
     def latestOffset(self) -> dict:
-        return {"size": parse_unverified(_bytes(self.folder)).size}
+        return {"size": self.options.size()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return _ranges(start["size"], end["size"], end["size"])
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        return _read_range(self.folder, partition)
+        return _read_range(self.options.folder, self.options.form, partition)
 
     def commit(self, end: dict) -> None:
         pass
 
 
-def _bytes(folder: str) -> bytes:
-    with open(os.path.join(folder, "checkpoint"), "rb") as f:
-        return f.read()
-
-
 class TiledLog(DataSource):
     """``spark.read`` / ``spark.readStream`` ``.format("tlog_tiles").option("path", folder)`` after ``register``."""
 

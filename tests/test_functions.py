@@ -7,7 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import certificates, codec, domains, hashing, mapfns, notes
-from ledgerlens.plans.demo import NAMES, log_leaf, signed_part
+from ledgerlens.plans.demo import log_leaf, signed_part
+
+NAMES = (["*.example.com", "example.com", "a.example.com"], ["x.y.example.co.uk"], ["A.EXAMPLE.COM"], ["localhost", "*.co.uk"])
 
 
 def one(spark, column, **values):
@@ -86,7 +88,7 @@ def test_framed(spark):
 
 def test_module_lines(spark):
     leaf = "example.org/m v1.0.0 h1:a=\nexample.org/m v1.0.0/go.mod h1:b=\n"
-    assert tuple(one(spark, codec.module_lines(F.col("a")), a=leaf)) == ("example.org/m", "v1.0.0", "h1:a=", "h1:b=")
+    assert [tuple(r) for r in one(spark, codec.module_lines(F.col("a")), a=leaf)] == [("example.org/m", "v1.0.0", "h1:a=", "h1:b=")]
     for bad in ("x", leaf.replace("v1.0.0/", "v1.0.1/"), leaf.splitlines()[0]):
         failed(spark, codec.module_lines(F.col("a")), a=bad)
 
@@ -110,13 +112,24 @@ def test_other_keys(spark):
 
 
 @pytest.mark.parametrize(("names", "keys"), [
-    (["*.google.com", "google.com", "maps.google.com"], ["google.com", "maps.google.com"]), (["deep.maps.google.co.uk"], ["deep.maps.google.co.uk", "google.co.uk", "maps.google.co.uk"]),
-    (["MAPS.GOOGLE.COM"], ["google.com", "maps.google.com"]), (["localhost", "*.co.uk"], ["co.uk", "localhost"]), (["*", ""], []),
+    (["*.example.net", "example.net", "a.example.net"], ["a.example.net", "example.net"]), (["x.y.example.co.uk"], ["example.co.uk", "x.y.example.co.uk", "y.example.co.uk"]),
+    (["A.EXAMPLE.NET"], ["a.example.net", "example.net"]), (["localhost", "*.co.uk"], ["co.uk", "localhost"]), (["*", ""], []),
 ])
 def test_parents(spark, names, keys):
     assert one(spark, domains.with_parents(F.col("a")), a=names) == keys
 
 
+@pytest.mark.parametrize(("name", "keys"), [
+    ("a.b.example.ck", ["a.b.example.ck", "b.example.ck"]), ("example.ck", ["example.ck"]), ("a.www.ck", ["a.www.ck", "www.ck"]), ("www.ck", ["www.ck"]), ("ck", ["ck"]),
+    ("a.b.city.test.jp", ["a.b.city.test.jp", "b.city.test.jp", "city.test.jp"]), ("x.y.test.jp", ["x.y.test.jp"]), ("a.example.com", ["a.example.com", "example.com"]), ("a.b.xn--55qx5d.cn", ["a.b.xn--55qx5d.cn", "b.xn--55qx5d.cn"]),
+])
+def test_suffix_rules(spark, name, keys):
+    text = "// a comment\ncom\n*.ck\n!www.ck\njp\n*.test.jp after a blank\n!city.test.jp\n\ncn\n公司.cn\n"
+    rules = domains.SuffixRules.parse(text)
+    assert one(spark, domains.with_parents(F.array("a"), rules), a=name) == keys
+    assert rules.version == domains.SuffixRules.parse("\n".join(reversed(text.splitlines()))).version != domains.DEFAULT.version
+
+
 def test_certificate_leaves():
     for n in NAMES:
         assert certificates.names_of_log_leaf(log_leaf(n)) == n == certificates.names_of_log_leaf(log_leaf(n, pre=True))
@@ -195,4 +208,27 @@ def test_static_certificate_tiles(spark, tmp_path):
     (tmp_path / "tile/data/000.p").mkdir()
     (tmp_path / "tile/data/000.p/4").write_bytes(body)
     rows = read_tiles(spark, f"file://{tmp_path}", 1, 4, "static_ct").select("idx", mapfns.certificate_names(F.col("leaf")).alias("k")).orderBy("idx").collect()
-    assert [r.idx for r in rows] == [1, 2, 3] and rows[0].k == ["deep.maps.example.co.uk", "example.co.uk", "maps.example.co.uk"]
+    assert [r.idx for r in rows] == [1, 2, 3] and rows[0].k == ["example.co.uk", "x.y.example.co.uk", "y.example.co.uk"]
+
+
+def test_certificate_log_key():
+    der = bytes.fromhex("3059301306072a8648ce3d020106082a8648ce3d030107034200") + b"\x04" + bytes(range(64))
+    text = base64.b64encode(der).decode()
+    found = notes.CertificateLogVerifier.parse("log.example.org/2026", text)
+    assert found == notes.CertificateLogVerifier.parse("log.example.org/2026", f"-----BEGIN PUBLIC KEY-----\n{text[:64]}\n{text[64:]}\n-----END PUBLIC KEY-----\n")
+    name, shown, data = found.vkey().split("+", 2)
+    key = base64.b64decode(data)
+    assert name == "log.example.org/2026" and key == b"\x05" + hashlib.sha256(der).digest()
+    assert shown == hashlib.sha256(name.encode() + b"\n" + key).digest()[:4].hex() == found.key_hash.hex()
+    for origin, bad in (("", text), ("a b", text), ("a+b", text), ("a", text[:-4]), ("a", "!!")):
+        with pytest.raises(ValueError):
+            notes.CertificateLogVerifier.parse(origin, bad)
+
+
+def test_load_key(tmp_path, monkeypatch):
+    (tmp_path / "key").write_text("from a file\n")
+    monkeypatch.setenv("A_KEY_FOR_TESTS", " from outside ")
+    assert notes.load_key(str(tmp_path / "key"), "A_KEY_FOR_TESTS") == "from a file" and notes.load_key(None, "A_KEY_FOR_TESTS") == "from outside"
+    monkeypatch.delenv("A_KEY_FOR_TESTS")
+    with pytest.raises(ValueError, match="not set"):
+        notes.load_key(None, "A_KEY_FOR_TESTS")

@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import mapfns
-from ledgerlens.functions.notes import parse_unverified
+from ledgerlens.functions.notes import Ed25519Signer, parse_checkpoint, parse_unverified
 from ledgerlens.operators import audit, dictionary, merkle, metrics
 from ledgerlens.operators import postings as index
 from ledgerlens.plans import index as plans
 from ledgerlens.plans import manifest as manifests
-from ledgerlens.plans.demo import ORIGIN, SIGNER, signed_at
+from ledgerlens.plans.demo import ORIGIN, SIGNER, log_leaf, signed_at
 from ledgerlens.plans.index import LogError, LogIndex, verify_lookup_response
 from ledgerlens.sources import tables, tiles
 
@@ -197,6 +197,137 @@ def test_tiles(spark, tmp_path):
     assert tiles.unbundled(b"\0\1a\0\2b") == [b"a"]
 
 
+def test_other_tiles_are_never_opened(spark, tmp_path):
+    """A tile beside the range, longer than the reader takes, is no trouble; nor is one a thousand tiles on."""
+    leaves = [b"a" * 40] * 256 + [b"b" * 4000] * 256
+    tiles.write_tiles(log_of(spark, leaves), str(tmp_path))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100_000)
+    try:
+        assert tiles.read_tiles(spark, f"file://{tmp_path}", 0, 10).count() == 10
+        with pytest.raises(Exception, match="maxLength|exceeds"):
+            tiles.read_tiles(spark, f"file://{tmp_path}", 250, 260).count()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert tiles.read_tiles(spark, f"file://{tmp_path}", 5000, 6000).count() == 0
+    assert tiles._patterns(998, 1001) == ["{998,999}", "{998,999}.p/*", "x001/{000,001}", "x001/{000,001}.p/*"]
+    assert tiles._patterns(1_000_000, 1_000_999) == ["x001/x000/[0-9][0-9][0-9]", "x001/x000/[0-9][0-9][0-9].p/*"]
+
+
+def test_source_options(spark, tmp_path):
+    log, folder = tables.synthetic_log(spark, 300), str(tmp_path)
+    tiles.write_tiles(log, f"file://{folder}")
+    tiles.write_checkpoint(f"file://{folder}", signed_at(log, 300))
+    tiles.register(spark)
+    own = SIGNER.verifier()
+    vkey = f"{own.name}+{own.key_hash.hex()}+{base64.b64encode(bytes([1]) + own.public).decode()}"
+    source = lambda **options: spark.read.format("tlog_tiles").options(path=f"file://{folder}", **options).load()
+    assert source(vkey=vkey).count() == source(vkey=vkey, origin=ORIGIN).count() == source(origin=ORIGIN).count() == 300
+    other = Ed25519Signer("demo-log", bytes(32)).verifier()
+    wrong = f"{other.name}+{other.key_hash.hex()}+{base64.b64encode(bytes([1]) + other.public).decode()}"
+    for options in ({"vkey": wrong}, {"origin": "x"}, {"vkey": vkey, "origin": "x"}, {"form": "x"}):
+        with pytest.raises(Exception, match="no valid signature|unexpected origin|unknown form"):
+            source(**options).count()
+
+
+def test_static_certificate_tiles_as_a_source(spark, tmp_path):
+    """Data tiles of a static certificate log, in batch and as a stream."""
+    leaves = [log_leaf([f"a{i}.example.org"]) for i in range(3)]
+    records = b"".join(leaf[2:] + b"\0\0" + b"\0\0" for leaf in leaves)  # no extensions, no chain
+    tiles._put(str(tmp_path), "tile/data/000.p/3", records)
+    want = tiles.certificate_leaves(records)
+    tiles.write_checkpoint(str(tmp_path), signed_at(log_of(spark, want), 3))
+    tiles.register(spark)
+    rows = spark.read.format("tlog_tiles").options(path=str(tmp_path), form="static_ct").load().orderBy("idx").collect()
+    assert [bytes(r.leaf) for r in rows] == want
+    stream = spark.readStream.format("tlog_tiles").options(path=str(tmp_path), form="static_ct").load()
+    query = stream.writeStream.format("memory").queryName("certificates").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "offsets")).start()
+    query.awaitTermination()
+    assert spark.table("certificates").count() == 3
+
+
+def test_compaction(spark, tmp_path):
+    idx, log = filled(spark, str(tmp_path), [f"k{i % 9}: {i}".encode() for i in range(90)], [20, 50, 90])
+    before, many = idx.manifest(), spark.createDataFrame([(hashlib.sha256(f"k{i}".encode()).digest(),) for i in range(10)], "key_hash binary")
+    shown = lambda m: sorted((bytes(r.key_hash), r.idx) for r in idx.lookup_many(many, m and m.epoch, proofs=False).collect())
+    want, values = shown(None), sorted(map(tuple, idx.values(before).collect()))
+    after = idx.compact()
+    assert [len(after.tables[t]) for t in ("postings", "values", "output")] == [1, 1, 1] and len(before.tables["postings"]) == 3
+    assert idx.manifest() == after and shown(None) == want == shown(before) and sorted(map(tuple, idx.values(after).collect())) == values == sorted(map(tuple, idx.values(before).collect()))
+    assert response_for(idx, "k3")[1]().size == 90
+    assert idx.update(signed_at(log, 90), lambda a, b: log) is None
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Of two updates from one revision the first to commit counts, whole; the other is refused."""
+    leaves = [f"a: {i}".encode() for i in range(8)]
+    idx, log = filled(spark, str(tmp_path), leaves, [2])
+    between = lambda a, b: log.where((F.col("idx") >= a) & (F.col("idx") < b))
+    commit = manifests.commit
+
+    def late(session, root, m):
+        monkeypatch.setattr(manifests, "commit", commit)
+        filled(session, root, leaves, [5])  # the other writer is done first
+        commit(session, root, m)
+
+    monkeypatch.setattr(manifests, "commit", late)
+    with pytest.raises(RuntimeError, match="committed already"):
+        idx.update(signed_at(log, 8), between)
+    assert idx.manifest().size == 5 and response_for(idx, "a")[0].index_value == list(range(5))
+    assert idx.update(signed_at(log, 8), between).size == 8 and response_for(idx, "a")[0].index_value == list(range(8))
+
+
+def test_leaves_are_staged_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans, "MOST_LEAVES", 7)
+    log, asked = log_of(spark, [f"a: {i}".encode() for i in range(20)]), []
+
+    def leaves(a, b):
+        asked.append((a, b))
+        return log.where((F.col("idx") >= a) & (F.col("idx") < b))
+
+    idx = LogIndex(spark, str(tmp_path), "before_colon", SIGNER, SIGNER.verifier(), ORIGIN)
+    idx.update(signed_at(log, 20), leaves)
+    assert asked == [(0, 7), (7, 14), (14, 20)] and idx.manifest().epoch == 1 and response_for(idx, "a")[0].index_value == list(range(20))
+
+
+def test_functions_are_told_apart(spark, tmp_path):
+    """An index refuses another function under the name of its own."""
+    filled(spark, str(tmp_path), [b"a: 1"], [1])
+    with pytest.raises(ValueError, match="built with"):
+        LogIndex(spark, str(tmp_path), "before_colon", SIGNER, SIGNER.verifier(), ORIGIN, {"before_colon": mapfns.comma_list})
+    for fn in mapfns.REGISTRY.values():
+        assert mapfns.fingerprint(spark, fn) == mapfns.fingerprint(spark, fn)
+
+
+def test_output_log_as_tiles(spark, tmp_path):
+    idx, _ = filled(spark, str(tmp_path / "index"), [f"a: {i}".encode() for i in range(9)], [3, 6, 9])
+    idx.export_output(str(tmp_path / "out"))
+    cp = parse_checkpoint(tiles.read_checkpoint(spark, f"file://{tmp_path}/out"), SIGNER.verifier())
+    rows = tiles.read_tiles(spark, f"file://{tmp_path}/out", 0, cp.size)
+    assert cp.size == 3 and merkle.root(merkle.leaf_hashes(rows), 3) == cp.hash
+    assert [bytes(r.leaf) for r in rows.orderBy("idx").collect()] == [bytes(r.leaf) for r in idx.output_log().orderBy("out_idx").collect()]
+
+
+def test_hot_keys_are_hashed_as_they_stream(spark):
+    """A list far longer than an Arrow batch, among short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        log = spark.range(5000).select("id", F.when(F.col("id") % 50 == 0, F.concat(F.lit("k"), "id")).otherwise("hot").alias("k"))
+        rows = log.select(F.unhex(F.sha2("k", 256)).alias("key_hash"), F.col("id").alias("idx"))
+        found = {bytes(r.key_hash): (r.n, bytes(r.value_hash)) for r in index.value_hashes(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    digest = lambda ids: (len(ids), hashlib.sha256(b"".join(i.to_bytes(8, "big") for i in ids)).digest())
+    want = {hashlib.sha256(f"k{i}".encode()).digest(): digest([i]) for i in range(0, 5000, 50)}
+    assert found == want | {hashlib.sha256(b"hot").digest(): digest([i for i in range(5000) if i % 50])}
+
+
+def test_duration_histograms(spark):
+    reports = [{"durations": {"addBatch": 25, "walCommit": 5}}, {"durations": {"addBatch": 700_000}}]
+    rows = metrics.duration_histograms(spark, reports).where("n > 0").collect()
+    assert {(r.phase, r.upper): r.n for r in rows} == {("addBatch", 40): 1, ("addBatch", None): 1, ("walCommit", 10): 1}
+    assert metrics.duration_histograms(spark, []).count() == 0
+
+
 def test_stream_of_tiles(spark, tmp_path):
     from ledgerlens.streaming.update import update_stream
 
@@ -246,6 +377,7 @@ def test_report(spark):
     tags = spark.createDataFrame([("v1.0.0", "m", "z"), ("v1.1.0", "m", "y"), ("v1.2.0", "", "z"), ("v2.0.0", "m", "z")], "version string, tag_mod_hash string, tag_zip_hash string")
     rows = {r.version: (r.found, r.mod, r.zip) for r in audit.version_report(versions, tags).collect()}
     assert rows == {"v1.0.0": ("✅", "✅", "✅"), "v1.1.0": ("✅", "✅", "❌"), "v1.2.0": ("✅", "⚠️", "⚠️"), "v1.3.0": ("❌", "⚠️", "⚠️")}
+    assert {r.version: r.errors for r in audit.version_errors(audit.version_report(versions, tags)).collect()} == {"v1.1.0": ["archive differs"], "v1.3.0": ["no tag"]}
     assert [r.version for r in audit.tags_missing_from_log(versions, tags).collect()] == ["v2.0.0"]
     assert audit.duplicate_versions(versions.union(versions.limit(1))).count() == 1
 

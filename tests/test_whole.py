@@ -1,24 +1,10 @@
-"""Queries over the whole log, where their first form covers a part of it."""
+"""Logs beyond the driver's tables."""
 
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import SF
-from ledgerlens.oracle import _MODULE
+from ledgerlens import queries
 from ledgerlens.plans import demo
-from oracle import same
-
-
-def test_every_event_is_proved(spark):
-    found = entry.queries()["inclusion_proof_verify_all"](spark, SF)
-    same(found, "SELECT event_id AS idx, TRUE AS verified FROM events", SF)
-
-
-@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.01"])
-def test_all_tiles_are_read_back(spark, sf_dir):
-    found = entry.queries()["tiles_roundtrip_all"](spark, sf_dir)
-    same(found, "SELECT event_id AS idx, event_type || ': ' || event_id AS leaf FROM events", sf_dir)
 
 
 def test_deep_tiles_are_read_back(spark):
@@ -29,18 +15,7 @@ def test_deep_tiles_are_read_back(spark):
     assert sorted((r.idx, r.leaf) for r in found) == [(i, f"leaf {i}") for i in range(first, end)]
 
 
-def test_lookup_at_a_share_of_the_log(spark):
-    rows = "SELECT k.key, count(e.event_id) AS n, coalesce(string_agg(e.event_id::VARCHAR, ',' ORDER BY e.event_id), '') AS idx"
-    keys = "(VALUES ('click'), ('view'), ('purchase'), ('banana')) AS k(key)"
-    past = "(SELECT * FROM events WHERE event_id < (SELECT count(*) FROM events) * 9 // 10)"
-    same(entry.queries()["lookup_at_share"](spark, SF), f"{rows} FROM {keys} LEFT JOIN {past} e ON e.event_type = k.key GROUP BY k.key", SF)
-
-
-def test_every_module_is_audited(spark):
-    tags = """t AS (SELECT module, version, CASE WHEN idx % 4 = 0 THEN '' ELSE mod_hash END AS tm, CASE WHEN idx % 11 = 0 THEN 'h1:other' ELSE zip_hash END AS tz
-      FROM m WHERE idx % 3 <> 0 UNION ALL SELECT DISTINCT module, 'v9.9.9', 'h1:a', 'h1:b' FROM m)"""
-    glyph = lambda own, other: f"CASE WHEN coalesce(tm, '') = '' THEN '⚠️' WHEN {own} = {other} THEN '✅' ELSE '❌' END"
-    sql = f"""WITH {_MODULE}, {tags} SELECT m.module, m.version, m.idx, CASE WHEN t.version IS NULL THEN '❌' ELSE '✅' END AS found,
-      {glyph("mod_hash", "tm")} AS mod, {glyph("zip_hash", "tz")} AS zip FROM m LEFT JOIN t ON t.module = m.module AND t.version = m.version"""
-    same(entry.queries()["version_audit_all"](spark, SF), sql, SF)
-    same(entry.queries()["tags_missing_from_log_all"](spark, SF), f"WITH {_MODULE} SELECT DISTINCT module, 'v9.9.9' AS version FROM m", SF)
+def test_lookups_read_the_index(spark):
+    """Lookups read the sorted postings with the key pushed down, never the log."""
+    plan = queries.lookup_many(spark, SF)._jdf.queryExecution().toString()
+    assert "events.parquet" not in plan and "/postings/" in plan and "In(key_hash" in plan.replace("PushedFilters: [", "")
