@@ -58,17 +58,17 @@ def _words(text: Column) -> Column:
 def _repeated_words(words: Column) -> Column:
     """Words that lie in a 5-word window found twice or more."""
     n = F.size(words)
-    windows = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))).otherwise(F.array().cast("array<bigint>"))
+    windows = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(5))))).otherwise(F.array().cast("array<bigint>"))
 
     def covered(w: Column) -> Column:
         def from_sorted(s: Column) -> Column:
             twin = lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])
             hits = F.filter(s, lambda x, k: F.coalesce(twin(x, k), F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))))
-            places = F.array_sort(F.transform(hits, lambda x: x["i"]))
+            places = F.sort_array(F.transform(hits, lambda x: x["i"]))
             steps = lambda p: F.transform(p, lambda x, k: F.least(F.lit(5), F.coalesce(F.get(p, k + 1) - x, F.lit(5))))
             return F.aggregate(let(places, steps), F.lit(0), lambda a, x: a + x)
 
-        numbered = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        numbered = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(numbered, from_sorted))
 
     return let(windows, covered)
@@ -80,7 +80,7 @@ def common_words(docs: DataFrame, top: int = TOP_WORDS) -> DataFrame:
     def repeated(words: Column) -> Column:
         return F.array_distinct(F.filter(words, lambda x, i: F.coalesce(F.get(words, i + 1) == x, F.lit(False))))
 
-    words = let(_words(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.when(F.size(w) >= 10, let(F.array_sort(w), repeated)))
+    words = let(_words(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.when(F.size(w) >= 10, let(F.sort_array(w), repeated)))
     counts = docs.where(F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), F.explode(words).alias("word")).groupBy("_lang", "word").agg(F.count("*").alias("n"))
     # by parts of a language first, so that no task sorts all its words
     first = Window.partitionBy("_lang", F.pmod(F.hash("word"), F.lit(64))).orderBy(F.desc("n"), "word")
@@ -90,10 +90,13 @@ def common_words(docs: DataFrame, top: int = TOP_WORDS) -> DataFrame:
 
 
 def _listed_counts(words: Column, common: Column) -> Column:
-    """How often each common word occurs; null without common words."""
-    hits = F.filter(words, lambda w: F.array_contains(common, F.lower(w)))
-    among = lambda text: F.transform(common, lambda w: ((F.length(text) - F.length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long"))
-    return F.when(common.isNotNull(), let(F.concat(F.lit(" "), F.lower(F.array_join(hits, "  ")), F.lit(" ")), among))
+    """How often each common word occurs; null without common words. One pattern finds the common words, so no lambda sees the others."""
+    quoted = F.transform(common, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit(" (?:"), F.array_join(quoted, "|"), F.lit(")(?= )"))
+    text = F.concat(F.lit(" "), F.lower(F.array_join(words, " ")), F.lit(" "))
+    hits = F.concat(F.array_join(F.regexp_extract_all(text, pattern, F.lit(0)), " "), F.lit(" "))
+    among = lambda text: F.transform(common, lambda w: ((F.octet_length(text) - F.octet_length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("long"))
+    return F.when(common.isNotNull(), let(hits, among))
 
 
 def _few(df: DataFrame) -> DataFrame:
