@@ -12,12 +12,14 @@ Profiles count every training row: tasks sum up their own texts per language, Sp
 most ``top`` rows for each of at most ``most_languages`` languages, which is checked) reach the driver and the tasks.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is every text when there is nothing to learn
-from; repeated rows count as often as they stand there; other columns are ignored and may have any name.
+from; repeated rows count as often as they stand there; a text longer than ``PIECE`` characters is counted in pieces that end at white
+space, so beside it only one piece and the sums are held; an empty table gives an empty table; other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -33,7 +35,10 @@ from ledgerlens.llm.tokens import forget
 UNKNOWN = "und"
 TOP = 400
 MOST_LANGUAGES = 1000
+#: Characters of a text that are worked on at once, about; a run without white space stays whole.
+PIECE = 1 << 20
 _BLANK = 32
+_BREAK = re.compile(r"\s")
 
 
 @functools.cache
@@ -49,6 +54,15 @@ def _folding() -> tuple[np.ndarray, np.ndarray]:
     return fold, letter
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces that end at white space: no word, and so no n-gram, lies in two of them."""
+    start = 0
+    while len(text) - start > PIECE and (stop := _BREAK.search(text, start + PIECE)):
+        yield text[start : stop.end()]
+        start = stop.end()
+    yield text[start:] if start else text
+
+
 def folded(text: str) -> np.ndarray | None:
     """Code points of the folded text with single blanks around each word; None without a letter."""
     fold, letter = _folding()
@@ -71,10 +85,20 @@ def grams(x: np.ndarray) -> np.ndarray:
     return np.concatenate((one, two, three))
 
 
-def ranked(x: np.ndarray, top: int) -> np.ndarray:
-    """The most frequent n-grams, in order."""
-    codes, counts = np.unique(grams(x), return_counts=True)
-    return codes[np.argsort(-counts, kind="stable")[:top]]
+def added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of two (codes, counts)."""
+    codes, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate((a[1], b[1]))).astype(np.int64)
+
+
+def ranked(text: str, top: int) -> np.ndarray | None:
+    """The most frequent n-grams of a text, in order; None without a letter."""
+    sums: tuple[np.ndarray, np.ndarray] | None = None
+    for piece in pieces(text):
+        if (x := folded(piece)) is not None:
+            own = np.unique(grams(x), return_counts=True)
+            sums = own if sums is None else added(sums, own)
+    return None if sums is None else sums[0][np.argsort(-sums[1], kind="stable")[:top]]
 
 
 class Profiles:
@@ -91,10 +115,9 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language; the score is 1 minus the distance over the largest possible one."""
-        x = folded(text) if text else None
-        if x is None or not self.languages:
+        own = ranked(text, self.top) if text and self.languages else None
+        if own is None:
             return UNKNOWN, 0.0
-        own = ranked(x, self.top)
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
         at[self.codes[at] != own] = len(self.codes)
         ranks = self.ranks[at]
@@ -116,11 +139,7 @@ def learn_profiles(docs: DataFrame, training: Column, top: int = TOP, most_langu
             """Sum up what is held, so that a task keeps one number for each n-gram."""
             for language, parts in held.items():
                 codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-                if language in sums:
-                    before, n = sums[language]
-                    both, at = np.unique(np.concatenate((before, codes)), return_inverse=True)
-                    codes, counts = both, np.bincount(at, np.concatenate((n, counts))).astype(np.int64)
-                sums[language] = codes, counts
+                sums[language] = added(sums[language], (codes, counts)) if language in sums else (codes, counts)
             held.clear()
 
         def flushed() -> Iterator[pa.RecordBatch]:
@@ -133,7 +152,7 @@ def learn_profiles(docs: DataFrame, training: Column, top: int = TOP, most_langu
 
         for batch in in_chunks(iter(batches), "text", 1 << 20):
             for text, language in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                if (x := folded(text)) is not None:
+                for x in filter(lambda x: x is not None, map(folded, pieces(text))):
                     held.setdefault(language, []).append(grams(x))
                     size += 3 * len(x)
                     if size > 1 << 20:

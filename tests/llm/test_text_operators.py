@@ -432,6 +432,20 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     assert found == [(1, 1, True, 96), (1, 1, True, 96), (2, 1, False, 96), (3, 1, False, 96), (3, 3, True, 96), (4, 3, False, 97)]
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    """Language ranks, toxic differences and counts are the same whatever the pieces."""
+    rng = random.Random(5)
+    texts = ["\u2003".join(rng.choice(["abc", "e\u0301te", "Straße", "12", "…"]) * rng.randint(1, 3) for _ in range(200)) for _ in range(3)] + ["12 " * 50 + "x", "y" * 500]
+    codes = np.unique(np.concatenate([toxicity.tagged(toxicity.spelled(t)[0], k) for t in texts for k in range(1, 7)]))
+    ratios = toxicity.Ratios(codes, np.sin(codes % 1000).astype(np.float32))
+    found = lambda: [(langid.ranked(t, 50).tolist(), toxicity.features(t, ratios), sorted(c for f in toxicity.spellings(t) for c in f[0].tolist())) for t in texts]
+    whole = found()
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert sum(1 for _ in langid.pieces(texts[0])) > 20
+    for a, b in zip(whole, found(), strict=True):
+        assert a[0] == b[0] and np.allclose(a[1], b[1]) and a[2] == b[2]
+
+
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
     rng = random.Random(4)
     texts = [" ".join("x" * rng.randint(1, 9) + str(rng.randrange(99)) for _ in range(n)).encode() for n in (0, 1, 7, 3000)] + [b"y" * 5000, b" \n"]
