@@ -94,7 +94,7 @@ def test_module_lines(spark):
 
 
 @pytest.mark.parametrize(("leaf", "keys"), [
-    ("golang.org/x/text v0.3.0 h1:a", ["golang.org/x/text"]), ("example.org/m v0.0.0-20240222160914-411202e8d356 h1:a", []),
+    ("example.net/x/text v0.3.0 h1:a", ["example.net/x/text"]), ("example.org/m v0.0.0-20240222160914-411202e8d356 h1:a", []),
     ("example.org/m v1.7.0-rc1 h1:a", ["example.org/m"]), ("example.org/m v1.2.4-0.20191109021931-daa7c04131f5 h1:a", []),
 ])
 def test_module_keys(spark, leaf, keys):
