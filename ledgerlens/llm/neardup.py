@@ -346,19 +346,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     forest = written(_forest(links), "forest")
     edges = written(forest.union(forest.select("b", "a")).distinct().toDF("node", "other"), "edges")
+    large = edges.limit(HOT + 1).count() > HOT  # fewer rows have no hot key
+    join = meeting if large else lambda rows, single, key, counts=None: rows.join(single, key)
     labels = written(edges.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
-    degrees = edges.groupBy("other").agg(F.count("*").alias("members"))
-    degrees = written(degrees.where(F.col("members") > HOT), "degrees")
+    degrees = written(edges.groupBy("other").agg(F.count("*").alias("members")).where(F.col("members") > HOT), "degrees") if large else None
     while True:
         seen = labels.select(F.col("node").alias("other"), F.col("label").alias("seen"))
-        near = meeting(edges, seen, "other", degrees).groupBy("node").agg(F.min("seen").alias("seen"))
+        near = join(edges, seen, "other", degrees).groupBy("node").agg(F.min("seen").alias("seen"))
         # hooks: a label's own node takes the least label that any of its followers sees
         step = written(labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("next")), "step")
         hooks = step.groupBy("label").agg(F.min("next").alias("hook"))
-        mids = meeting(step, hooks, "label").select("node", F.col("label").alias("old"), F.least("next", "hook").alias("mid"))
+        mids = join(step, hooks, "label").select("node", F.col("label").alias("old"), F.least("next", "hook").alias("mid"))
         mids = written(mids, "mids")
         jump = mids.select(F.col("node").alias("mid"), F.col("mid").alias("far"))  # every label is a node
-        labels = written(meeting(mids, jump, "mid").select("node", "old", F.least("mid", "far").alias("label")), "labels")
+        labels = written(join(mids, jump, "mid").select("node", "old", F.least("mid", "far").alias("label")), "labels")
         changed = not labels.where(F.col("label") < F.col("old")).isEmpty()
         labels = labels.select("node", "label")
         if not changed:
