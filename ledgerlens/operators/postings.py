@@ -64,8 +64,11 @@ def value_hashes(rows: DataFrame) -> DataFrame:
 
     The rows of a key go through one running hash in the order of their positions, as the format asks, so no list is ever in
     memory: a hot key costs its task the time to hash it, 8 bytes a position.
+
+    The rows are dealt by a hash of the key: dealt by the key itself, Spark would take a join on it below as dealt already, and that join may
+    later be read where it lies (as a broadcast join, or split for skew), with a key's rows in many tasks.
     """
-    ordered = rows.select("key_hash", "idx").repartition("key_hash").sortWithinPartitions("key_hash", "idx")
+    ordered = rows.select("key_hash", "idx").repartition(F.xxhash64("key_hash")).sortWithinPartitions("key_hash", "idx")
     return ordered.mapInArrow(_streamed, "key_hash binary, n long, value_hash binary")
 
 
