@@ -3,12 +3,16 @@
 A log is ``idx long, leaf binary`` with positions 0 to n - 1. Eight levels at a time, 256 nodes are gathered in one row and hashed
 together, a batch of rows at once in Arrow, so a tree of n leaves takes log256(n) shuffles of hashes, each a 256th of the one before. The
 complete nodes are kept as a table (level, pos, hash); the root, the peaks of a size and audit paths are read off it.
+
+Proofs go the same way down: a tile's path to its peak is found once, and its leaves get theirs where its 256 hashes are. What is claimed of the
+leaves is dealt to their tiles and checked there, so no proof has to be moved.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +22,10 @@ from ledgerlens.functions.codec import TILE
 from ledgerlens.functions.hashing import leaf_hash, node_hash
 
 NODES = "level int, pos long, hash binary"
+#: Tiles that are Python objects at once.
+TILES_AT_ONCE = 64
+#: The position and leaf hash that a proof of (position, leaf hash) is tried for.
+Claim = Callable[[int, bytes], tuple[int, bytes]]
 
 
 def hash_nodes(left: bytes, right: bytes) -> bytes:
@@ -32,9 +40,16 @@ def fold(hashes: list[bytes]) -> bytes:
     return hashes[0]
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``TILES_AT_ONCE`` at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, TILES_AT_ONCE):
+            yield batch.slice(a, TILES_AT_ONCE)
+
+
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(tile, n, root) of rows (tile, first, hashes)."""
-    for batch in batches:
+    for batch in _few(batches):
         tiles = batch["hashes"].to_pylist()
         roots = pa.array([fold(t) for t in tiles], pa.binary())
         yield pa.RecordBatch.from_arrays([batch["tile"], pa.array([len(t) for t in tiles], pa.int32()), roots], ["tile", "n", "root"])
@@ -42,7 +57,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(up, pos, hash) of the complete nodes on the eight levels above rows (tile, first, hashes)."""
-    for batch in batches:
+    for batch in _few(batches):
         ups, places, out = [], [], []
         for tile, first, hashes in zip(batch["tile"].to_pylist(), batch["first"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
             start = tile * TILE + first
@@ -170,20 +185,120 @@ def appended(before: list[bytes], size: int, nodes: DataFrame, new_size: int) ->
     return [of(*p) for p in peak_places(new_size)]
 
 
-def inclusion_proofs(indices: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(idx, proof) for each of ``indices`` (idx) below ``size``, from complete nodes."""
+def _inner(hashes: list[bytes]) -> list[list[bytes]]:
+    """The complete nodes over a tile's hashes, level by level from these."""
+    out = [hashes]
+    while len(out[-1]) > 1:
+        out.append([hash_nodes(a, b) for a, b in zip(out[-1][::2], out[-1][1::2], strict=False)])
+    return out
+
+
+def _path(levels: list[list[bytes]], i: int) -> list[bytes]:
+    """Siblings from the i-th hash of a tile up to the root of the complete tree, within the tile, that it lies in."""
+    out = []
+    for own, parents in zip(levels, levels[1:], strict=False):
+        if i >> 1 >= len(parents):
+            break
+        out.append(own[i ^ 1])
+        i >>= 1
+    return out
+
+
+def _paths_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pos, path) of all nodes of rows (tile, hashes, above)."""
+    for batch in _few(batches):
+        places, out = [], []
+        for tile, hashes, above in zip(batch["tile"].to_pylist(), batch["hashes"].to_pylist(), batch["above"].to_pylist(), strict=True):
+            levels = _inner(hashes)
+            places += range(tile * TILE, tile * TILE + len(hashes))
+            out += [_path(levels, i) + above for i in range(len(hashes))]
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["pos", "path"])
+
+
+def _tiles_with_paths(nodes: DataFrame, size: int) -> DataFrame:
+    """(tile, hashes, above) of every tile of leaves; ``above`` goes from the tile to its peak, and is empty for a tile that is not full."""
+    level = (max(size, 1).bit_length() - 1) // 8 * 8
+    paths = None
+    while True:
+        tiles = _tiles(nodes.where(F.col("level") == level).select("pos", "hash")).select("tile", "hashes")
+        if paths is not None:
+            tiles = tiles.join(paths.withColumnsRenamed({"pos": "tile", "path": "above"}), "tile", "left")
+        else:
+            tiles = tiles.withColumn("above", F.lit(None).cast("array<binary>"))
+        tiles = tiles.select("tile", "hashes", F.coalesce("above", F.array().cast("array<binary>")).alias("above"))
+        if level == 0:
+            return tiles
+        paths = tiles.mapInArrow(_paths_of_all, "pos long, path array<binary>")
+        level -= 8
+
+
+def _from_peaks(nodes: DataFrame, size: int) -> Callable[[int], list[bytes]]:
+    """What leads from the peak over a position to the root."""
     places, tops = peak_places(size), peaks(nodes, size)
-    by_peak, stop = [], 0
-    for j, (level, _) in enumerate(places):  # at most 63
+    stops, stop = [], 0
+    for level, _ in places:  # at most 63
         stop += 1 << level
-        above = ([joined(tops[j + 1 :])] if j + 1 < len(tops) else []) + tops[:j][::-1]
-        by_peak.append(F.struct(F.lit(stop).cast("long").alias("stop"), F.lit(level).alias("height"), F.array(*map(F.lit, above)).cast("array<binary>").alias("above")))
-    peak = F.get(F.filter(F.array(*by_peak), lambda p: F.col("idx") < p["stop"]), F.lit(0))
-    own = indices.where((F.col("idx") >= 0) & (F.col("idx") < size)).select("idx").distinct().withColumn("peak", peak).select("idx", "peak.height", "peak.above")
-    levels = own.withColumn("level", F.explode_outer(F.when(F.col("height") > 0, F.sequence(F.lit(0), F.col("height") - 1))))
-    sibling = F.floor(F.col("idx") / F.pow(F.lit(2), F.col("level"))).cast("long").bitwiseXOR(F.lit(1).cast("long"))
-    paths = levels.withColumn("pos", sibling).join(nodes, ["level", "pos"], "left").groupBy("idx", "above").agg(F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "hash")))).alias("below"))
-    return paths.select("idx", F.concat(F.col("below.hash"), F.col("above")).alias("proof"))
+        stops.append(stop)
+    rest = [([joined(tops[j + 1 :])] if j + 1 < len(tops) else []) + tops[:j][::-1] for j in range(len(tops))]
+    return lambda idx: rest[bisect.bisect_right(stops, idx)]
+
+
+def _at_tiles(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(tile, hashes, above, own) of tiles with the ``rows`` (idx, ...) below ``size`` that belong to them."""
+    own = rows.where((F.col("idx") >= 0) & (F.col("idx") < size)).groupBy(F.shiftright("idx", 8).alias("tile")).agg(F.collect_set(F.struct(*rows.columns)).alias("own"))
+    return own.join(_tiles_with_paths(nodes, size), "tile").select("tile", "hashes", "above", "own")
+
+
+def _with_proofs(batches: Iterator[pa.RecordBatch], last: Callable[[int], list[bytes]]) -> Iterator[list[tuple[dict, list[bytes]]]]:
+    """For each tile, its rows with the proofs of their positions."""
+    for batch in _few(batches):
+        for row in batch.to_pylist():
+            levels = _inner(row["hashes"])
+            own = {tuple(r.values()): r for r in row["own"]}.values()  # rows with hashes may come twice
+            yield [(r, _path(levels, r["idx"] % TILE) + row["above"] + last(r["idx"])) for r in own]
+
+
+def inclusion_proofs(indices: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(idx, proof) for each of ``indices`` (idx) below ``size``, from complete nodes."""
+    last = _from_peaks(nodes, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _with_proofs(batches, last):
+            yield pa.RecordBatch.from_arrays([pa.array([r["idx"] for r, _ in tile], pa.int64()), pa.array([p for _, p in tile], pa.list_(pa.binary()))], ["idx", "proof"])
+
+    return _at_tiles(indices.select(F.col("idx").cast("long").alias("idx")), nodes, size).mapInArrow(run, "idx long, proof array<binary>")
+
+
+def checked(hashes: DataFrame, nodes: DataFrame, size: int, root_hash: bytes, claims: dict[str, Claim] | None = None) -> DataFrame:
+    """(idx, verified) for leaf hashes (idx, hash) below ``size``: whether the proof of the position, from complete nodes, leads from that hash
+    to the root. Each of ``claims`` adds a column: whether that same proof holds for another position or hash."""
+    last, columns = _from_peaks(nodes, size), {"verified": lambda idx, leaf: (idx, leaf)} | (claims or {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _with_proofs(batches, last):
+            found = [pa.array([verify_inclusion(at, size, leaf, p, root_hash) for r, p in tile for at, leaf in [claim(r["idx"], r["hash"])]], pa.bool_()) for claim in columns.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([r["idx"] for r, _ in tile], pa.int64()), *found], ["idx", *columns])
+
+    rows = hashes.select(F.col("idx").cast("long").alias("idx"), "hash")
+    return _at_tiles(rows, nodes, size).mapInArrow(run, ", ".join(["idx long", *(f"{c} boolean" for c in columns)]))
+
+
+def verify_inclusion(idx: int, size: int, leaf: bytes, proof: list[bytes], root: bytes) -> bool:
+    """Whether a proof leads from a leaf hash to a root."""
+    fn, sn, r = idx, size - 1, leaf
+    if idx >= size or leaf is None:
+        return False
+    for p in proof:
+        if sn == 0:
+            return False
+        if fn & 1 or fn == sn:
+            r = hash_nodes(p, r)
+            while fn and not fn & 1:
+                fn, sn = fn >> 1, sn >> 1
+        else:
+            r = hash_nodes(r, p)
+        fn, sn = fn >> 1, sn >> 1
+    return sn == 0 and r == root
 
 
 def inclusion_verified(idx: Column, size: Column, hash_: Column, proof: Column, root_hash: Column) -> Column:

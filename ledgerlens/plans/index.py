@@ -26,6 +26,7 @@ from ledgerlens.functions.hashing import value_hash
 from ledgerlens.functions.mapfns import REGISTRY, MapFn, fingerprint
 from ledgerlens.functions.notes import Checkpoint, Ed25519Signer, Verifier, parse_checkpoint, parse_unverified, sign_checkpoint
 from ledgerlens.operators import dictionary, merkle
+from ledgerlens.operators.merkle import verify_inclusion
 from ledgerlens.operators.postings import postings, posting_lists, value_hashes
 from ledgerlens.plans import manifest as manifests
 from ledgerlens.plans.manifest import Manifest
@@ -302,24 +303,6 @@ def verify_lookup_response(key_hash: bytes, response: LookupResponse, output_ver
     return cp
 
 
-def verify_inclusion(idx: int, size: int, leaf: bytes, proof: list[bytes], root: bytes) -> bool:
-    """Whether a proof leads from a leaf hash to a root."""
-    fn, sn, r = idx, size - 1, leaf
-    if idx >= size:
-        return False
-    for p in proof:
-        if sn == 0:
-            return False
-        if fn & 1 or fn == sn:
-            r = merkle.hash_nodes(p, r)
-            while fn and not fn & 1:
-                fn, sn = fn >> 1, sn >> 1
-        else:
-            r = merkle.hash_nodes(r, p)
-        fn, sn = fn >> 1, sn >> 1
-    return sn == 0 and r == root
-
-
 def dereference(log: DataFrame, positions: DataFrame, checkpoint: bytes) -> DataFrame:
     """(idx, leaf, verified) for ``positions`` (idx): each leaf with the check of its inclusion in the log's checkpoint.
 
@@ -329,9 +312,9 @@ def dereference(log: DataFrame, positions: DataFrame, checkpoint: bytes) -> Data
     hashes = merkle.leaf_hashes(log.where(F.col("idx") < cp.size))
     nodes = merkle.complete_nodes(hashes, cp.size, scratch_path(log.sparkSession, "nodes"))
     guarded = positions.select(F.when(F.col("idx") < cp.size, F.col("idx")).otherwise(F.raise_error(F.concat(F.lit("position beyond the log: "), F.col("idx"))).cast("long")).alias("idx"))
-    rows = guarded.join(log, "idx", "left").join(merkle.inclusion_proofs(guarded, nodes, cp.size), "idx").join(hashes, "idx", "left")
     leaf = F.when(F.col("leaf").isNotNull(), F.col("leaf")).otherwise(F.raise_error(F.concat(F.lit("no leaf at "), F.col("idx"))).cast("binary"))
-    return rows.select("idx", leaf.alias("leaf"), merkle.inclusion_verified(F.col("idx"), F.lit(cp.size), F.col("hash"), F.col("proof"), F.lit(cp.hash)).alias("verified"))
+    rows = guarded.join(log, "idx", "left").select("idx", leaf.alias("leaf"))
+    return rows.join(merkle.checked(merkle.leaf_hashes(rows), nodes, cp.size, cp.hash), "idx").select("idx", "leaf", "verified")
 
 
 def lookup_value_hash(positions: DataFrame) -> DataFrame:

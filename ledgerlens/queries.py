@@ -201,8 +201,8 @@ def dereference(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = merkle.complete_nodes(hashes, n, scratch_path(spark, "nodes"))
     root = merkle.joined(merkle.peaks(nodes, n))
     positions = _found(spark, sf_dir, (PRESENT,)).select(F.explode("idx").alias("idx"))
-    rows = positions.join(log, "idx").join(hashes, "idx").join(merkle.inclusion_proofs(positions, nodes, n), "idx")
-    return rows.select("idx", mapfns.text_of(F.col("leaf")).alias("leaf"), merkle.inclusion_verified(F.col("idx"), F.lit(n), F.col("hash"), F.col("proof"), F.lit(root)).alias("verified"))
+    rows = positions.join(log, "idx")
+    return rows.join(merkle.checked(merkle.leaf_hashes(rows), nodes, n, root), "idx").select("idx", mapfns.text_of(F.col("leaf")).alias("leaf"), "verified")
 
 
 def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,12 +364,8 @@ def inclusion_proof_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, hashes = _size(spark, sf_dir), merkle.leaf_hashes(events_log(spark, sf_dir))
     nodes = merkle.complete_nodes(hashes, n, scratch_path(spark, "nodes"))
     root = merkle.joined(merkle.peaks(nodes, n))
-    rows = hashes.join(merkle.inclusion_proofs(hashes, nodes, n), "idx")
-    holds = lambda idx, hash_, root: merkle.inclusion_verified(idx, F.lit(n), hash_, F.col("proof"), F.lit(root))
-    idx, own = F.col("idx"), F.col("hash")
-    forged = holds(idx, F.lit(bytes(32)), root)
-    moved = holds(idx.bitwiseXOR(F.lit(1).cast("long")), own, root)
-    return rows.select("idx", holds(idx, own, root).alias("verified"), forged.alias("forged"), moved.alias("moved"))
+    others = {"forged": lambda idx, leaf: (idx, bytes(32)), "moved": lambda idx, leaf: (idx ^ 1, leaf)}
+    return merkle.checked(hashes, nodes, n, root, others)
 
 
 def queries() -> dict[str, Query]:

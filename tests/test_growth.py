@@ -2,8 +2,11 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlens.operators import merkle
 from ledgerlens.operators import postings as index
 
 
@@ -26,3 +29,25 @@ def test_one_commitment_a_key_above_a_join(spark, joins_turn_broadcast, tmp_path
     found = index.value_hashes(rows.join(rows.where("idx >= 500").select("key_hash").distinct(), "key_hash", "left_semi")).collect()
     expected = {key(i): (200, hashlib.sha256(b"".join(x.to_bytes(8, "big") for x in range(i, 600, 3))).digest()) for i in range(3)}
     assert len(found) == 3 and {bytes(r.key_hash): (r.n, bytes(r.value_hash)) for r in found} == expected
+
+
+def test_claims_are_checked_at_their_tiles(spark):
+    """The same answers as from proofs that are moved, for repeated, absent and wrong claims, and in a plan that makes no row a level."""
+    n = 256 * 3 + 77
+    hashes = merkle.leaf_hashes(spark.range(n).select(F.col("id").alias("idx"), F.encode(F.col("id").cast("string"), "UTF-8").alias("leaf"))).cache()
+    nodes = merkle.complete_nodes(hashes, n).cache()
+    root = merkle.joined(merkle.peaks(nodes, n))
+    asked = hashes.union(hashes.where("idx = 5")).union(hashes.where("idx = 700").select(F.lit(n + 3), "hash")).withColumn("hash", F.when(F.col("idx") == 9, F.lit(bytes(32))).otherwise(F.col("hash")))
+    checked = merkle.checked(asked, nodes, n, root, {"moved": lambda idx, leaf: (idx ^ 1, leaf)})
+    assert sorted(map(tuple, checked.collect())) == [(i, i != 9, False) for i in range(n)]
+    assert "Generate" not in checked._jdf.queryExecution().toString()
+    proofs = {r.idx: [bytes(p) for p in r.proof] for r in merkle.inclusion_proofs(hashes.where("idx % 5 = 0"), nodes, n).collect()}
+    own = {r.idx: bytes(r.hash) for r in hashes.collect()}
+    assert sorted(proofs) == list(range(0, n, 5)) and all(merkle.verify_inclusion(i, n, own[i], p, root) for i, p in proofs.items())
+
+
+def test_a_batch_of_many_tiles_is_worked_on_in_parts():
+    """10,000 tiles come in one Arrow batch; what they give leaves in batches of 64."""
+    batch = pa.RecordBatch.from_pydict({"tile": list(range(200)), "first": [0] * 200, "hashes": [[bytes(32)] * 256] * 200})
+    found = list(merkle._above(iter([batch])))
+    assert [b.num_rows for b in found] == [64 * 255] * 3 + [8 * 255]
