@@ -24,7 +24,9 @@ The bands' length and number follow from the threshold so that a pair exactly at
 whose sizes alone rule the threshold out are not confirmed, nor (in step 4) those whose signatures agree in fewer places than
 a pair at the threshold would by 6.5 standard deviations; nothing else is left out.
 
-Union-find is distributed: tasks first reduce their own links to a forest, then rounds of joins point every node at the
+Union-find is distributed: tasks first reduce their own links to a forest. What a node then still has of them, one smaller node from each task
+that saw it, becomes one: the smallest, to which the others are linked instead; these few links are reduced in the same way. So the edges
+are about as many as the nodes, however many tasks or buckets a group was dealt over. Then rounds of joins point every node at the
 smallest node that its neighbours know and that node's own pointer, until nothing changes. No link or component reaches the driver.
 Joins on a band, a node or a label deal the rows of a key that has more than ``HOT`` over many tasks and copy the other
 side's one row to each of them.
@@ -338,13 +340,21 @@ def _forest(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(tidied(run), "a long, b long")
 
 
+def _thinned(forest: DataFrame) -> DataFrame:
+    """The same components by links (a, b), b < a: each node keeps its smallest b, and its other ones are linked with that."""
+    own = forest.groupBy("a").agg(F.collect_set("b").alias("bs"))  # one from each task that saw the node, at most
+    least = F.array_min("bs")
+    pairs = F.transform("bs", lambda b: F.when(b == least, F.struct(F.col("a"), b.alias("b"))).otherwise(F.struct(b.alias("a"), least.alias("b"))))
+    return own.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``links`` (a, b), the component being its smallest node.
 
     Each round gives a node the least label among its own, its neighbours', and those labels' own labels; long chains halve
     in every round. A star of any size is no hot task: see ``meeting``.
     """
-    forest = written(_forest(links), "forest")
+    forest = written(_thinned(_thinned(written(_forest(links), "links"))), "forest")
     edges = written(forest.union(forest.select("b", "a")).distinct().toDF("node", "other"), "edges")
     large = edges.limit(HOT + 1).count() > HOT  # fewer rows have no hot key
     join = meeting if large else lambda rows, single, key, counts=None: rows.join(single, key)
