@@ -65,5 +65,6 @@ def directory_hash(files: DataFrame) -> DataFrame:
 
 
 def map_audit(log: DataFrame, map_fn, revisions: list[tuple[int, bytes]]) -> list[tuple[int, bool]]:
-    """Each recorded (size, root) against a rebuild from the log's first ``size`` leaves."""
-    return [(size, map_root(value_hashes(postings(log.where(F.col("idx") < size), map_fn)).select("key_hash", "value_hash")) == root) for size, root in revisions]
+    """Each recorded (size, root) against a rebuild from the log's first ``size`` leaves, one for each size."""
+    built = {size: map_root(value_hashes(postings(log.where(F.col("idx") < size), map_fn)).select("key_hash", "value_hash")) for size in dict.fromkeys(size for size, _ in revisions)}
+    return [(size, built[size] == root) for size, root in revisions]

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import merkle
+from ledgerlens.functions import mapfns
+from ledgerlens.operators import audit, merkle
 from ledgerlens.operators import postings as index
 
 
@@ -51,3 +52,13 @@ def test_a_batch_of_many_tiles_is_worked_on_in_parts():
     batch = pa.RecordBatch.from_pydict({"tile": list(range(200)), "first": [0] * 200, "hashes": [[bytes(32)] * 256] * 200})
     found = list(merkle._above(iter([batch])))
     assert [b.num_rows for b in found] == [64 * 255] * 3 + [8 * 255]
+
+
+def test_an_audit_rebuilds_a_size_once(spark, monkeypatch):
+    log = spark.range(40).select(F.col("id").alias("idx"), F.encode(F.concat((F.col("id") % 3).cast("string"), F.lit(": x")), "UTF-8").alias("leaf"))
+    calls, real = [], audit.map_root
+    monkeypatch.setattr(audit, "map_root", lambda entries: calls.append(1) or real(entries))
+    (_, _), (_, _) = audit.map_audit(log, mapfns.before_colon, [(40, bytes(32)), (40, bytes(31) + b"x")])
+    assert len(calls) == 1
+    root = real(index.value_hashes(index.postings(log, mapfns.before_colon)).select("key_hash", "value_hash"))
+    assert audit.map_audit(log, mapfns.before_colon, [(40, root), (40, bytes(32)), (20, root)]) == [(40, True), (40, False), (20, False)]
